@@ -78,7 +78,7 @@ def _leaf_size(refs: DataFrame, on: Sequence[str], span: float) -> float:
 
 
 def _span(*frames: DataFrame) -> float:
-    """Largest axis extent over all given clouds (a single aggregated row each)."""
+    """Largest axis extent over all given clouds (one aggregated row each)."""
     lows, highs = [], []
     for f in frames:
         r = f.agg(*[h(c).alias(f"{h.__name__}_{c}") for c in XYZ for h in (F.min, F.max)]).first()
@@ -155,11 +155,10 @@ def nearest(
 
 def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: float, bound: float) -> DataFrame:
     """Queries with the coarse cells inside the bound (the cell is at least that wide)."""
-    steps = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
     spread = q
     for i, c in zip(CELL, XYZ):
         here = g.cell_index(F.col(f"q_{c}"), size)
-        spread = spread.withColumn(i, F.explode(F.transform(steps, lambda k, h=here: h + k)))
+        spread = spread.withColumn(i, F.explode(F.array(here - 1, here, here + 1)))
         low = F.col(i) * F.lit(size)
         spread = spread.where((F.col(f"q_{c}") > low - bound) & (F.col(f"q_{c}") < low + size + bound))
     return spread.join(level, [*on, *CELL])

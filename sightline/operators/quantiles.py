@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.session import durable
+
 FANOUT = 64
 
 
@@ -29,6 +31,7 @@ def exact_quantiles(
         .groupBy(*grp, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    counts = durable(counts, "value-counts")
     cuts = [i / fanout for i in range(1, fanout)]
     splits = counts.groupBy(*grp).agg(
         F.percentile_approx("_v", cuts, fanout * 16).alias("_s"), F.sum("_c").alias("_n")

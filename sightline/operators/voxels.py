@@ -23,27 +23,17 @@ def occupancy(points: DataFrame, keys: Sequence[str], size: float, mode: str = "
     return points.select(*keys, key.alias("voxel")).distinct()
 
 
-def overlaps(vox: DataFrame, cloud: str, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of clouds sharing voxels with the shared count (a < b).
+def pair_iou(vox: DataFrame, cloud: str, pairs: DataFrame) -> DataFrame:
+    """Voxel IoU of each listed pair (a, b); 1 when both are empty.
 
-    Clouds meet only where they share a voxel. Voxels are distinct per cloud,
-    so a voxel expands to the pairs of clouds that really overlap there, and
-    the counts are combined map-side.
+    Work is proportional to the voxels of the listed clouds: a voxel of ``a``
+    is looked up in ``b`` only, never against every cloud that holds it.
     """
-    a = vox.select(*within, F.col(cloud).alias("a"), "voxel")
-    b = vox.select(*within, F.col(cloud).alias("b"), "voxel")
-    return (
-        a.join(b, [*within, "voxel"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy(*within, "a", "b")
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-    )
-
-
-def pair_iou(vox: DataFrame, cloud: str, pairs: DataFrame) -> DataFrame:
-    """Voxel IoU of each listed pair (a, b); 1 when both are empty."""
+    va = vox.select(F.col(cloud).alias("a"), "voxel")
+    vb = vox.select(F.col(cloud).alias("b"), "voxel")
+    shared = pairs.select("a", "b").join(va, "a").join(vb, ["b", "voxel"], "left_semi")
+    shared = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
     sizes = vox.groupBy(F.col(cloud).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    shared = overlaps(vox, cloud)
     return (
         pairs.join(shared, ["a", "b"], "left")
         .join(sizes.select(F.col("_c").alias("a"), F.col("_n").alias("n_a")), "a", "left")
