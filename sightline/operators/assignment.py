@@ -1,10 +1,12 @@
 """One-to-one assignment of rows to columns inside groups.
 
-Pairs that cannot be chosen are dropped first. What is left of a group splits
-into the connected components of its bipartite graph, and the best assignment
-of the group is the union of the best assignments of its components, so the
-solver sees one component at a time. Components that are a single pair need no
-solver. The solver itself is a small numpy routine run by grouped maps.
+Pairs that cannot be chosen are dropped first, and a pair without a rival is
+chosen outright. The largest remaining group is measured: while all groups are
+small (a frame has at most a few hundred masks and truths) each group is one
+solver call. Beyond that size groups are split into the connected components of
+their bipartite graph; the best assignment of a group is the union of the best
+assignments of its components, so the result is the same. The solver itself is
+a small numpy routine run by grouped maps.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from sightline.operators.components import connected_components
 from sightline.session import durable
 
 
+GROUP_PAIRS = 100_000
+
+
 # ------------------------------------------------------------------- solvers
 
 def best_total(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -118,6 +123,7 @@ def assign(
     weight: str,
     candidate: Column,
     method: str = "best_total",
+    group_pairs: int = GROUP_PAIRS,
 ) -> DataFrame:
     """Chosen (keys, row, col, weight).
 
@@ -145,17 +151,20 @@ def assign(
     deg = cand.join(row_deg, ["_g", "_r"]).join(col_deg, ["_g", "_c"])
     lone = deg.where("_rd = 1 AND _cd = 1").select("_g", "_r", "_c", "_w")
     rest = durable(deg.where("_rd > 1 OR _cd > 1").select("_g", "_r", "_c", "_w"), "assign-rest")
+    largest = rest.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     chosen = lone
-    if not rest.isEmpty():
-        vr = F.concat_ws("|", F.lit("r"), F.col("_r"), F.col("_g"))
-        vc = F.concat_ws("|", F.lit("c"), F.col("_c"), F.col("_g"))
-        comp = connected_components(rest.select(vr.alias("a"), vc.alias("b")), "a", "b")
-        tagged = rest.withColumn("v", vr).join(comp, "v").drop("v")
-        solved = tagged.groupBy("component").applyInPandas(
-            _solve(method), "_g string, _r long, _c long, _w double"
-        )
+    if largest is not None:
+        if largest <= group_pairs:
+            part = rest.withColumn("component", F.col("_g"))
+        else:
+            vr = F.concat_ws("|", F.lit("r"), F.col("_r"), F.col("_g"))
+            vc = F.concat_ws("|", F.lit("c"), F.col("_c"), F.col("_g"))
+            comp = connected_components(rest.select(vr.alias("a"), vc.alias("b")), "a", "b")
+            part = rest.withColumn("v", vr).join(comp, "v").drop("v")
+        solved = part.groupBy("component").applyInPandas(_solve(method), "_g string, _r long, _c long, _w double")
         chosen = lone.union(solved)
     names = cand.select("_g", *keys).distinct() if keys else cand.select("_g").distinct()
+    chosen = durable(chosen, "assigned")
     return chosen.join(names, "_g").select(
         *keys, F.col("_r").alias(row), F.col("_c").alias(col), F.col("_w").alias(weight)
     )

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sightline.plans.registry import ORACLE, QUERIES
 
-MODULES = ("flow", "clouds")
+MODULES = ("flow", "clouds", "segmentation")
 
 for _m in MODULES:
     import_module(f"sightline.plans.{_m}")

@@ -74,28 +74,91 @@ LABELS = 8
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label rasters: a pixel per line item, frame = block of orders, 0 = void.
+    """Label rasters: a labelled pixel per line item, frame = block of orders, 0 = void.
 
-    The ground-truth label comes from the part; the predicted label repeats it
-    for most pixels and comes from the supplier for the rest.
+    The ground truth comes from the part. The prediction repeats it for a share
+    of the pixels and takes the supplier for the rest; every fourth frame merges
+    neighbouring labels, splits them, or is mostly noise.
     """
     li = table(spark, sf_dir, "lineitem")
-    gt = F.col("l_partkey") % LABELS
-    pred = F.when(F.col("l_quantity") <= 35, gt).otherwise(F.col("l_suppkey") % LABELS)
+    gt, other, q = F.col("l_partkey") % LABELS, F.col("l_suppkey") % LABELS, F.col("l_quantity")
+    frame = F.floor(F.col("l_orderkey") / FRAME_ORDERS).cast("long")
+    kind = frame % 4
+    pred = (
+        F.when((kind == 0) & (q <= 35), gt)
+        .when((kind == 1) & (q <= 44), gt - gt % 2)
+        .when((kind == 2) & (q <= 20), gt)
+        .when((kind == 2) & (q <= 44), gt + LABELS)
+        .when((kind == 3) & (q <= 12), gt)
+        .otherwise(other)
+    )
     return li.select(
-        F.floor(F.col("l_orderkey") / FRAME_ORDERS).cast("long").alias("frame"),
+        frame.alias("frame"),
         gt.alias("gt"),
         pred.alias("pred"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pixel"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cell"),
     )
 
 
-RASTER_SQL = f"""raster AS (
-  SELECT CAST(floor(l_orderkey / {FRAME_ORDERS}.0) AS BIGINT) AS frame,
-         l_partkey % {LABELS} AS gt,
-         CASE WHEN l_quantity <= 35 THEN l_partkey % {LABELS} ELSE l_suppkey % {LABELS} END AS pred,
-         l_orderkey * 8 + l_linenumber AS pixel
-  FROM lineitem)"""
+def label_cells(raster: DataFrame) -> DataFrame:
+    """One ground-truth label per cell."""
+    return raster.groupBy("frame", "cell").agg(F.min("gt").alias("gt"))
+
+
+def mask_cells(raster: DataFrame) -> DataFrame:
+    """Cells of the predicted masks; masks may overlap."""
+    return raster.where("pred > 0").select("frame", "pred", "cell").distinct()
+
+
+SPREAD = 0.35
+
+
+def surfaces(spark: SparkSession, sf_dir: str, size: float) -> tuple[DataFrame, DataFrame]:
+    """Per frame: voxel centres of ground-truth surfaces and of predictions.
+
+    Frame = block of 100 vectors, ground truth = label, shifted along x so that
+    labels lie side by side. Predictions see jittered points, and a third of
+    them goes to another id.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    dim = [F.element_at("embedding", i).cast("double") for i in range(1, 7)]
+    label = F.col("label").cast("long")
+    frame = F.floor(F.col("vec_id") / 100).cast("long").alias("frame")
+    base = [dim[0] + label * F.lit(SPREAD), dim[1], dim[2]]
+    pred = F.when(F.col("vec_id") % 3 < 2, label).otherwise((label * 3 + 1) % 12)
+
+    def centres(ident, xyz):
+        cells = [((F.floor(v / F.lit(size)) + F.lit(0.5)) * F.lit(size)).alias(c) for v, c in zip(xyz, "xyz")]
+        return e.select(frame, ident, *cells).distinct()
+
+    gt = centres(label.alias("gt"), base)
+    moved = [b + d * F.lit(0.1) for b, d in zip(base, dim[3:])]
+    return gt, centres(pred.cast("long").alias("pred"), moved)
+
+
+SURFACES_SQL = """base AS (SELECT vec_id, CAST(floor(vec_id / 100.0) AS BIGINT) AS frame, CAST(label AS BIGINT) AS gt,
+  CAST(CASE WHEN vec_id % 3 < 2 THEN label ELSE (label * 3 + 1) % 12 END AS BIGINT) AS pred,
+  CAST(embedding[1] AS DOUBLE) + label * CAST({spread} AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+  CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS jx, CAST(embedding[5] AS DOUBLE) AS jy,
+  CAST(embedding[6] AS DOUBLE) AS jz FROM embeddings),
+gv AS (SELECT DISTINCT frame, gt, (floor(x / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS x,
+  (floor(y / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS y,
+  (floor(z / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS z FROM base),
+pv AS (SELECT DISTINCT frame, pred,
+  (floor((x + jx * CAST(0.1 AS DOUBLE)) / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS x,
+  (floor((y + jy * CAST(0.1 AS DOUBLE)) / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS y,
+  (floor((z + jz * CAST(0.1 AS DOUBLE)) / CAST({v} AS DOUBLE)) + 0.5) * CAST({v} AS DOUBLE) AS z FROM base)"""
+
+RASTER_SQL = f"""base AS (SELECT CAST(floor(l_orderkey / {FRAME_ORDERS}.0) AS BIGINT) AS frame,
+    l_partkey % {LABELS} AS gt, l_suppkey % {LABELS} AS other, l_quantity AS q, l_orderkey * 8 + l_linenumber AS cell
+  FROM lineitem),
+raster AS (SELECT frame, gt, cell, CASE WHEN frame % 4 = 0 AND q <= 35 THEN gt
+    WHEN frame % 4 = 1 AND q <= 44 THEN gt - gt % 2
+    WHEN frame % 4 = 2 AND q <= 20 THEN gt
+    WHEN frame % 4 = 2 AND q <= 44 THEN gt + {LABELS}
+    WHEN frame % 4 = 3 AND q <= 12 THEN gt ELSE other END AS pred FROM base),
+gtc AS (SELECT frame, cell, min(gt) AS gt FROM raster GROUP BY ALL),
+msk AS (SELECT DISTINCT frame, pred, cell FROM raster WHERE pred > 0)"""
 
 POINTS_SQL = """pts AS (
   SELECT CAST(label AS BIGINT) AS cloud, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x,

@@ -35,7 +35,8 @@ def test_greedy_ties_are_row_major():
     assert greedy_pairs(np.full((2, 2), 0.5), 0.0) == [(0, 0), (1, 1)]
 
 
-def test_assign_by_component(spark):
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_assign_by_component(spark, limit):
     rng = np.random.default_rng(1)
     rows, want = [], {}
     for g in range(6):
@@ -44,7 +45,7 @@ def test_assign_by_component(spark):
         rows += [(g, int(r), int(c), float(w[r, c])) for r in range(4) for c in range(5)]
         want[g] = brute_total(np.where(ok, w, 0.0))
     df = spark.createDataFrame(rows, "g long, r long, c long, w double")
-    got = assign(df, ["g"], "r", "c", "w", F.col("w") >= 0.5).groupBy("g").agg(F.sum("w").alias("w")).collect()
+    got = assign(df, ["g"], "r", "c", "w", F.col("w") >= 0.5, group_pairs=limit).groupBy("g").agg(F.sum("w").alias("w")).collect()
     assert {r.g: pytest.approx(r.w) for r in got} == want
 
 
