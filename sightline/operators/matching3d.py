@@ -29,16 +29,19 @@ def tau_name(tau: float) -> int:
 
 
 class Scene:
-    """Distances and ownership of one set of frames (written once, read by every report)."""
+    """Distances and ownership of one set of frames (written once, read by every report).
+
+    ``preds`` and ``truths`` are written tables of distinct voxel centres.
+    """
 
     def __init__(self, preds: DataFrame, truths: DataFrame, taus: Sequence[float], main: float, size: float):
-        self.preds, self.truths, self.taus, self.main = preds, truths, tuple(taus), main
+        self.preds, self.truths, self.taus, self.main, self.size = preds, truths, tuple(taus), main, size
         reach = max(taus)
         self.to_gt = durable(
-            nearest(preds.select(*POS), truths, ["frame"], leaf=size, bound=reach, per=["gt"], out="d"), "pred-to-gt"
+            nearest(preds.select(*POS), truths, ["frame"], leaf=size, bound=reach, per=["gt"], out="d", stored=True), "pred-to-gt"
         )
         self.to_pred = durable(
-            nearest(truths.select(*POS), preds, ["frame"], leaf=size, bound=reach, per=["pred"], out="d"), "gt-to-pred"
+            nearest(truths.select(*POS), preds, ["frame"], leaf=size, bound=reach, per=["pred"], out="d", stored=True), "gt-to-pred"
         )
         # Owner of a position: the nearest truth within the main tolerance, ties to the lowest number.
         near = self.to_gt.where(rules.within(F.col("d"), main))
@@ -82,7 +85,9 @@ class Scene:
         """
         if self._exclusive is None:
             own = self.preds.join(self.owner, POS).withColumnRenamed("owner", "gt")
-            d = nearest(self.truths, own, ["frame", "gt"], bound=self.main, per=["pred"], out="dj")
+            d = nearest(
+                self.truths, own, ["frame", "gt"], leaf=self.size, bound=self.main, per=["pred"], out="dj", stored=True
+            )
             lowest = self.to_pred.groupBy(*POS).agg(F.min("d").alias("dall"))
             rows = d.join(lowest, POS).where(
                 rules.within(F.col("dj"), self.main) & (F.col("dj") <= F.col("dall") + rules.TIE_M)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
@@ -58,11 +58,13 @@ def _prune(cands: DataFrame, qid: Sequence[str], per: Sequence[str], bound2: flo
     """Drop cells that cannot hold the nearest point."""
     near, far = _near_far()
     slack = F.lit(1.0 + 1e-9)
-    scored = cands.withColumn("_near", near).withColumn("_far", far)
+    scored = cands.withColumns({"_near": near, "_far": far})
     if bound2 is not None:
         scored = scored.where(F.col("_near") < bound2)
-    best = scored.groupBy(*qid, *per).agg(F.min("_far").alias("_best"))
-    return scored.join(best, [*qid, *per]).where(F.col("_near") <= F.col("_best") * slack).drop("_near", "_far", "_best")
+    # One window per query point: its few remaining cells, one shuffle per level.
+    best = F.min("_far").over(Window.partitionBy(*qid, *per))
+    kept = scored.withColumn("_best", best).where(F.col("_near") <= F.col("_best") * slack)
+    return kept.drop("_near", "_far", "_best")
 
 
 def _leaf_size(refs: DataFrame, on: Sequence[str], span: float) -> float:
@@ -99,6 +101,7 @@ def nearest(
     per: Sequence[str] = (),
     payload: Sequence[str] = (),
     out: str = "dist",
+    stored: bool = False,
 ) -> DataFrame:
     """Distance from each distinct query point to the nearest reference point.
 
@@ -106,15 +109,15 @@ def nearest(
     ``per``     extra reference columns: one result per (query, per) instead of one per query
     ``bound``   strict upper limit; queries with nothing nearer are not returned
     ``payload`` reference columns of the nearest point; ties take the smallest values
+    ``stored``  both inputs are cheap scans of written tables; they are not written again
     """
     on, per, payload = list(on), list(per), list(payload)
-    q = durable(
-        queries.select(*on, *[F.col(c).cast("double").alias(f"q_{c}") for c in XYZ]).distinct(), "nn-queries"
-    )
+    keep = (lambda df, name: df) if stored else durable
+    q = keep(queries.select(*on, *[F.col(c).cast("double").alias(f"q_{c}") for c in XYZ]).distinct(), "nn-queries")
     pts = refs.select(*on, *per, *payload, *[F.col(c).cast("double").alias(c) for c in XYZ])
-    pts = durable(pts.groupBy(*on, *per, *XYZ).agg(F.min(F.struct(*payload, F.lit(0))).alias("_pay")), "nn-points")
+    pts = keep(pts.groupBy(*on, *per, *XYZ).agg(F.min(F.struct(*payload, F.lit(0))).alias("_pay")), "nn-points")
     grp = on + per
-    span = _span(pts)
+    span = _span(pts) if bound is None or leaf is None else bound
     qid = on + [f"q_{c}" for c in XYZ]
     if leaf is None:
         leaf = _leaf_size(pts, grp, max(span, 1e-9))
@@ -155,10 +158,10 @@ def nearest(
 
 def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: float, bound: float) -> DataFrame:
     """Queries with the coarse cells inside the bound (the cell is at least that wide)."""
-    spread = q
+    spread, near = q, F.lit(True)
     for i, c in zip(CELL, XYZ):
         here = g.cell_index(F.col(f"q_{c}"), size)
         spread = spread.withColumn(i, F.explode(F.array(here - 1, here, here + 1)))
         low = F.col(i) * F.lit(size)
-        spread = spread.where((F.col(f"q_{c}") > low - bound) & (F.col(f"q_{c}") < low + size + bound))
-    return spread.join(level, [*on, *CELL])
+        near = near & (F.col(f"q_{c}") > low - bound) & (F.col(f"q_{c}") < low + size + bound)
+    return spread.where(near).join(level, [*on, *CELL])

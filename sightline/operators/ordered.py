@@ -24,9 +24,12 @@ SLICE = "_slice"
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range-partition by keys then order and record the slice of each row."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    """Range-partition by keys then order and record the slice of each row.
+
+    The number of slices follows ``spark.sql.shuffle.partitions``; adaptive
+    execution merges small neighbouring ranges before the slice is recorded.
+    """
+    ranged = df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
     return durable(ranged, "sliced")
 
 

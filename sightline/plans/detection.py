@@ -75,8 +75,8 @@ def pair_stats(spark, sf):
 
 
 @query("void_share", f"""WITH {PAIRS_SQL}
-SELECT frame, pred, n_vox, (n_vox - coalesce(sum(near), 0))::BIGINT AS void
-FROM npv LEFT JOIN owned USING (frame, pred) GROUP BY ALL""")
+SELECT frame, pred, n_vox, (n_vox - coalesce(s, 0))::BIGINT AS void
+FROM npv LEFT JOIN (SELECT frame, pred, sum(near) AS s FROM owned GROUP BY ALL) USING (frame, pred)""")
 def void_share(spark, sf):
     return scene(spark, sf).void()
 
