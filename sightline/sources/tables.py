@@ -174,3 +174,36 @@ SEGMENTS_SQL = """seg AS (
   SELECT user_id AS gt_object_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS frame_idx,
          CAST(floor(value) AS BIGINT) AS n_pixels, event_type, event_id
   FROM events)"""
+
+STEP_US = 3 * 3600 * 1_000_000
+
+
+def tracking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truths, tracks and similarities: sequence = user mod 10, timestep = three hours."""
+    s = signals(spark, sf_dir)
+    gt = F.floor(F.col("user_id") / 10) % 5
+    late = F.floor(day_of("ts_us") / 10)
+    trk = F.when(F.col("value") > 120, F.col("event_id") % 5 * 10).otherwise(gt * 10 + late % 4)
+    rows = s.select(
+        (F.col("user_id") % 10).alias("seq"),
+        F.floor(F.col("ts_us") / STEP_US).cast("long").alias("t"),
+        gt.cast("long").alias("gt"),
+        trk.cast("long").alias("trk"),
+        (F.lit(60.0) / (F.lit(60.0) + F.col("value"))).alias("sim"),
+        "event_type",
+    )
+    truths = rows.where("event_type <> 'purchase'").select("seq", "t", "gt").distinct()
+    tracks = rows.where("event_type <> 'error'").select("seq", "t", "trk").distinct()
+    pairs = (
+        rows.where("event_type NOT IN ('error', 'purchase')").groupBy("seq", "t", "gt", "trk").agg(F.max("sim").alias("sim"))
+    )
+    return truths, tracks, pairs
+
+
+TRACKING_SQL = f"""mrow AS (SELECT user_id % 10 AS seq, CAST(floor(epoch_us(ts) / {STEP_US}) AS BIGINT) AS t,
+  (user_id // 10) % 5 AS gt, CASE WHEN value > 120 THEN event_id % 5 * 10
+    ELSE (user_id // 10) % 5 * 10 + (epoch_us(ts) // 86400000000 // 10) % 4 END AS trk,
+  60.0::DOUBLE / (60.0::DOUBLE + value) AS sim, event_type FROM events),
+truths AS (SELECT DISTINCT seq, t, gt FROM mrow WHERE event_type <> 'purchase'),
+tracks AS (SELECT DISTINCT seq, t, trk FROM mrow WHERE event_type <> 'error'),
+mpair AS (SELECT seq, t, gt, trk, max(sim) AS sim FROM mrow WHERE event_type NOT IN ('error', 'purchase') GROUP BY ALL)"""
