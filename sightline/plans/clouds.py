@@ -51,17 +51,18 @@ def voxel_iou(spark, sf):
 
 
 @query("voxel_intersect", VOX_SQL + """
-SELECT voxel FROM vox WHERE cloud = 1 INTERSECT SELECT voxel FROM vox WHERE cloud = 2""")
+SELECT voxel FROM vox WHERE cloud % 2 = 0 INTERSECT SELECT voxel FROM vox WHERE cloud % 2 = 1""")
 def voxel_intersect(spark, sf):
     vox = cloud_voxels(spark, sf)
-    return vox.where("cloud = 1").select("voxel").intersect(vox.where("cloud = 2").select("voxel"))
+    return vox.where("cloud % 2 = 0").select("voxel").intersect(vox.where("cloud % 2 = 1").select("voxel"))
 
 
 @query("voxel_difference", VOX_SQL + """
-SELECT voxel FROM vox WHERE cloud = 1 EXCEPT SELECT voxel FROM vox WHERE cloud = 2""")
+SELECT voxel FROM vox WHERE cloud % 2 = 0 EXCEPT SELECT voxel FROM vox WHERE cloud % 2 = 1""")
 def voxel_difference(spark, sf):
     vox = cloud_voxels(spark, sf)
-    return vox.where("cloud = 1").select("voxel").join(vox.where("cloud = 2").select("voxel"), "voxel", "left_anti")
+    odd = vox.where("cloud % 2 = 1").select("voxel")
+    return vox.where("cloud % 2 = 0").select("voxel").distinct().join(odd, "voxel", "left_anti")
 
 
 @query("voxel_union", VOX_SQL + " SELECT DISTINCT voxel FROM vox")
@@ -71,11 +72,11 @@ def voxel_union(spark, sf):
 
 @query("voxel_exact_share", VOX_SQL + """
 SELECT p.cloud, avg(CASE WHEN q.voxel IS NULL THEN 0 ELSE 1 END) AS exact_share, count(*) AS n_voxels
-FROM vox p LEFT JOIN (SELECT DISTINCT voxel FROM vox WHERE cloud = 0) q ON p.voxel = q.voxel GROUP BY p.cloud""")
+FROM vox p LEFT JOIN (SELECT DISTINCT voxel FROM vox WHERE cloud < 5) q ON p.voxel = q.voxel GROUP BY p.cloud""")
 def voxel_exact_share(spark, sf):
-    """Share of each cloud's voxels that cloud 0 occupies exactly."""
+    """Share of each cloud's voxels that the first five clouds occupy exactly."""
     vox = cloud_voxels(spark, sf)
-    ref = vox.where("cloud = 0").select("voxel", F.lit(1).alias("_hit"))
+    ref = vox.where("cloud < 5").select("voxel", F.lit(1).alias("_hit")).distinct()
     return (
         vox.join(ref, "voxel", "left")
         .groupBy("cloud")
