@@ -4,7 +4,9 @@ from importlib import import_module
 
 from sightline.plans.registry import ORACLE, QUERIES
 
-MODULES = ("flow", "clouds", "segmentation", "detection", "tracking", "truthset", "scalars", "reports")
+MODULES = (
+    "flow", "clouds", "segmentation", "detection", "tracking", "truthset", "scalars", "reports", "streams",
+)
 
 for _m in MODULES:
     import_module(f"sightline.plans.{_m}")
