@@ -170,8 +170,7 @@ def merge_instances(spark, sf):
 def multi_scale_components(spark, sf):
     """3D parts per cloud with a link radius per point."""
     p = t.points(spark, sf).withColumn("radius", F.lit(0.06) + F.abs("x") * 0.4)
-    levels = [0.06 * 2**k for k in range(3)]
-    edges = durable(tr.scale_edges(p, ["cloud"], levels), "scale-edges")
+    edges = durable(tr.scale_edges(p, ["cloud"]), "scale-edges")
     comp = cc.connected_components(edges, "a", "b")
     return tr.order_components(p, comp, ["cloud"])
 

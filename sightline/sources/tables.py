@@ -207,3 +207,36 @@ TRACKING_SQL = f"""mrow AS (SELECT user_id % 10 AS seq, CAST(floor(epoch_us(ts)
 truths AS (SELECT DISTINCT seq, t, gt FROM mrow WHERE event_type <> 'purchase'),
 tracks AS (SELECT DISTINCT seq, t, trk FROM mrow WHERE event_type <> 'error'),
 mpair AS (SELECT seq, t, gt, trk, max(sim) AS sim FROM mrow WHERE event_type NOT IN ('error', 'purchase') GROUP BY ALL)"""
+
+
+IMAGE_W, IMAGE_H = 48, 48
+
+
+def rgbd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour and depth images: a pixel per line item, frame = block of orders."""
+    li = table(spark, sf_dir, "lineitem")
+    n = IMAGE_W * IMAGE_H
+    cell = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % n
+    px = li.select(
+        F.floor(F.col("l_orderkey") / 512).cast("long").alias("frame"),
+        F.floor(cell / IMAGE_W).cast("int").alias("v"),
+        (cell % IMAGE_W).cast("int").alias("u"),
+        (F.floor(cell / 400) % 3).alias("colour"),
+        (F.lit(1.0) + F.floor(F.col("l_quantity") / 10) * 0.5).alias("depth"),
+    )
+    return px.groupBy("frame", "v", "u").agg(F.min("colour").alias("colour"), F.min("depth").alias("depth"))
+
+
+RGBD_SQL = f"""rgbd AS (SELECT frame, cell // {IMAGE_W} AS v, cell % {IMAGE_W} AS u, min(cell // 400 % 3) AS colour,
+  min(1.0::DOUBLE + floor(l_quantity / 10) * 0.5::DOUBLE) AS depth
+  FROM (SELECT l_orderkey // 512 AS frame, (l_orderkey * 7 + l_linenumber) % {IMAGE_W * IMAGE_H} AS cell, l_quantity FROM lineitem)
+  GROUP BY ALL)"""
+
+
+def camera_poses(images: DataFrame) -> DataFrame:
+    """One pose per frame: steps along x without turning."""
+    zero = F.lit(0.0)
+    return images.select("frame").distinct().select(
+        "frame", (F.col("frame") * 0.05).alias("tx"), zero.alias("ty"), zero.alias("tz"),
+        zero.alias("qx"), zero.alias("qy"), zero.alias("qz"), F.lit(1.0).alias("qw"),
+    )
