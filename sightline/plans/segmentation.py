@@ -56,10 +56,14 @@ preds AS (SELECT pp.frame, pp.pred, area_pred, void, own.gt AS matched_gt, coale
 
 
 def scene(spark, sf):
-    """Hits, labels, pairs and matches of all frames; pairs are a few rows per frame."""
+    """Hits, labels and pairs of all frames.
+
+    Hits and labels feed several reports and are written once; pairs are a few
+    rows per frame.
+    """
     r = t.rasters(spark, sf)
-    labels = t.label_cells(r)
-    hits = mk.mask_hits(t.mask_cells(r), labels)
+    labels = durable(t.label_cells(r), "labels")
+    hits = durable(mk.mask_hits(t.mask_cells(r), labels), "mask-hits")
     pairs = durable(mk.mask_pairs(hits, labels), "mask-pairs")
     return hits, labels, pairs
 
