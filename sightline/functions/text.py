@@ -84,3 +84,8 @@ STATUS_NAMES = {
     "no_kf": "no keyframe",
 }
 TIDE_NAMES = {"dupe": "duplicate", "loc": "localisation", "bkg": "background", "other": "other"}
+
+
+def similar(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Texts that agree in most characters."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) >= least

@@ -77,6 +77,6 @@ def exact_quantiles(
     ends = hits.groupBy(*grp, "_k").agg(
         F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.max(F.col("_pos") - F.floor("_pos")).alias("_f")
     )
-    at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
+    at = F.col("_a") * (1.0 - F.col("_f")) + F.col("_z") * F.col("_f")
     out = ends.groupBy(*grp).agg(*[F.max(F.when(F.col("_k") == k, at)).alias(k) for k in probs])
     return out if keys else out.drop("_g")

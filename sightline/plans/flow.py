@@ -37,8 +37,8 @@ def flow_times(spark, sf):
 
 @query("flowtime_stats", _FLOW_SQL + """
 SELECT count(*) AS n, sum(flow_us) / count(*) / 1e6 AS mean_s, max(flow_us) / 1e6 AS max_s,
-       quantile_cont(flow_us, 0.5) / 1e6 AS median_s, quantile_cont(flow_us, 0.9) / 1e6 AS p90_s,
-       quantile_cont(flow_us, 0.99) / 1e6 AS p99_s
+       quantile_cont(flow_us::DOUBLE, 0.5) / 1e6 AS median_s, quantile_cont(flow_us::DOUBLE, 0.9) / 1e6 AS p90_s,
+       quantile_cont(flow_us::DOUBLE, 0.99) / 1e6 AS p99_s
 FROM flow""")
 def flowtime_stats(spark, sf):
     flow = temporal.flow_times(t.arrivals(spark, sf), FLOW_OUT, FLOW_IN)
