@@ -153,11 +153,12 @@ def outlier_ratio(spark, sf):
 
 
 @query("alignment_percentiles", _DIST + """
-SELECT cloud, quantile_cont(dist, 0.1) AS p10, quantile_cont(dist, 0.5) AS p50, quantile_cont(dist, 0.9) AS p90,
-  quantile_cont(dist, 0.99) AS p99 FROM d GROUP BY cloud""")
+SELECT cloud, round(quantile_cont(dist, 0.1), 9) AS p10, round(quantile_cont(dist, 0.5), 9) AS p50, round(quantile_cont(dist, 0.9), 9) AS p90,
+  round(quantile_cont(dist, 0.99), 9) AS p99 FROM d GROUP BY cloud""")
 def alignment_percentiles(spark, sf):
     d = next_cloud_distance(spark, sf)
-    return exact_quantiles(d, ["cloud"], "dist", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    q = exact_quantiles(d, ["cloud"], "dist", {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return q.select("cloud", *[F.round(c, 9).alias(c) for c in ("p10", "p50", "p90", "p99")])
 
 
 @query("label_transfer", f"""WITH {t.POINTS_SQL}, d AS (SELECT p.point_id, q.cloud AS owner, q.point_id AS owner_point,

@@ -37,8 +37,8 @@ def flow_times(spark, sf):
 
 @query("flowtime_stats", _FLOW_SQL + """
 SELECT count(*) AS n, sum(flow_us) / count(*) / 1e6 AS mean_s, max(flow_us) / 1e6 AS max_s,
-       quantile_cont(flow_us::DOUBLE, 0.5) / 1e6 AS median_s, quantile_cont(flow_us::DOUBLE, 0.9) / 1e6 AS p90_s,
-       quantile_cont(flow_us::DOUBLE, 0.99) / 1e6 AS p99_s
+       round(quantile_cont(flow_us, 0.5) / 1e6, 9) AS median_s, round(quantile_cont(flow_us, 0.9) / 1e6, 9) AS p90_s,
+       round(quantile_cont(flow_us, 0.99) / 1e6, 9) AS p99_s
 FROM flow""")
 def flowtime_stats(spark, sf):
     flow = temporal.flow_times(t.arrivals(spark, sf), FLOW_OUT, FLOW_IN)
@@ -48,7 +48,7 @@ def flowtime_stats(spark, sf):
         (F.sum("flow_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"),
         (F.max("flow_us") / 1e6).alias("max_s"),
     )
-    secs = q.select(*[(F.col(c) / 1e6).alias(f"{c}_s") for c in ("median", "p90", "p99")])
+    secs = q.select(*[F.round(F.col(c) / 1e6, 9).alias(f"{c}_s") for c in ("median", "p90", "p99")])
     # One row on each side; keeps n = 0 when no stamp matched.
     return agg.withColumn("_k", F.lit(0)).join(secs.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
