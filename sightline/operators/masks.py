@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import rules
@@ -23,12 +23,12 @@ def label_pairs(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
     """IoU of every overlapping (pred, gt) label pair; label 0 takes part in no area."""
     keys = list(keys)
     counts = raster.groupBy(*keys, "pred", "gt").agg(F.count(F.lit(1)).alias("n"))
-    ap = counts.where("pred <> 0").groupBy(*keys, "pred").agg(F.sum("n").alias("area_pred"))
-    ag = counts.where("gt <> 0").groupBy(*keys, "gt").agg(F.sum("n").alias("area_gt"))
+    # Areas are summed over the few label pairs of a frame, so pixels are scanned once.
+    area_pred = F.sum("n").over(Window.partitionBy(*keys, "pred"))
+    area_gt = F.sum("n").over(Window.partitionBy(*keys, "gt"))
     return (
-        counts.where("pred <> 0 AND gt <> 0")
-        .join(ap, [*keys, "pred"])
-        .join(ag, [*keys, "gt"])
+        counts.withColumns({"area_pred": area_pred, "area_gt": area_gt})
+        .where("pred <> 0 AND gt <> 0")
         .withColumn("iou", F.col("n") / (F.col("area_pred") + F.col("area_gt") - F.col("n")))
     )
 
@@ -59,15 +59,17 @@ def mask_hits(masks: DataFrame, labels: DataFrame) -> DataFrame:
 def mask_pairs(hits: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts per overlapping (frame, pred, gt); void inside a mask leaves the union."""
     n = hits.groupBy("frame", "pred", "gt").agg(F.count(F.lit(1)).alias("inter"))
-    per_pred = n.groupBy("frame", "pred").agg(
-        F.sum("inter").alias("area_pred"),
-        F.coalesce(F.sum(F.when(F.col("gt") == VOID, F.col("inter"))), F.lit(0)).alias("void"),
+    of_mask = Window.partitionBy("frame", "pred")  # the labels under one mask
+    n = n.withColumns(
+        {
+            "area_pred": F.sum("inter").over(of_mask),
+            "void": F.coalesce(F.sum(F.when(F.col("gt") == VOID, F.col("inter"))).over(of_mask), F.lit(0)),
+        }
     )
     per_gt = gt_areas(labels)
     union = F.col("area_pred") + F.col("area_gt") - F.col("inter") - F.col("void")
     return (
         n.where(F.col("gt") != VOID)
-        .join(per_pred, ["frame", "pred"])
         .join(per_gt, ["frame", "gt"])
         .withColumn("iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
         .withColumn("covers_gt", 2 * F.col("inter") >= F.col("area_gt"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import rules
@@ -197,11 +197,12 @@ def identity_metrics(
 
 def alignment(truths: DataFrame, tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Global alignment of every (gt, trk): shared potential over the union of their lifetimes."""
-    rows = pairs.groupBy("seq", "t", "gt").agg(F.sum("sim").alias("_rs"))
-    cols = pairs.groupBy("seq", "t", "trk").agg(F.sum("sim").alias("_cs"))
+    # Row and column sums of one timestep: few rows per window.
+    row = F.sum("sim").over(Window.partitionBy("seq", "t", "gt"))
+    col = F.sum("sim").over(Window.partitionBy("seq", "t", "trk"))
     den = F.col("_rs") + F.col("_cs") - F.col("sim")
     pot = (
-        pairs.join(rows, ["seq", "t", "gt"]).join(cols, ["seq", "t", "trk"])
+        pairs.withColumns({"_rs": row, "_cs": col})
         .withColumn("_s", F.when(den > rules.RATIO_EPS, F.col("sim") / den).otherwise(0.0))
         .groupBy("seq", "gt", "trk").agg(F.sum("_s").alias("potential"))
     )

@@ -23,6 +23,7 @@ from sightline.session import durable
 
 STEP_BITS = 2
 LEAF_TARGET = 16
+TOP_SALTS = 16
 CELL = ("ix", "iy", "iz")
 
 
@@ -130,10 +131,7 @@ def nearest(
     bound2 = None if bound is None else bound * bound
     level = _pyramid_level(boxed, grp, top)
     if bound is None:
-        # The coarsest cells are at least as wide as the data: at most 8 per group.
-        cands = q.join(level, on) if on else q.withColumn("_k", F.lit(0)).join(
-            level.withColumn("_k", F.lit(0)), "_k"
-        ).drop("_k")
+        cands = _join_top(q, level, on)
     else:
         cands = _join_neighbours(q, level, on, leaf * 4**top, bound)
     cands = _prune(cands, qid, per, bound2)
@@ -156,6 +154,19 @@ def nearest(
     )
 
 
+def _join_top(q: DataFrame, level: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Queries with the coarsest cells, which are as wide as the data: at most 8 per group.
+
+    Groups are salted, so that a group with very many queries is spread; the few
+    cells are repeated for every salt. Without groups the cells are broadcast.
+    """
+    if not on:
+        return q.withColumn("_k", F.lit(0)).join(F.broadcast(level.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    salt = F.pmod(F.xxhash64(*[f"q_{c}" for c in XYZ]), F.lit(TOP_SALTS))
+    copies = level.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TOP_SALTS - 1).cast("long"))))
+    return q.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: float, bound: float) -> DataFrame:
     """Queries with the coarse cells inside the bound (the cell is at least that wide)."""
     spread, near = q, F.lit(True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import rules
@@ -292,10 +292,11 @@ def presence_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataF
     return c.withColumn("disagreement", rules.ratio(F.col("n_union") - F.col("n_both"), F.col("n_union")))
 
 
-def top_k(rows: DataFrame, keys: Sequence[str], score: str, tie: str, k: int, salts: int = 16) -> DataFrame:
-    """The k best rows per key: first inside salted parts of a key, then among the survivors."""
-    from pyspark.sql import Window
+def top_k(rows: DataFrame, keys: Sequence[str], score: str, tie: str, k: int, salts: int = 64) -> DataFrame:
+    """The k best rows per key: first inside salted parts of a key, then among the survivors.
 
+    The rank filter also lets Spark cut each key to k rows before the shuffle.
+    """
     order = [F.col(score).desc(), F.col(tie).asc()]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
     part = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))

@@ -169,7 +169,7 @@ def type_vectors(objects: DataFrame, colour: str, dims: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda i: F.pmod(F.xxhash64(F.col("dense_id"), i), F.lit(2_000_001)) / 1_000_000.0 - 1.0,
     )
-    j = rank.withColumn("_k", F.lit(0)).join(n, "_k")
+    j = rank.withColumn("_k", F.lit(0)).join(F.broadcast(n), "_k")  # one row
     pick = F.when(F.col("_n") <= dims, axis).otherwise(g.unit_vector(noise))
     return objects.join(j.select(colour, pick.alias("embedding")), colour)
 
@@ -212,7 +212,7 @@ def every_kth(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     s = durable(s, "numbered")
     total = s.agg(F.count(F.lit(1)).alias("_t")).withColumn("_k", F.lit(0))
     step = F.greatest(F.lit(1), F.floor(F.col("_t") / n))
-    j = s.withColumn("_k", F.lit(0)).join(total, "_k")
+    j = s.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k")  # one row
     return j.where((F.col("_p") % step == 0) & (F.col("_p") / step < n)).drop("_p", "_k", "_t", "_slice")
 
 
