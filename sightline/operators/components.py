@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             return label
         both = work.union(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
-        parent = parent.withColumn("p", F.least("v", "p"))
+        # Edges are read once per round; the jumps work on one row per vertex.
+        parent = durable(parent.withColumn("p", F.least("v", "p")), "cc-parents")
         for _ in range(JUMPS):
             parent = _shorten(parent)
         parent = durable(parent, "cc-parents")

@@ -13,17 +13,23 @@ from pyspark.sql import functions as F
 
 from sightline.operators import rules
 from sightline.operators.assignment import assign
+from sightline.session import durable
 
 VOID = 0
 
 
 # ------------------------------------------------------- label image against label image
 
-def label_pairs(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """IoU of every overlapping (pred, gt) label pair; label 0 takes part in no area."""
-    keys = list(keys)
-    counts = raster.groupBy(*keys, "pred", "gt").agg(F.count(F.lit(1)).alias("n"))
-    # Areas are summed over the few label pairs of a frame, so pixels are scanned once.
+def label_counts(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pixels per (keys, pred, gt): the only pass over the pixels."""
+    return raster.groupBy(*keys, "pred", "gt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_pairs(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """IoU of every overlapping (pred, gt) label pair; label 0 takes part in no area.
+
+    Areas are summed over the few label pairs of a frame.
+    """
     area_pred = F.sum("n").over(Window.partitionBy(*keys, "pred"))
     area_gt = F.sum("n").over(Window.partitionBy(*keys, "gt"))
     return (
@@ -36,10 +42,10 @@ def label_pairs(raster: DataFrame, keys: Sequence[str]) -> DataFrame:
 def frame_mask_iou(raster: DataFrame, keys: Sequence[str], floor: float = 0.0) -> DataFrame:
     """Mean IoU over the ground truths of a frame after greedy matching; 1 without ground truth."""
     keys = list(keys)
-    pairs = label_pairs(raster, keys)
-    got = assign(pairs, keys, "pred", "gt", "iou", F.col("iou") > floor, "greedy")
+    counts = durable(label_counts(raster, keys), "label-counts")
+    got = assign(label_pairs(counts, keys), keys, "pred", "gt", "iou", F.col("iou") > floor, "greedy")
     got = got.groupBy(*keys).agg(F.sum("iou").alias("_s"), F.count(F.lit(1)).alias("n_matched"))
-    sizes = raster.groupBy(*keys).agg(
+    sizes = counts.groupBy(*keys).agg(
         F.countDistinct(F.when(F.col("gt") != 0, F.col("gt"))).alias("n_gt"),
         F.countDistinct(F.when(F.col("pred") != 0, F.col("pred"))).alias("n_pred"),
     )

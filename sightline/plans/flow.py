@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.operators import ordered, temporal
-from sightline.operators.quantiles import exact_quantiles
 from sightline.plans.registry import query
+from sightline.sources import profiles
 from sightline.sources import tables as t
 
 FLOW_OUT, FLOW_IN = "error", ["click", "view"]
@@ -41,16 +42,7 @@ SELECT count(*) AS n, sum(flow_us) / count(*) / 1e6 AS mean_s, max(flow_us) / 1e
        round(quantile_cont(flow_us, 0.99) / 1e6, 9) AS p99_s
 FROM flow""")
 def flowtime_stats(spark, sf):
-    flow = temporal.flow_times(t.arrivals(spark, sf), FLOW_OUT, FLOW_IN)
-    q = exact_quantiles(flow, [], "flow_us", {"median": 0.5, "p90": 0.9, "p99": 0.99})
-    agg = flow.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum("flow_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"),
-        (F.max("flow_us") / 1e6).alias("max_s"),
-    )
-    secs = q.select(*[F.round(F.col(c) / 1e6, 9).alias(f"{c}_s") for c in ("median", "p90", "p99")])
-    # One row on each side; keeps n = 0 when no stamp matched.
-    return agg.withColumn("_k", F.lit(0)).join(secs.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return profiles.flow_report(t.arrivals(spark, sf), FLOW_OUT, FLOW_IN)
 
 
 @query("run_drops", f"""WITH {t.ARRIVALS_SQL},
@@ -61,17 +53,15 @@ SELECT topic, n AS frames_played, n_raw AS sets_received, greatest(0, n - n_raw)
 FROM c, played""")
 def run_drops(spark, sf):
     """Frames played is the largest distinct-stamp count of the input topics."""
-    c = temporal.topic_counts(t.arrivals(spark, sf))
-    played = c.where(F.col("topic").isin(FLOW_IN)).agg(F.max("n_stamps").alias("frames_played"))
-    return (
-        c.withColumn("_k", F.lit(0)).join(played.withColumn("_k", F.lit(0)), "_k")
-        .select(
-            "topic",
-            "frames_played",
-            F.col("n_arrivals").alias("sets_received"),
-            F.greatest(F.lit(0).cast("long"), F.col("frames_played") - F.col("n_arrivals")).alias("dropped_raw"),
-            F.greatest(F.lit(0).cast("long"), F.col("frames_played") - F.col("n_stamps")).alias("dropped_scored"),
-        )
+    topics = Window.partitionBy(F.lit(0))  # one row per topic
+    played = F.max(F.when(F.col("topic").isin(FLOW_IN), F.col("n_stamps"))).over(topics)
+    zero = F.lit(0).cast("long")
+    return temporal.topic_counts(t.arrivals(spark, sf)).withColumn("frames_played", played).select(
+        "topic",
+        "frames_played",
+        F.col("n_arrivals").alias("sets_received"),
+        F.greatest(zero, F.col("frames_played") - F.col("n_arrivals")).alias("dropped_raw"),
+        F.greatest(zero, F.col("frames_played") - F.col("n_stamps")).alias("dropped_scored"),
     )
 
 

@@ -83,7 +83,7 @@ ag AS (SELECT frame, gt, sum(n)::BIGINT AS area_gt FROM n WHERE gt <> 0 GROUP BY
 SELECT frame, pred, gt, n, area_pred, area_gt, n / (area_pred + area_gt - n) AS iou
 FROM n JOIN ap USING (frame, pred) JOIN ag USING (frame, gt)""")
 def label_iou_matrix(spark, sf):
-    return mk.label_pairs(t.rasters(spark, sf), ["frame"])
+    return mk.label_pairs(mk.label_counts(t.rasters(spark, sf), ["frame"]), ["frame"])
 
 
 @query("mask_overlap", f"WITH {PAIRS_SQL} SELECT frame, pred, gt, inter, area_pred, area_gt, void, iou FROM pairs")

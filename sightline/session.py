@@ -52,7 +52,8 @@ def durable_root(spark: SparkSession) -> str:
 
 
 def durable_path(spark: SparkSession, name: str) -> str:
-    return f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path; everything of one application lies below one folder, to be removed with it."""
+    return f"{durable_root(spark)}/sightline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import temporal
 from sightline.operators.quantiles import exact_quantiles
+from sightline.session import durable
 
 # Topics per module.
 INPUTS = {
@@ -29,14 +30,14 @@ OUTPUTS = {
 
 def flow_report(arrivals: DataFrame, out_topic: str, in_topics: list[str]) -> DataFrame:
     """n, mean, median, p90, p99 and max flow time in seconds; only n = 0 without matches."""
-    flow = temporal.flow_times(arrivals, out_topic, in_topics)
+    flow = durable(temporal.flow_times(arrivals, out_topic, in_topics), "flow-times")
     q = exact_quantiles(flow, [], "flow_us", {"median": 0.5, "p90": 0.9, "p99": 0.99})
     a = flow.agg(
         F.count(F.lit(1)).alias("n"),
         (F.try_divide(F.sum("flow_us"), F.count(F.lit(1))) / 1e6).alias("mean_s"),
         (F.max("flow_us") / 1e6).alias("max_s"),
     )
-    secs = q.select(*[(F.col(c) / 1e6).alias(f"{c}_s") for c in ("median", "p90", "p99")])
+    secs = q.select(*[F.round(F.col(c) / 1e6, 9).alias(f"{c}_s") for c in ("median", "p90", "p99")])
     return a.withColumn("_k", F.lit(0)).join(secs.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
 
 

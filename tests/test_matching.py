@@ -177,7 +177,7 @@ def test_thresholded_matching_and_void_union(spark):
 def test_label_image_iou_ignores_zero(spark):
     rows = [(0, 1, 1)] * 4 + [(0, 1, 0)] * 2 + [(0, 0, 1)] * 2 + [(0, 2, 2)] * 3 + [(1, 1, 0)]
     df = spark.createDataFrame(rows, "frame long, pred long, gt long")
-    got = {(r.frame, r.pred, r.gt): r.iou for r in mk.label_pairs(df, ["frame"]).collect()}
+    got = {(r.frame, r.pred, r.gt): r.iou for r in mk.label_pairs(mk.label_counts(df, ["frame"]), ["frame"]).collect()}
     assert got == {(0, 1, 1): 0.5, (0, 2, 2): 1.0}
     f = {r.frame: r.mean_matched_iou for r in mk.frame_mask_iou(df, ["frame"]).collect()}
     assert f == {0: 0.75, 1: 1.0}
