@@ -1 +1,8 @@
-"""Spark-native evaluation of perception and tracking runs."""
+"""Evaluation of perception and tracking runs on Apache Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with their code, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,9 +1,10 @@
 """Connected components by repeated contraction.
 
 Each round every vertex points to its smallest neighbour, pointers are
-shortened, and the edge list is rewritten between the surviving vertices. The
-edge list at least halves its vertices per round, so rounds grow with the
-logarithm of the input. A vertex with very many edges only ever meets a
+shortened by a jump, and the edge list is rewritten between the surviving
+vertices, which at least halves them. Only the contracted edges and the
+round's pointers are written; labels are resolved once at the end by following
+the pointers of all rounds. A vertex with very many edges only ever meets a
 map-side combined minimum and a join against one row per vertex.
 """
 
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from sightline.session import durable
 
-JUMPS = 2
-
 
 def _shorten(parent: DataFrame) -> DataFrame:
     """One pointer jump: parent of the parent."""
@@ -25,30 +24,29 @@ def _shorten(parent: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(v, component) for every vertex that has an edge; component = smallest vertex."""
-    work = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    work = durable(work.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    alone = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("v"))
-    label = work.select(F.explode(F.array("a", "b")).alias("v")).union(alone).distinct()
-    label = durable(label.withColumn("component", F.col("v")), "cc-labels")
-    for _ in range(max_rounds):
-        if work.isEmpty():
-            return label
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    alone = ends.where("a = b").select(F.col("a").alias("v"))
+    work = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    work = durable(work, "cc-edges")
+    rounds: list[DataFrame] = []
+    while not work.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError("components did not converge")
         both = work.union(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
-        # Edges are read once per round; the jumps work on one row per vertex.
-        parent = durable(parent.withColumn("p", F.least("v", "p")), "cc-parents")
-        for _ in range(JUMPS):
-            parent = _shorten(parent)
-        parent = durable(parent, "cc-parents")
+        least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p"))
+        parent = durable(_shorten(least.withColumn("p", F.least("v", "p"))), "cc-parents")
+        rounds.append(parent)
         pa = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         pb = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = work.join(pa, "a").join(pb, "b").where("pa <> pb")
         work = durable(
             moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges"
         )
+    if not rounds:
+        return alone.distinct().withColumn("component", F.col("v"))
+    label = rounds[0].select("v", F.col("p").alias("component"))
+    for parent in rounds[1:]:
         step = parent.select(F.col("v").alias("component"), F.col("p").alias("_p"))
-        label = durable(
-            label.join(step, "component", "left").select("v", F.coalesce("_p", "component").alias("component")),
-            "cc-labels",
-        )
-    raise RuntimeError("components did not converge")
+        label = label.join(step, "component", "left").select("v", F.coalesce("_p", "component").alias("component"))
+    lone = alone.distinct().join(rounds[0], "v", "left_anti").withColumn("component", F.col("v"))
+    return label.unionByName(lone)
