@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import digests, mixing, simhash
-from sightline.llm.common import read_table
+from sightline.llm import (
+    digests, language, masked_lm, mixing, packing, quality, simhash, token_prefix, toxicity, vptree,
+)
+from sightline.llm.common import crc_mod, read_table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +70,67 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """
 
+def _label(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, sf_dir, "labels").select("doc_id", F.col(name).alias("label"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(docs, _label(spark, sf_dir, "toxic"), crc_mod("doc_id", 4) != 2)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.fit(docs, _label(spark, sf_dir, "quality"), crc_mod("doc_id", 5) != 0)
+
+
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(read_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scores.select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(read_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scores.select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
+def op7_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_prefix.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+def op9_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"), crc_mod("doc_id", 5) != 0)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_document_fingerprints, op2_simhash_near_dedup, op3_source_mixing)
-}
+    for f in (
+        op1_document_fingerprints, op2_simhash_near_dedup, op3_source_mixing, op4_toxicity_grammar,
+        op5_quality_compression, op6_masked_pseudo_likelihood, op7_best_two_fit_packing,
+        op8_prefix_token_counts, op9_language_unigrams, op10_vantage_point_trees,
+    )
+}
 
 ORACLE: dict[str, str] = {"op3_source_mixing": OP3_SQL}

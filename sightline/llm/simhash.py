@@ -150,8 +150,9 @@ def near_duplicates(
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its near-duplicate group; rows that repeat it go too."""
-    keep = near_duplicates(df, id_col, text_col).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select(F.col("doc_id").alias("_keep")).distinct()
-    return df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """The rows of ``df`` whose id is the smallest of its near-duplicate group; of rows that repeat it one stays."""
+    null = F.lit(-(2**63))
+    keep = near_duplicates(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = keep.select(F.coalesce("doc_id", null).alias("_keep")).distinct()
+    rows = df.withColumn("_keep", F.coalesce(F.col(f"`{id_col}`"), null))
+    return rows.join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).select(*[f"`{c}`" for c in df.columns])
