@@ -38,6 +38,10 @@ KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 RESCALE = 24
+#: Longer words are scored one by one, with rescaling.
+SHORT = 32
+GROUP = 4096
+TOGETHER = 256
 
 
 def vocabulary_pieces(path: str | None = None) -> list[str]:
@@ -82,31 +86,23 @@ class Lattice:
         return out
 
 
-def log_likelihood(lattice: Lattice, table: list[tuple[float, ...]], unknown: tuple[float, ...], word: str) -> list[float]:
+def log_likelihood(lattice: Lattice, table: np.ndarray, unknown: np.ndarray, word: str) -> np.ndarray:
     """Log probability of a word under every language: the forward sums over all segmentations.
 
     ``table`` holds the piece probabilities of all languages.
     """
     edges = lattice.edges(word)
-    langs = range(len(unknown))
-    sums = [[1.0] * len(unknown)]
+    sums = [np.ones(len(unknown))]
     scale = 0.0
     for end in range(1, len(edges)):
-        here = [0.0] * len(unknown)
-        for start, piece in edges[end]:
-            before = sums[start]
-            p = table[piece] if piece >= 0 else unknown
-            for k in langs:
-                here[k] += before[k] * p[k]
+        here = sum(sums[start] * (table[piece] if piece >= 0 else unknown) for start, piece in edges[end])
         sums.append(here)
-        if end % RESCALE == 0:
+        if end % RESCALE == 0 and 0 < (top := here.max()) < 1e-60:
             # All sums that are still read shrink alike.
-            top = max(here)
-            if top < 1e-60:
-                for at in range(max(0, end - lattice.longest), end + 1):
-                    sums[at] = [v / top for v in sums[at]]
-                scale += np.log(top)
-    return [float(np.log(max(v, 1e-300)) + scale) for v in sums[-1]]
+            for at in range(max(0, end - lattice.longest), end + 1):
+                sums[at] = sums[at] / top
+            scale += np.log(top)
+    return np.log(np.maximum(sums[-1], 1e-300)) + scale
 
 
 def expected_counts(lattice: Lattice, probs: np.ndarray, word: str, weight: float, into: dict[int, float]) -> None:
@@ -181,50 +177,92 @@ def fit(docs: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS, vocabulary
     return LanguageModel(langs, [float(np.log(shares[lang] / total)) for lang in langs], probs, vocabulary)
 
 
+def batch_log_likelihood(lattice: Lattice, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """``log_likelihood`` of words of one length together, without rescaling.
+
+    ``table`` has a row per piece, then one for unknown letters and one of zeros.
+    """
+    unknown, none = len(table) - 2, len(table) - 1
+    n = len(words[0]) + 1
+    spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - lattice.longest), b)]
+    get = lattice.index.get
+    found = np.array([[get(w[a:b], none) for a, b in spans] for w in (START + w for w in words)])
+    sums = [np.ones((len(words), table.shape[1]))]
+    column = 0
+    for end in range(1, n + 1):
+        total = np.zeros_like(sums[0])
+        for start in range(max(0, end - lattice.longest), end):
+            piece = found[:, column]
+            if start == end - 1:
+                piece = np.where(piece == none, unknown, piece)
+            total += sums[start] * table[piece]
+            column += 1
+        sums.append(total)
+    return np.log(np.maximum(sums[-1], 1e-300))
+
+
 class Scorer:
     """Word scores of a model, kept between the texts of a task."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.lattice = Lattice(vocabulary_pieces(model.vocabulary))
-        self.table = list(map(tuple, model.probs.T.tolist()))
-        self.unknown = (UNKNOWN,) * len(model.langs)
+        n = len(model.langs)
+        self.table = np.concatenate([model.probs.T, np.full((1, n), UNKNOWN), np.zeros((1, n))]) if n else None
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.langs)))
-
-    def _row(self, word: str) -> int:
-        at = self.rows.get(word)
-        if at is None:
-            at = self.rows[word] = len(self.rows)
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = log_likelihood(self.lattice, self.table, self.unknown, word)
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
+        self.scores = np.zeros((1024, n))
+
+    def learn(self, words: set[str]) -> None:
+        """Scores of new words."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        at = len(self.rows)
+        while at + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        for length, group in by_length.items():
+            for i in range(0, len(group), GROUP):
+                part = group[i : i + GROUP]
+                if length <= SHORT:
+                    found = batch_log_likelihood(self.lattice, self.table, part)
+                else:
+                    found = np.array([log_likelihood(self.lattice, self.table[:-2], self.table[-2], w) for w in part])
+                self.scores[at : at + len(part)] = found
+                self.rows.update(zip(part, range(at, at + len(part)), strict=True))
+                at += len(part)
+
+    def predict(self, texts: list) -> list[tuple[str, float]]:
+        """Language and score of every text."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            parts = [words_of(t or "") for t in texts[i : i + TOGETHER]]
+            if self.model.langs:
+                if len(self.rows) > KEPT_WORDS:
+                    self.rows.clear()
+                new = {w for words in parts for w in words if w not in self.rows}
+                self.learn(new)
+            out += map(self._decide, parts)
+        return out
+
+    def _decide(self, words: list[str]) -> tuple[str, float]:
         if not any(map(str.isalpha, words)):
             return UNDETERMINED, 1.0
         if not self.model.langs:
             return UNDETERMINED, 0.0
-        if len(self.rows) > KEPT_WORDS:
-            self.rows.clear()
-        rows = self.rows
-        try:
-            at = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            at = np.fromiter(map(self._row, words), np.int64, len(words))
-        total = self.scores[at].sum(0) + self.model.prior
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        found = self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+        best = int((found.sum(0) + self.model.prior).argmax())
+        # How surely single words are of that language, on average.
+        odds = found + self.model.prior
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        return self.model.langs[best], float((odds[:, best] / odds.sum(1)).mean())
 
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the likeliest language and its posterior probability."""
+    """(doc_id, lang_pred, score): the likeliest language and the mean posterior of single words for it."""
 
     def run(batches: Iterator[list]) -> Iterator[tuple]:
         scorer = Scorer(model)
         for ids, texts in batches:
-            yield ids, *(zip(*[scorer.predict(t) for t in texts], strict=True) if texts else ([], []))
+            yield ids, *(zip(*scorer.predict(texts), strict=True) if texts else ([], []))
 
     return by_rows(picked(df, doc_id=id_col, text=text_col), run, "doc_id long, lang_pred string, score double")

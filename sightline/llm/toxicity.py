@@ -8,7 +8,8 @@ Matched clauses, weighted by their terms and contexts, give the score.
 
 Insult terms and their weights are learned: words and word beginnings that
 mark toxic documents are taken greedily, each for the toxic documents that no
-earlier term explains. At most ``TRAIN_ROWS`` labelled rows are used, chosen by
+earlier term explains, then words that are as telling alone. The weights of
+matches are fitted on terms learned from the other half of the rows. At most ``TRAIN_ROWS`` labelled rows are used, chosen by
 a hash of their ids; every whole text is scored. Nulls and empty texts have no
 clauses and get the score of a text without matches. Without labels of both
 kinds no term is known and every score is the share of toxic labels, or 0.
@@ -27,14 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import bounded_sample, by_rows, logistic_fit, picked
+from sightline.session import durable
 
 #: Labelled rows used for the fit.
 TRAIN_ROWS = 16_000
 THRESHOLD = 0.3
 SEED = 4
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 #: A term marks toxic documents at least so many times more often than others.
 LIFT = 20.0
+#: Toxic documents that a term must explain, and that make a word without clean ones a term.
+LEAST, OFTEN = 2, 3
 KEPT_WORDS = 400_000
 #: Words after a negation that it covers.
 NEGATED = 3
@@ -145,19 +149,21 @@ class Grammar:
             yield out
 
     def features(self, text: str) -> list[float]:
-        """Weighted matches of all clauses: in all, and by context; threats count where they meet a target."""
+        """The strongest match and all matches, by weight; matches by context; threats that meet a target."""
         sums = [0.0] * CONTEXTS
-        threats = 0
+        threats, top = 0, 0.0
         for clause in self.clauses(text):
             for symbol, marks, weight in clause:
                 if symbol == INSULT:
                     sums[marks] += weight
+                    top = max(top, weight)
                 elif marks & 1 and not marks & 2:
                     threats += 1
-        plain, aimed = sums[0], sums[1]
+        aimed = sums[1]
         negated = sum(v for m, v in enumerate(sums) if m & 2)
         reported = sum(v for m, v in enumerate(sums) if m & 4 and not m & 2)
-        return [float(np.log1p(v)) for v in (sum(sums), plain, aimed, negated, reported, threats)]
+        # Contexts share the weight of all matches and differ from it only as far as labels show.
+        return [top, float(np.log1p(sum(sums))), *(0.3 * float(np.log1p(v)) for v in (aimed, negated, reported, threats))]
 
 
 def document_terms(text: str) -> set[str]:
@@ -166,92 +172,98 @@ def document_terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _cover(toxic_docs: list[list[str]], counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Terms chosen one by one, each for the most toxic documents not yet explained; with their log odds."""
-    where: dict[str, set[int]] = {}
-    for at, terms in enumerate(toxic_docs):
-        for t in terms:
-            where.setdefault(t, set()).add(at)
-    chosen: dict[str, float] = {}
-    while where:
-        # Rarely in clean documents first; a whole word before its beginnings.
-        best = max(where, key=lambda t: (len(where[t]) - counts[t][1], not t.endswith("*"), len(t), t))
-        docs = where[best]
-        if len(docs) - counts[best][1] < 2:
-            break
-        pos, neg = counts[best]
-        chosen[best] = float(np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1)))
-        explained = set(docs)
-        where = {t: rest for t, d in where.items() if (rest := d - explained)}
-    return chosen
-
-
-def _companions(counts: dict[str, tuple[int, int]], chosen: dict[str, float], toxic: int, clean: int) -> dict[str, float]:
-    """Further terms, as strong alone as the chosen ones: frequent in toxic documents, in no clean one."""
-    floor = max(5, 0.02 * toxic)
-    return {
-        t: float(np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1)))
-        for t, (p, n) in counts.items()
-        if t not in chosen and not t.endswith("*") and n == 0 and p >= floor
-    }
+@dataclass
+class Marks:
+    """Occurrences of terms in toxic and clean documents."""
+
+    counts: dict[str, tuple[int, int]]
+    toxic: int
+    clean: int
+
+    def lift(self, term: str) -> float:
+        pos, neg = self.counts[term]
+        return (pos + 0.5) / (self.toxic + 1) * (self.clean + 1) / (neg + 0.5)
+
+    def select(self, toxic_docs: list[list[str]]) -> dict[str, float]:
+        """Terms with their log odds: a greedy cover of the toxic documents, then further words."""
+        where: dict[str, set[int]] = {}
+        for at, terms in enumerate(toxic_docs):
+            for t in terms:
+                if self.counts.get(t, (0, 0))[0] >= LEAST and self.lift(t) >= LIFT:
+                    where.setdefault(t, set()).add(at)
+        chosen = {t for t in where if not t.endswith("*") and self.counts[t][0] >= OFTEN and self.counts[t][1] == 0}
+        explained: set[int] = set()
+        while where:
+            # Rarely in clean documents first; a whole word before its beginnings.
+            best = max(where, key=lambda t: (len(where[t]) - self.counts[t][1], not t.endswith("*"), len(t), t))
+            if len(where[best]) - self.counts[best][1] < LEAST:
+                break
+            chosen.add(best)
+            explained |= where[best]
+            where = {t: rest for t, d in where.items() if (rest := d - explained)}
+        return {t: float(np.log(self.lift(t))) for t in sorted(chosen)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label) where ``learn`` holds."""
     known = bounded_sample(labels.where(learn & F.col("label").isin(0, 1)), "doc_id", SEED, train_rows)
     rows = docs.join(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
-    # Copies count once.
+    # Copies count once, and stay in one half.
     rows = rows.where(F.length("text") > 0).groupBy(F.xxhash64("text").alias("_h"), "label").agg(F.first("text").alias("text"))
-    rows = rows.select("text", "label")
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
-        return ToxicityModel(base=float(bool(toxic)))
+    rows = durable(rows.select("text", "label", F.pmod("_h", F.lit(2)).cast("int").alias("half")), "toxicity-train")
+    totals = {(r["label"], r["half"]): r["count"] for r in rows.groupBy("label", "half").count().collect()}
+    sizes = [[totals.get((label, half), 0) for half in (0, 1)] for label in (0, 1)]
+    if not sum(sizes[0]) or not sum(sizes[1]):
+        return ToxicityModel(base=float(bool(sum(sizes[1]))))
 
     def count(batches: Iterator[list]) -> Iterator[tuple]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for texts, marks in batches:
-            for text, mark in zip(texts, marks, strict=True):
-                seen[mark].update(document_terms(text))
-        terms = list(seen[0].keys() | seen[1].keys())
-        yield terms, [seen[1][t] for t in terms], [seen[0][t] for t in terms]
-
-    counted = by_rows(rows, count, "term string, pos long, neg long").groupBy("term").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-    )
-    strong = counted.where(
-        (F.col("pos") >= 2)
-        & ((F.col("pos") + 0.5) / (toxic + 1) >= LIFT * (F.col("neg") + 0.5) / (clean + 1) * F.when(F.col("neg") == 0, 0.05).otherwise(1.0))
-    )
+        seen = [Counter() for _ in range(4)]
+        for texts, labels_, halves in batches:
+            for text, label, half in zip(texts, labels_, halves, strict=True):
+                seen[2 * label + half].update(document_terms(text))
+        terms = list(set().union(*seen))
+        yield terms, *[[c[t] for t in terms] for c in seen]
+
+    names = ["clean0", "clean1", "toxic0", "toxic1"]
+    counted = by_rows(rows, count, "term string, clean0 long, clean1 long, toxic0 long, toxic1 long")
+    counted = counted.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+
+    def telling(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+        rate = (toxic + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean + 0.5)
+        return (toxic >= LEAST) & (rate >= LIFT)
+
+    both = telling(F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1"), sum(sizes[1]), sum(sizes[0]))
+    either = [telling(F.col(f"toxic{h}"), F.col(f"clean{h}"), sizes[1][h], sizes[0][h]) for h in (0, 1)]
     # As many terms as the bounded sample can hold.
-    counts = {r["term"]: (r["pos"], r["neg"]) for r in strong.collect()}
-    candidates = frozenset(counts)
+    found = counted.where(both | either[0] | either[1]).collect()
+    candidates = frozenset(r["term"] for r in found)
 
     def listed(batches: Iterator[list]) -> Iterator[tuple]:
-        for texts in batches:
-            yield ([sorted(document_terms(t) & candidates) for t in texts[0]],)
+        for texts, halves in batches:
+            yield [sorted(document_terms(t) & candidates) for t in texts], halves
+
+    toxic_docs = by_rows(rows.where("label = 1").select("text", "half"), listed, "terms array<string>, half int").collect()
+
+    def terms_of(*halves: int) -> dict[str, float]:
+        counts = {r["term"]: (sum(r[f"toxic{h}"] for h in halves), sum(r[f"clean{h}"] for h in halves)) for r in found}
+        marks = Marks(counts, sum(sizes[1][h] for h in halves), sum(sizes[0][h] for h in halves))
+        return marks.select([r["terms"] for r in toxic_docs if r["half"] in halves])
 
-    found = by_rows(rows.where("label = 1").select("text"), listed, "terms array<string>").collect()
-    terms = _cover([r["terms"] for r in found], counts, toxic, clean)
-    terms |= _companions(counts, terms, toxic, clean)
-    model = ToxicityModel(terms)
+    by_half = [terms_of(1), terms_of(0)]
 
     def measure(batches: Iterator[list]) -> Iterator[tuple]:
-        grammar = Grammar(terms)
-        for texts, marks in batches:
-            yield [grammar.features(t) for t in texts], marks
+        grammars = [Grammar(t) for t in by_half]
+        for texts, labels_, halves in batches:
+            yield [grammars[h].features(t) for t, h in zip(texts, halves, strict=True)], labels_
 
     table = by_rows(rows, measure, "x array<double>, label int").collect()
     x = np.array([r["x"] for r in table])
     y = np.array([r["label"] for r in table], float)
-    # Contexts share one weight and differ from it only as far as the labels show.
-    x[:, 1:] *= 0.3
-    model.weights = logistic_fit(x, y, ridge=0.5).tolist()
-    return model
+    return ToxicityModel(terms_of(0, 1), logistic_fit(x, y, ridge=0.5).tolist())
 
 
 def _probability(model: ToxicityModel, x: list[float]) -> float:
-    z = np.dot(model.weights[:-1], np.array(x) * np.array([1.0] + [0.3] * 5)) + model.weights[-1]
+    z = np.dot(model.weights[:-1], x) + model.weights[-1]
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
