@@ -116,7 +116,7 @@ def _shard_quotas(sources: DataFrame, shard_blocks: int) -> DataFrame:
     claims = F.filter(
         F.sequence(F.greatest(share - 2, F.lit(0)), share + 2),
         lambda x: (x == 0)
-        | (F.col("full") * F.floor((k * (2 * x - 1) / F.col("tail") + 1) / 2) + x <= F.col("quota")),
+        | (F.col("full") * F.floor((k * (2 * x - 1) / F.greatest("tail", F.lit(1)) + 1) / 2) + x <= F.col("quota")),
     )
     last = F.when(F.col("full") == 0, F.col("quota")).when(F.col("tail") == 0, F.lit(0)).otherwise(F.array_max(claims))
     rows = rows.withColumn("last", last.cast("long")).withColumn("_rest", F.col("quota") - F.col("last"))
@@ -138,7 +138,8 @@ def _ranges(block: int, shard_blocks: int, seed: int) -> Column:
 
     def of_shard(h: Column) -> Column:
         is_last = h == F.col("full")
-        n = F.when(is_last, F.col("tail")).otherwise(F.lit(shard_blocks))
+        # Documents without words may lie behind the last shard.
+        n = F.when(is_last, F.greatest("tail", F.lit(1))).otherwise(F.lit(shard_blocks))
         q = F.when(is_last, F.col("last")).otherwise(F.col("each") + (h < F.col("extra")).cast("long"))
         turn = F.pmod((F.col("rank") * 7919 + h * 104729 + seed) * 2654435761, F.lit(4294967296))
         first = h * shard_blocks + F.pmod(turn, n)
