@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import by_rows, picked
 from sightline.llm.tokens import encoder
 from sightline.operators.ordered import SLICE, prefix_sum, sliced
+from sightline.session import durable
 
 CAPACITY = 1024
 END = 2
@@ -144,7 +145,8 @@ def pack(
     vocabulary: str | None = None, with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of every row with ``sequence_id`` and ``offset``, their place in a sequence."""
-    pieces = token_pieces(df, id_col, text_col, capacity, end, vocabulary, with_ids)
+    # Written first: dealing rows by ranges reads them twice, and texts are to be encoded once.
+    pieces = durable(token_pieces(df, id_col, text_col, capacity, end, vocabulary, with_ids), "packing-pieces")
     order = ["doc_id", "piece", "ids_crc32"]
     ranged = sliced(pieces, ["length"], order)
     counts = {r["length"]: r["count"] for r in ranged.groupBy("length").count().collect()}  # at most ``capacity`` rows
