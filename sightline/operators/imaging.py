@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +24,6 @@ from sightline.session import durable
 MATCH_TOL_M = 0.06
 MAX_RANGE_M = 5.0
 SPLIT_CELL_M = 0.10
-NMS_ROUNDS = 12
-DEDUP_ROUNDS = 4
-CANDIDATES = 1024
-LANES = 128
 
 
 @dataclass(frozen=True)
@@ -272,77 +266,6 @@ def object_verdicts(episodes: DataFrame, area_min: int, order: Sequence[str]) ->
     return base.join(why, "object", "left").withColumn("verdict", status).drop("found", "reason")
 
 
-# ---------------------------------------------------------------- suppression
-
-def _suppress(beats: np.ndarray, ok: np.ndarray, rounds: int, shrink: bool) -> np.ndarray:
-    keep = ok.copy()
-    for _ in range(rounds):
-        hit = (beats & keep[:, None]).any(0)
-        keep = (keep if shrink else ok) & ~hit
-    return keep
-
-
-def suppress_boxes(boxes: DataFrame, conf_min: float, iou_max: float) -> DataFrame:
-    """Best boxes per frame without overlaps: (frame, det, conf, x1, y1, x2, y2), at most LANES.
-
-    Only the CANDIDATES best boxes of a frame compete, which bounds each group.
-    """
-    top = tr.top_k(boxes, ["frame"], "conf", "det", CANDIDATES)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf.sort_values("rank")
-        x1, y1, x2, y2 = (b[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        area = np.clip(x2 - x1, 0, None) * np.clip(y2 - y1, 0, None)
-        w = np.clip(np.minimum.outer(x2, x2) - np.maximum.outer(x1, x1), 0, None)
-        h = np.clip(np.minimum.outer(y2, y2) - np.maximum.outer(y1, y1), 0, None)
-        iou = w * h / (area[:, None] + area[None, :] - w * h + 1e-9)
-        keep = _suppress(np.triu(iou > iou_max, 1), b["conf"].to_numpy() > conf_min, NMS_ROUNDS, False)
-        return b[keep].head(LANES).assign(lane=np.arange(min(int(keep.sum()), LANES)))[
-            ["frame", "det", "lane", "conf", "x1", "y1", "x2", "y2"]
-        ]
-
-    return top.groupBy("frame").applyInPandas(
-        run, "frame long, det long, lane long, conf double, x1 double, y1 double, x2 double, y2 double"
-    )
-
-
-def dedup_masks(lanes: DataFrame, cells: DataFrame, area_min: int, iou_max: float) -> DataFrame:
-    """Lanes whose mask is large enough and not a copy of a more confident one.
-
-    lanes (frame, lane, conf), cells (frame, lane, cell); at most LANES lanes per
-    frame. Overlaps are counted by a join on shared cells.
-    """
-    area = cells.groupBy("frame", "lane").agg(F.count(F.lit(1)).alias("area")).where(F.col("area") >= area_min)
-    live = lanes.join(area, ["frame", "lane"])
-    mine = cells.join(live.select("frame", "lane"), ["frame", "lane"], "left_semi")
-    other = mine.select("frame", "cell", F.col("lane").alias("lane2"))
-    both = mine.join(other, ["frame", "cell"]).where("lane < lane2").groupBy("frame", "lane", "lane2").agg(
-        F.count(F.lit(1)).alias("inter")
-    )
-    a2 = live.select("frame", F.col("lane").alias("lane2"), F.col("area").alias("area2"))
-    copies = (
-        both.join(live.select("frame", "lane", "area"), ["frame", "lane"]).join(a2, ["frame", "lane2"])
-        .where(F.col("inter") / F.greatest(F.col("area") + F.col("area2") - F.col("inter"), F.lit(1)) > iou_max)
-        .groupBy("frame", "lane").agg(F.collect_set("lane2").alias("copies"))
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = pdf.sort_values("lane").reset_index(drop=True)
-        at = {int(k): i for i, k in enumerate(b["lane"])}
-        conf = b["conf"].to_numpy(float)
-        beats = np.zeros((len(b), len(b)), bool)
-        for i, others in enumerate(b["copies"]):
-            for o in others if others is not None else ():
-                j = at[int(o)]
-                beats[i, j], beats[j, i] = conf[i] > conf[j], conf[j] > conf[i]
-        keep = _suppress(beats, np.ones(len(b), bool), DEDUP_ROUNDS, True)
-        return b[keep][["frame", "lane", "conf", "area"]]
-
-    return live.join(copies, ["frame", "lane"], "left").groupBy("frame").applyInPandas(
-        run, "frame long, lane long, conf double, area long"
-    )
-
-
 def lane_stats(cells: DataFrame, pixels: DataFrame, z_min: float, z_max: float) -> DataFrame:
     """Area, valid depth count, centroid and valid share of each mask.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import imaging as im
+from sightline.operators import suppression as sp
 from sightline.operators import voxels as vx
 from sightline.plans.registry import query
 from sightline.plans.segmentation import PAIRS_SQL, scene
@@ -166,21 +167,53 @@ def boxes(spark, sf):
     )
 
 
-@query("suppressed_boxes")
-def suppressed_boxes(spark, sf):
-    return im.suppress_boxes(boxes(spark, sf), 0.2, 0.5)
+_BOXES = """RECURSIVE bx AS (SELECT l_orderkey // 64 AS frame, l_orderkey * 8 + l_linenumber AS det, max(l_quantity / 50) AS conf,
+  min(l_partkey % 60)::DOUBLE AS x1, min(l_suppkey % 60)::DOUBLE AS y1, max(l_partkey % 60 + 20)::DOUBLE AS x2, max(l_suppkey % 60 + 20)::DOUBLE AS y2
+  FROM lineitem GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS n FROM bx WHERE conf > 0.2),
+sel AS (SELECT DISTINCT frame, 0::BIGINT AS n, []::STRUCT(det BIGINT, conf DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept FROM rk
+  UNION ALL
+  SELECT s.frame, r.n, CASE WHEN len(list_filter(s.kept, lambda k: greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0)
+      / ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)
+        - greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0) + 1e-9) > 0.5)) > 0
+    THEN s.kept ELSE list_append(s.kept, {'det': r.det, 'conf': r.conf, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}) END
+  FROM sel s JOIN rk r ON r.frame = s.frame AND r.n = s.n + 1),
+fin AS (SELECT frame, kept FROM sel QUALIFY row_number() OVER (PARTITION BY frame ORDER BY n DESC) = 1),
+box AS (SELECT frame, unnest(kept) AS k, unnest(generate_series(0, len(kept) - 1)) AS lane FROM fin WHERE len(kept) > 0)"""
 
 
-@query("deduplicated_masks")
+@query("suppressed_boxes", f"""WITH {_BOXES}
+SELECT frame, k.det AS det, lane, k.conf AS conf, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM box""")
+def suppressed_boxes(spark, sf):
+    """Best boxes of every frame without overlaps."""
+    return sp.suppress_boxes(boxes(spark, sf), 0.2, 0.5)
+
+
+@query("box_overflow", f"""WITH {_BOXES}
+SELECT frame, n_confident, coalesce(len(kept), 0) AS n_kept, greatest(n_confident - 64, 0) AS over_candidates, greatest(coalesce(len(kept), 0) - 8, 0) AS over_lanes
+FROM (SELECT frame, count(*) FILTER (WHERE conf > 0.2) AS n_confident FROM bx GROUP BY frame) LEFT JOIN fin USING (frame)""")
+def box_overflow(spark, sf):
+    """What limits of 64 candidates and 8 lanes would leave out of every frame."""
+    b = boxes(spark, sf)
+    return sp.overflow(b, sp.suppress_boxes(b, 0.2, 0.5), 0.2, 64, 8)
+
+
+@query("deduplicated_masks", f"""WITH {_BOXES},
+cl AS (SELECT frame, lane, k.conf AS conf, r * 100 + c AS cell FROM box,
+  LATERAL (SELECT unnest(generate_series((k.y1 // 4)::BIGINT, (k.y2 // 4)::BIGINT)) AS r) , LATERAL (SELECT unnest(generate_series((k.x1 // 4)::BIGINT, (k.x2 // 4)::BIGINT)) AS c)),
+ar AS (SELECT frame, lane, conf, count(*) AS area FROM cl GROUP BY ALL HAVING count(*) >= 20),
+io AS (SELECT a.frame, a.lane, b.lane AS other, count(*) AS n FROM cl a JOIN cl b ON a.frame = b.frame AND a.cell = b.cell AND b.conf > a.conf GROUP BY ALL)
+SELECT frame, lane, conf, area FROM ar a WHERE NOT EXISTS (SELECT 1 FROM io JOIN ar b ON b.frame = io.frame AND b.lane = io.other
+  WHERE io.frame = a.frame AND io.lane = a.lane AND io.n / greatest(a.area + b.area - io.n, 1) > 0.3)""")
 def deduplicated_masks(spark, sf):
     """Masks of the kept boxes with copies of more confident ones removed."""
-    lanes = durable(im.suppress_boxes(boxes(spark, sf), 0.2, 0.5), "lanes")
+    lanes = durable(sp.suppress_boxes(boxes(spark, sf), 0.2, 0.5), "lanes")
     rows = F.sequence(F.floor(F.col("y1") / 4), F.floor(F.col("y2") / 4))
     cols = F.sequence(F.floor(F.col("x1") / 4), F.floor(F.col("x2") / 4))
     cells = lanes.select("frame", "lane", F.explode(rows).alias("r"), cols.alias("_c")).select(
         "frame", "lane", "r", F.explode("_c").alias("c")
     ).select("frame", "lane", (F.col("r") * 100 + F.col("c")).alias("cell"))
-    return im.dedup_masks(lanes.select("frame", "lane", "conf"), cells, 20, 0.3)
+    return sp.dedup_masks(lanes.select("frame", "lane", "conf"), cells, 20, 0.3)
 
 
 @query("stream_discovery")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import components as cc
 from sightline.operators import imaging as im
+from sightline.operators import suppression as sp
 from sightline.operators import truth as tr
 from sightline.operators import verify as vf
 from sightline.operators import voxels as vx
@@ -97,13 +98,51 @@ def test_frame_shift_peaks_at_zero(spark):
 def test_suppression(spark):
     b = [(0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, 1, 0.8, 1.0, 0.0, 11.0, 10.0), (0, 2, 0.7, 20.0, 0.0, 30.0, 10.0), (0, 3, 0.1, 50.0, 0.0, 60.0, 10.0)]
     df = spark.createDataFrame(b, "frame long, det long, conf double, x1 double, y1 double, x2 double, y2 double")
-    assert [(r.det, r.lane) for r in im.suppress_boxes(df, 0.2, 0.5).orderBy("lane").collect()] == [(0, 0), (2, 1)]
+    assert [(r.det, r.lane) for r in sp.suppress_boxes(df, 0.2, 0.5).orderBy("lane").collect()] == [(0, 0), (2, 1)]
     lanes = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.8), (0, 2, 0.7)], "frame long, lane long, conf double")
     cells = spark.createDataFrame(
         [(0, 0, c) for c in range(10)] + [(0, 1, c) for c in range(2, 12)] + [(0, 2, c) for c in range(50, 54)], "frame long, lane long, cell long"
     )
-    assert sorted(r.lane for r in im.dedup_masks(lanes, cells, 3, 0.5).collect()) == [0, 2]
-    assert sorted(r.lane for r in im.dedup_masks(lanes, cells, 5, 0.9).collect()) == [0, 1]
+    assert sorted(r.lane for r in sp.dedup_masks(lanes, cells, 3, 0.5).collect()) == [0, 2]
+    assert sorted(r.lane for r in sp.dedup_masks(lanes, cells, 5, 0.9).collect()) == [0, 1]
+
+
+def box_frame(spark, rows):
+    return spark.createDataFrame(rows, "frame long, det long, conf double, x1 double, y1 double, x2 double, y2 double")
+
+
+def greedy(rows, conf_min, iou_max):
+    """Kept detections, best first, by comparing with everything kept so far."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        def iou(k, r=r):
+            w, h = min(k[5], r[5]) - max(k[3], r[3]), min(k[6], r[6]) - max(k[4], r[4])
+            i = max(w, 0) * max(h, 0)
+            return i / ((k[5] - k[3]) * (k[6] - k[4]) + (r[5] - r[3]) * (r[6] - r[4]) - i + 1e-9)
+        if r[2] > conf_min and all(iou(k) <= iou_max for k in kept):
+            kept.append(r)
+    return [r[1] for r in kept]
+
+
+def test_suppression_of_a_chain_and_of_many(spark):
+    chain = [(0, i, 0.9 - i / 100, 3.0 * i, 0.0, 3.0 * i + 10, 10.0) for i in range(24)]
+    apart = [(1, i, 0.5, 20.0 * i, 0.0, 20.0 * i + 10, 10.0) for i in range(300)]
+    kept = sp.suppress_boxes(box_frame(spark, chain + apart), 0.2, 0.5)
+    assert [r.det for r in kept.where("frame = 0").orderBy("lane").collect()] == greedy(chain, 0.2, 0.5) == list(range(0, 24, 2))
+    assert kept.where("frame = 1").count() == 300
+    over = {r.frame: r for r in sp.overflow(box_frame(spark, chain + apart), kept, 0.2, 100, 128).collect()}
+    assert (over[1].over_candidates, over[1].over_lanes, over[0].over_lanes) == (200, 172, 0)
+
+
+def test_suppression_of_random_boxes_of_all_sizes(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(250):
+        x, y, w, h = rng.uniform(-30, 60), rng.uniform(-30, 60), 2 ** rng.uniform(-1, 6), 2 ** rng.uniform(-1, 6)
+        rows.append((0, i, float(round(rng.random(), 1)), float(x), float(y), float(x + w), float(y + h)))
+    for iou_max in (0.2, 0.5):
+        got = [r.det for r in sp.suppress_boxes(box_frame(spark, rows), 0.1, iou_max).orderBy("lane").collect()]
+        assert got == greedy(rows, 0.1, iou_max)
 
 
 def test_merge_to_fixpoint(spark):
