@@ -86,6 +86,11 @@ STATUS_NAMES = {
 TIDE_NAMES = {"dupe": "duplicate", "loc": "localisation", "bkg": "background", "other": "other"}
 
 
-def similar(a: Column, b: Column, least: float = 0.7) -> Column:
-    """Texts that agree in most characters."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) >= least
+def nearly_same(a: Column, b: Column, least: float = 0.7) -> Column:
+    """Texts of which, in letters and digits alone, one holds the other or few characters differ.
+
+    The share of differing characters is an edit distance.
+    """
+    a, b = (F.regexp_replace(x, "[^0-9A-Za-z]", "") for x in (a, b))
+    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | (1 - F.levenshtein(a, b) / longest >= least))

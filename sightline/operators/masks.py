@@ -239,17 +239,17 @@ def summary(gts: DataFrame, preds: DataFrame, by: Sequence[str] = ()) -> DataFra
     return out if by else out.drop("_k")
 
 
-def recall_at(gts: DataFrame, matches: DataFrame) -> DataFrame:
-    """Recall of the eligible truths per threshold."""
-    thetas = matches.select("theta").distinct()
+def recall_at(gts: DataFrame, matches: DataFrame, thetas: Sequence[float]) -> DataFrame:
+    """Recall of the eligible truths at every given threshold, 0 where nothing matches."""
     el = gts.where("eligible")
+    every = el.sparkSession.createDataFrame([(float(x),) for x in thetas], "theta double")
     total = el.agg(F.count(F.lit(1)).alias("n_gt")).withColumn("_k", F.lit(0))
     hit = (
         matches.join(el.select("frame", "gt"), ["frame", "gt"], "left_semi")
         .groupBy("theta").agg(F.count(F.lit(1)).alias("n_hit"))
     )
     return (
-        thetas.join(hit, "theta", "left").withColumn("_k", F.lit(0)).join(total, "_k").drop("_k")
+        every.join(hit, "theta", "left").withColumn("_k", F.lit(0)).join(total, "_k").drop("_k")
         .na.fill(0, ["n_hit"])
         .withColumn("recall", rules.ratio_or_zero(F.col("n_hit"), F.col("n_gt")))
     )

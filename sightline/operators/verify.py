@@ -91,9 +91,10 @@ def cloud_score(pred: DataFrame, gt: DataFrame, objects: DataFrame, size: float,
     return iou.join(out, keys, "left")
 
 
-def cloud_summary(scores: DataFrame, gt: DataFrame) -> DataFrame:
-    """Means over the scored segments and the share of true segments that were scored."""
-    total = gt.select("frame", "segment_id").distinct().agg(F.count(F.lit(1)).alias("_t")).withColumn("_k", F.lit(0))
+def cloud_summary(scores: DataFrame, gt: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Means over the scored segments and the share of the true segments of recorded frames that were scored."""
+    seen = gt.join(recorded.select("frame").distinct(), "frame", "left_semi")
+    total = seen.select("frame", "segment_id").distinct().agg(F.count(F.lit(1)).alias("_t")).withColumn("_k", F.lit(0))
     s = scores.agg(
         F.avg("voxel_iou").alias("voxel_iou_mean"), F.avg("outlier_ratio").alias("outlier_ratio_mean"),
         F.count(F.lit(1)).alias("segments_scored"),

@@ -201,8 +201,9 @@ def tau_sensitivity(spark, sf):
     credited = matches.join(present_of(s), ["frame", "gt"], "left_semi")
     found = credited.groupBy("tau_cm").agg(F.countDistinct("gt").alias("n_found"))
     hit = matches.groupBy("tau_cm").agg(F.count(F.lit(1)).alias("n_hit"))
+    every = spark.createDataFrame([(m3.tau_name(x),) for x in TAUS], "tau_cm int")
     return (
-        hit.join(found, "tau_cm", "left").na.fill(0).withColumn("_k", F.lit(0)).join(n_gt, "_k").join(n_obs, "_k")
+        every.join(hit, "tau_cm", "left").join(found, "tau_cm", "left").na.fill(0).withColumn("_k", F.lit(0)).join(n_gt, "_k").join(n_obs, "_k")
         .select(
             "tau_cm", "n_found", "n_gt", "n_hit", "n_obs",
             rules.ratio(F.col("n_found"), F.col("n_gt")).alias("recall"),

@@ -200,7 +200,7 @@ def box_overflow(spark, sf):
 
 @query("deduplicated_masks", f"""WITH {_BOXES},
 cl AS (SELECT frame, lane, k.conf AS conf, r * 100 + c AS cell FROM box,
-  LATERAL (SELECT unnest(generate_series((k.y1 // 4)::BIGINT, (k.y2 // 4)::BIGINT)) AS r) , LATERAL (SELECT unnest(generate_series((k.x1 // 4)::BIGINT, (k.x2 // 4)::BIGINT)) AS c)),
+  LATERAL (SELECT unnest(generate_series(floor(k.y1 / 4)::BIGINT, floor(k.y2 / 4)::BIGINT)) AS r) , LATERAL (SELECT unnest(generate_series(floor(k.x1 / 4)::BIGINT, floor(k.x2 / 4)::BIGINT)) AS c)),
 ar AS (SELECT frame, lane, conf, count(*) AS area FROM cl GROUP BY ALL HAVING count(*) >= 20),
 io AS (SELECT a.frame, a.lane, b.lane AS other, count(*) AS n FROM cl a JOIN cl b ON a.frame = b.frame AND a.cell = b.cell AND b.conf > a.conf GROUP BY ALL)
 SELECT frame, lane, conf, area FROM ar a WHERE NOT EXISTS (SELECT 1 FROM io JOIN ar b ON b.frame = io.frame AND b.lane = io.other

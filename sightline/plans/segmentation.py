@@ -166,12 +166,12 @@ def panoptic_by_group(spark, sf):
 
 
 @query("recall_by_theta", f"""WITH {PAIRS_SQL}
-SELECT theta, count(*) FILTER (WHERE eligible) AS n_hit, (SELECT count(*) FROM gts WHERE eligible) AS n_gt,
-  count(*) FILTER (WHERE eligible) / (SELECT count(*) FROM gts WHERE eligible) AS recall
-FROM matches JOIN gts USING (frame, gt) GROUP BY theta""")
+, th_hit AS (SELECT theta, count(*) AS n FROM matches JOIN gts USING (frame, gt) WHERE eligible GROUP BY theta),
+al AS (SELECT count(*) AS n_gt FROM gts WHERE eligible)
+SELECT theta, coalesce(n, 0) AS n_hit, n_gt, coalesce(n, 0) / greatest(n_gt, 1) AS recall FROM th CROSS JOIN al LEFT JOIN th_hit USING (theta)""")
 def recall_by_theta(spark, sf):
     _, matches, gts, _ = scored(spark, sf)
-    return mk.recall_at(gts, matches)
+    return mk.recall_at(gts, matches, rules.THETAS)
 
 
 @query("gt_status_counts", f"WITH {PAIRS_SQL} SELECT status, count(*) AS n FROM gts WHERE eligible GROUP BY status")

@@ -272,15 +272,30 @@ def episode_recall_by_level(spark, sf):
     return tr.cumulative_levels(ep, "level", F.col("hit"))
 
 
-@query("level_criteria", _DIFF + """
-SELECT level, min(m) AS min_side, max(tr) AS max_trunc, max(o) AS max_occ FROM lv GROUP BY level""")
+@query("level_criteria", f"""WITH top AS (SELECT max(l_quantity)::BIGINT AS q FROM lineitem),
+lo AS (SELECT i AS m, 0.0 AS tr, 0.0 AS o, false AS b FROM top, LATERAL (SELECT unnest(generate_series(0, q)) AS i)),
+tt AS (SELECT q AS m, i / 100 AS tr, 0.0 AS o, false AS b FROM top, LATERAL (SELECT unnest(generate_series(0, 100)) AS i)),
+oo AS (SELECT q AS m, 0.0 AS tr, i / 100 AS o, false AS b FROM top, LATERAL (SELECT unnest(generate_series(0, 100)) AS i)),
+a AS (SELECT m, {_LEVEL} AS level FROM lo), c AS (SELECT tr, {_LEVEL} AS level FROM tt), d AS (SELECT o, {_LEVEL} AS level FROM oo),
+x AS (SELECT unnest([0, 1, 2]) AS level)
+SELECT x.level, (SELECT min(m) - 1 FROM a WHERE a.level <= x.level) AS min_dim_gt, (SELECT max(tr) FROM c WHERE c.level <= x.level) AS trunc_le,
+  (SELECT CASE WHEN max(o) < 1 THEN max(o) END FROM d WHERE d.level <= x.level) AS occ_le FROM x""")
 def level_criteria(spark, sf):
-    """Limits of the level rule read back from the rows it classified."""
-    li = t.table(spark, sf, "lineitem")
-    tr_ = F.when(F.col("l_linenumber") == 7, F.lit(-1.0)).otherwise(F.col("l_tax") * 8)
-    lv = rules.difficulty(F.col("l_quantity"), tr_, F.col("l_discount") * 8, F.col("l_suppkey") % 2 == 0)
-    return li.groupBy(lv.alias("level")).agg(
-        F.min("l_quantity").alias("min_side"), F.max(tr_).alias("max_trunc"), F.max(F.col("l_discount") * 8).alias("max_occ")
+    """Limits of the level rule, read from the rule by probing it, up to the largest size there is."""
+    top = t.table(spark, sf, "lineitem").agg(F.max("l_quantity").cast("long").alias("q"))
+    zero, shares = F.lit(0.0), F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / 100)
+    at = lambda m, cut, hidden: rules.difficulty(m, cut, hidden, F.lit(False))
+    probes = top.select(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("q")), lambda m: F.struct(m.alias("v"), at(m, zero, zero).alias("level"))).alias("m"),
+        F.transform(shares, lambda s: F.struct(s.alias("v"), at(F.col("q"), s, zero).alias("level"))).alias("t"),
+        F.transform(shares, lambda s: F.struct(s.alias("v"), at(F.col("q"), zero, s).alias("level"))).alias("o"),
+    )
+    lv = probes.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    within = lambda c: F.transform(F.filter(c, lambda p: p["level"] <= F.col("level")), lambda p: p["v"])
+    most = F.array_max(within("o"))
+    return lv.select(
+        "level", (F.array_min(within("m")) - 1).alias("min_dim_gt"), F.array_max(within("t")).alias("trunc_le"),
+        F.when(most < 1, most).alias("occ_le"),
     )
 
 

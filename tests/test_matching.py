@@ -159,7 +159,7 @@ def test_panoptic_scene(spark):
     assert {r.gt: r.status for r in g_.collect()} == {1: "tp", 2: "merged", 3: "tp", 4: "tp", 5: "split"}
     assert {r.pred: r.status for r in p.collect()} == {0: "tp", 1: "tp", 2: "ignore", 3: "fp", 4: "fp", 5: "fp", 6: "tp_small"}
     assert [r.pred for r in p.where("merger").collect()] == [1]
-    assert {r.theta: r.recall for r in mk.recall_at(g_, m).collect()} == {0.25: 0.75, 0.5: 0.5, 0.75: 0.25}
+    assert {r.theta: r.recall for r in mk.recall_at(g_, m, (0.25, 0.5, 0.75, 0.95)).collect()} == {0.25: 0.75, 0.5: 0.5, 0.75: 0.25, 0.95: 0.0}
     s = mk.summary(g_, p).first()
     sq, rq = (1 + 900 / 1300) / 2, 2 / 4.5
     assert s.precision == pytest.approx(0.4)
