@@ -7,9 +7,9 @@ its frames to the voxel sets found so far.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,48 +25,56 @@ OUTPUT = "sequence long, colour long, frame long, blob long, n_px long, instance
 STEPS = (0, 1, -1, 1 << 21, -(1 << 21), 1 << 42, -(1 << 42))
 
 
-def touch_share(blob: set[int], inst: set[int]) -> float:
-    """Share of blob voxels in the instance or next to it."""
-    hits = sum(any(v + s in inst for s in STEPS) for v in blob)
-    return hits / len(blob) if blob and inst else 0.0
-
-
-def place(state: dict, voxels: set[int], has_points: bool, min_new: int = MIN_NEW_VOXELS) -> tuple[int, list[int]]:
-    """Instance of one blob and the instances it ties together; the state grows."""
-    if has_points and not voxels:
-        return UNLABELLED, []
-    shares = {i: touch_share(voxels, v) for i, v in state["sets"].items()} if voxels else {}
-    best = max(shares, key=lambda i: (shares[i], -i), default=None)
-    if best is not None and shares[best] <= 0:
-        best = None
-    merged = []
-    if best is not None and shares[best] >= ASSIGN_SHARE:
-        inst = best
-        merged = [i for i, s in shares.items() if s >= MERGE_SHARE and i != inst]
-    elif best is not None and len(voxels) < min_new:
-        inst = best
-    elif len(voxels) < min_new:
-        return UNLABELLED, []
-    else:
-        inst = state["next"]
-        state["next"] += 1
-    if voxels:
-        state["sets"].setdefault(inst, set()).update(voxels)
-    return inst, merged
+class Cells:
+    """Voxels found so far, each with the instances that own it."""
+
+    def __init__(self, voxels: bytes = b"", owners: bytes = b"", count: int = 0):
+        self.voxels = np.frombuffer(voxels, np.int64)
+        self.owners = np.frombuffer(owners, np.int64)
+        self.count = count
+
+    def contacts(self, blob: np.ndarray) -> dict[int, int]:
+        """For each instance, how many blob voxels lie in it or beside it: a join on voxel keys."""
+        around = (blob[:, None] + np.array(STEPS)).ravel()
+        which = np.repeat(np.arange(len(blob)), len(STEPS))
+        low, high = (np.searchsorted(self.voxels, around, side=side) for side in ("left", "right"))
+        runs = high - low
+        at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(low, runs)
+        met = np.unique(np.stack([self.owners[at], np.repeat(which, runs)], 1), axis=0)
+        owner, n = np.unique(met[:, 0], return_counts=True)
+        return dict(zip(owner.tolist(), n.tolist(), strict=True))
+
+    def add(self, blob: np.ndarray, owner: int) -> None:
+        rows = np.stack([np.concatenate([self.voxels, blob]), np.concatenate([self.owners, np.full(len(blob), owner)])], 1)
+        rows = np.unique(rows, axis=0)
+        self.voxels, self.owners = np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])
+
+    def place(self, blob: np.ndarray, has_points: bool, min_new: int = MIN_NEW_VOXELS) -> tuple[int, list[int]]:
+        """Instance of one blob and the instances it ties together; the cells grow."""
+        met = self.contacts(blob)
+        ranked = sorted(met, key=lambda i: (-met[i], i))
+        tied: list[int] = []
+        if ranked and (met[ranked[0]] >= ASSIGN_SHARE * len(blob) or len(blob) < min_new):
+            owner = ranked[0]
+            if met[owner] >= ASSIGN_SHARE * len(blob):
+                tied = sorted(i for i in ranked[1:] if met[i] >= MERGE_SHARE * len(blob))
+        elif len(blob) >= min_new:
+            owner, self.count = self.count, self.count + 1
+        else:
+            return UNLABELLED, tied
+        self.add(blob, owner)
+        return owner, tied
 
 
 def _run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches), ignore_index=True)
     rows = rows.sort_values(["frame", "n_px", "blob"], ascending=[True, False, True])
-    s = {"next": 0, "sets": {}}
-    if state.exists:
-        raw = json.loads(state.get[0])
-        s = {"next": raw["next"], "sets": {int(k): set(v) for k, v in raw["sets"].items()}}
+    cells = Cells(*state.get) if state.exists else Cells()
     out = []
     for r in rows.itertuples():
-        inst, merged = place(s, {int(v) for v in r.voxels}, bool(r.has_points))
-        out.append((key[0], key[1], r.frame, r.blob, r.n_px, inst, merged))
-    state.update((json.dumps({"next": s["next"], "sets": {k: sorted(v) for k, v in s["sets"].items()}}),))
+        owner, tied = cells.place(np.unique(np.array(r.voxels, np.int64)), bool(r.has_points))
+        out.append((key[0], key[1], r.frame, r.blob, r.n_px, owner, tied))
+    state.update((cells.voxels.tobytes(), cells.owners.tobytes(), cells.count))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
@@ -77,5 +85,5 @@ def discover(blobs: DataFrame) -> DataFrame:
     ``merged`` are resolved afterwards by connected components.
     """
     return blobs.groupBy("sequence", "colour").applyInPandasWithState(
-        _run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout
+        _run, OUTPUT, "voxels binary, owners binary, count long", "append", GroupStateTimeout.NoTimeout
     )

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.streaming import discovery, runtime, tracker
@@ -8,7 +9,7 @@ SCHEMA = tracker.INPUT
 
 
 def det(lane, x, cells, n=50):
-    return {"lane": lane, "area": len(cells), "placed": n > 10, "pos": [x, 0.0, 0.0], "cells": set(cells)}
+    return {"lane": lane, "area": len(cells), "placed": n > 10, "pos": [x, 0.0, 0.0], "cells": set(cells), "weight": 1 / (1 + np.exp(-(len(cells) - tracker.AREA_ANCHOR) / tracker.AREA_SCALE))}
 
 
 def test_birth_match_retire_and_revival():
@@ -85,16 +86,47 @@ def test_stream_state_carries_over_batches(spark, tmp_path):
 
 
 def test_discovery_rules():
-    s = {"next": 0, "sets": {}}
-    a = set(range(0, 40))
-    assert discovery.place(s, a, True) == (0, [])
-    assert discovery.place(s, set(range(30, 60)), True)[0] == 0          # 10 of 30 shared, more than 15 %
-    assert discovery.place(s, set(range(1000, 1030)), True) == (1, [])   # new instance
-    assert discovery.place(s, set(range(5000, 5005)), True)[0] == -1     # sliver without anchor
-    assert discovery.place(s, {59, 700, 701, 702, 703, 704, 705, 706}, True)[0] == 0  # sliver joins its closest
-    assert discovery.place(s, set(), True)[0] == -1                      # only far points
-    inst, merged = discovery.place(s, set(range(20, 60)) | set(range(1000, 1030)), True)
-    assert (inst, merged) == (0, [1])
+    c = discovery.Cells()
+    put = lambda *parts: c.place(np.array(sorted(v for p in parts for v in p), np.int64), True)
+    assert put(range(0, 40)) == (0, [])
+    assert put(range(30, 60))[0] == 0          # 10 of 30 shared, more than 15 %
+    assert put(range(1000, 1030)) == (1, [])   # new instance
+    assert put(range(5000, 5005))[0] == -1     # sliver without anchor
+    assert put({59, 700, 701, 702, 703, 704, 705, 706})[0] == 0  # sliver joins its closest
+    assert put()[0] == -1                      # only far points
+    assert put(range(20, 60), range(1000, 1030)) == (0, [1])
+
+
+def test_contacts_and_shared_cells_match_plain_counts():
+    rng = np.random.default_rng(1)
+    c, sets = discovery.Cells(), {}
+    for i in range(4):
+        v = np.unique(rng.integers(0, 300, 40))
+        c.add(v, i)
+        sets[i] = set(v.tolist())
+    blob = np.unique(rng.integers(0, 300, 30))
+    want = {i: n for i, s in sets.items() if (n := sum(any(int(v) + d in s for d in discovery.STEPS) for v in blob))}
+    assert c.contacts(blob) == want
+    dets, tracks = ([{"cells": set(rng.integers(0, 60, 20).tolist())} for _ in range(n)] for n in (4, 3))
+    got = tracker.shared_cells(dets, tracks)
+    assert got.tolist() == [[len(d["cells"] & k["cells"]) for k in tracks] for d in dets]
+
+
+def test_gate_table():
+    assert tracker.gate_reason(False, True, True, False, False) == "init"
+    assert tracker.gate_reason(True, True, True, True, False) == "cov"
+    assert tracker.gate_reason(True, True, True, False, True) == ""
+    assert tracker.gate_reason(True, False, True, True, True) == "birth"
+    assert tracker.gate_reason(True, False, True, True, False) == "" == tracker.gate_reason(True, False, False, True, True)
+
+
+def test_split_frame_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([r for r in frames(3) if r[0] == 1], SCHEMA)
+    for part in (df.where("lane = 0"), df.where("lane > 0 OR frame = 2")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    with pytest.raises(Exception, match="two micro-batches"):
+        runtime.drain(tracker.track(stream), "split")
 
 
 def test_recorder_refuses_used_folder(spark, tmp_path):
