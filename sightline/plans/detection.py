@@ -103,39 +103,101 @@ def match_candidates(spark, sf):
     )
 
 
-@query("matches_3d")
+_EPS = "2.220446049250313e-16"
+_LONG = " UNION ALL ".join(
+    f"SELECT frame, {m3.tau_name(x)}::INT AS tau_cm, gt, pred, iou_{m3.tau_name(x)} AS iou FROM io" for x in TAUS
+)
+
+# Every way to give the truths of a frame, one after the other, a free candidate or none; the best total wins.
+MATCH_SQL = f"""RECURSIVE {PAIRS_SQL}, io AS (SELECT *, {_IOUS} FROM pr), lg AS ({_LONG}),
+ca AS (SELECT *, dense_rank() OVER (PARTITION BY frame, tau_cm ORDER BY gt) AS k FROM lg WHERE iou >= 0.5 - {_EPS}),
+op AS (SELECT frame, tau_cm, gt, pred, iou, k FROM ca UNION ALL SELECT DISTINCT frame, tau_cm, gt, -1, 0.0, k FROM ca),
+ch AS (SELECT DISTINCT frame, tau_cm, 0::BIGINT AS k, 0.0::DOUBLE AS total, []::STRUCT(gt BIGINT, pred BIGINT, iou DOUBLE)[] AS picks FROM ca
+  UNION ALL
+  SELECT c.frame, c.tau_cm, o.k, c.total + o.iou, CASE WHEN o.pred < 0 THEN c.picks ELSE list_append(c.picks, {{'gt': o.gt, 'pred': o.pred, 'iou': o.iou}}) END
+  FROM ch c JOIN op o ON o.frame = c.frame AND o.tau_cm = c.tau_cm AND o.k = c.k + 1
+    AND (o.pred < 0 OR len(list_filter(c.picks, lambda x: x.pred = o.pred)) = 0)),
+fu AS (SELECT frame, tau_cm, arg_max(picks, (k, total)) AS picks FROM ch GROUP BY ALL),
+mt AS (SELECT frame, tau_cm, p.gt AS gt, p.pred AS pred, p.iou AS iou FROM (SELECT frame, tau_cm, unnest(picks) AS p FROM fu)),
+mm AS (SELECT frame, gt, pred, iou FROM mt WHERE tau_cm = {_M}),
+pres AS (SELECT frame, gt FROM ngv WHERE n_gt_vox >= {PRESENT_MIN})"""
+
+STATUS_SQL = f"""{MATCH_SQL},
+cov AS (SELECT frame, pred, gt FROM pr WHERE 2 * nrx >= n_gt_vox AND nrx > 0),
+mg AS (SELECT frame, pred FROM cov GROUP BY ALL HAVING count(*) >= 2),
+ins AS (SELECT frame, gt, pred FROM pr WHERE 2 * near >= n_vox AND near > 0),
+fv AS (SELECT frame, gt, count(*) AS frag_vox FROM (SELECT DISTINCT frame, gt, gx, gy, gz FROM cover JOIN ins USING (frame, gt, pred)) GROUP BY ALL),
+fa AS (SELECT frame, gt, max(iou_{_M}) AS best_iou, arg_min(pred, (-iou_{_M}, pred)) FILTER (WHERE iou_{_M} > 0) AS best_pred FROM io GROUP BY ALL),
+ni AS (SELECT frame, gt, count(*) AS n_frags FROM ins GROUP BY ALL),
+mp AS (SELECT frame, gt, min(pred) AS merged_pred FROM cov JOIN mg USING (frame, pred) GROUP BY ALL),
+st0 AS (SELECT frame, gt, n_gt_vox, coalesce(best_iou, 0) AS best_iou, coalesce(best_pred, -1) AS best_pred, coalesce(n_frags, 0) AS n_frags,
+  coalesce(frag_vox, 0) AS frag_vox, coalesce(merged_pred, -1) AS merged_pred, coalesce(mm.pred, -1) AS matched_pred, mm.iou AS match_iou,
+  n_gt_vox >= {PRESENT_MIN} AS present FROM ngv LEFT JOIN fa USING (frame, gt) LEFT JOIN ni USING (frame, gt) LEFT JOIN fv USING (frame, gt)
+  LEFT JOIN mp USING (frame, gt) LEFT JOIN mm USING (frame, gt)),
+st AS (SELECT *, CASE WHEN NOT present THEN CASE WHEN matched_pred >= 0 THEN 'ignored_match' ELSE 'not_present' END
+  WHEN matched_pred >= 0 THEN 'tp' WHEN merged_pred >= 0 THEN 'merged' WHEN n_frags >= 2 AND 2 * frag_vox >= n_gt_vox THEN 'split'
+  WHEN best_iou BETWEEN 0.1 - {_EPS} AND 0.5 + {_EPS} THEN 'low_iou' ELSE 'missed' END AS status,
+  CASE WHEN n_frags >= 2 THEN frag_vox / n_gt_vox ELSE 0 END AS split_cover FROM st0)"""
+
+OUTCOME_SQL = f"""{MATCH_SQL},
+be AS (SELECT io.frame, io.pred, max(iou_{_M}) FILTER (WHERE pres.gt IS NOT NULL) AS best, max(iou_{_M}) FILTER (WHERE pres.gt IS NOT NULL AND mm.gt IS NOT NULL) AS best_used,
+  arg_min(io.gt, (-iou_{_M}, io.gt)) FILTER (WHERE pres.gt IS NOT NULL AND mm.gt IS NOT NULL) AS dupe, coalesce(sum(near) FILTER (WHERE pres.gt IS NULL), 0)::BIGINT AS ignored
+  FROM io LEFT JOIN pres ON pres.frame = io.frame AND pres.gt = io.gt LEFT JOIN (SELECT frame AS mf, gt FROM mm) mm ON mm.mf = io.frame AND mm.gt = io.gt GROUP BY io.frame, io.pred),
+vd AS (SELECT frame, pred, n_vox, (n_vox - coalesce(s, 0))::BIGINT AS void FROM npv LEFT JOIN (SELECT frame, pred, sum(near) AS s FROM owned GROUP BY ALL) USING (frame, pred)),
+o0 AS (SELECT vd.*, mm.gt AS matched_gt, CASE WHEN mm.gt IS NOT NULL THEN EXISTS (SELECT 1 FROM pres p WHERE p.frame = vd.frame AND p.gt = mm.gt) END AS credit,
+  coalesce(be.best, 0) AS best, coalesce(be.best_used, -1) AS best_used, dupe, coalesce(ignored, 0) AS ignored,
+  (SELECT count(*) FROM pres p WHERE p.frame = vd.frame) AS nv FROM vd LEFT JOIN mm USING (frame, pred) LEFT JOIN be USING (frame, pred)),
+o1 AS (SELECT *, CASE WHEN n_vox <= 0 THEN 'no_voxels_within_range' WHEN 2 * (void + ignored) <= n_vox THEN '' WHEN 2 * void > n_vox THEN 'void'
+    WHEN 2 * ignored > n_vox THEN 'ignored_gt' ELSE 'void+ignored_gt' END AS reason,
+  CASE WHEN nv = 0 THEN 'bkg' WHEN best BETWEEN 0.1 - {_EPS} AND 0.5 + {_EPS} THEN 'loc' WHEN best_used >= 0.5 - {_EPS} THEN 'dupe'
+    WHEN best <= 0.1 + {_EPS} THEN 'bkg' ELSE 'other' END AS tide FROM o0),
+oc AS (SELECT frame, pred, n_vox, void, matched_gt, credit, ignored,
+  CASE WHEN matched_gt IS NOT NULL THEN CASE WHEN credit THEN 'tp' ELSE 'ignored_match' END WHEN reason = '' THEN 'fp' ELSE 'excluded' END AS pred_status,
+  CASE WHEN matched_gt IS NOT NULL THEN '' ELSE reason END AS excluded_reason, CASE WHEN matched_gt IS NOT NULL THEN '' ELSE tide END AS tide_error,
+  CASE WHEN matched_gt IS NULL AND tide = 'dupe' THEN dupe END AS dup_of FROM o1)"""
+
+_CLOUDS = "cl AS (SELECT DISTINCT gt, x, y, z FROM gv)"
+
+
+@query("matches_3d", f"""WITH {MATCH_SQL} SELECT frame, tau_cm, gt, pred, iou FROM mt""")
 def matches_3d(spark, sf):
     return scored(spark, sf)[2]
 
 
-@query("matches_3d_counted")
+@query("matches_3d_counted", f"""WITH {MATCH_SQL},
+ex AS (SELECT * FROM lg WHERE iou >= 0.5 - {_EPS} AND NOT EXISTS (SELECT 1 FROM mt WHERE mt.frame = lg.frame AND mt.tau_cm = lg.tau_cm AND mt.pred = lg.pred))
+SELECT frame, tau_cm, gt, pred, iou FROM mt UNION ALL SELECT frame, tau_cm, arg_min(gt, (-iou, gt)) AS gt, pred, max(iou) AS iou FROM ex GROUP BY frame, tau_cm, pred""")
 def matches_3d_counted(spark, sf):
     """Matching under the policy that also counts duplicates."""
     _, pairs, matches = scored(spark, sf)
     return m3.with_duplicates(m3.by_tau(pairs, TAUS), matches)
 
 
-@query("gt_status_3d")
+@query("gt_status_3d", f"""WITH {STATUS_SQL} SELECT * FROM st""")
 def gt_status_3d(spark, sf):
     s, pairs, matches = scored(spark, sf)
     st = m3.gt_status(s, pairs, matches)
     return m3.with_presence(st, F.col("n_gt_vox") >= PRESENT_MIN)
 
 
-@query("pred_outcome_3d")
+@query("pred_outcome_3d", f"""WITH {OUTCOME_SQL} SELECT * FROM oc""")
 def pred_outcome_3d(spark, sf):
     s, pairs, matches = scored(spark, sf)
     return m3.pred_outcome(s, pairs, matches, present_of(s))
 
 
-@query("tide_errors")
+@query("tide_errors", f"""WITH {OUTCOME_SQL} SELECT pred_status, tide_error, count(*) AS n FROM oc GROUP BY ALL""")
 def tide_errors(spark, sf):
     s, pairs, matches = scored(spark, sf)
     out = m3.pred_outcome(s, pairs, matches, present_of(s))
     return out.groupBy("pred_status", "tide_error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("match_accuracy")
+@query("match_accuracy", f"""WITH {MATCH_SQL}, {_CLOUDS},
+ds AS (SELECT v.frame, v.pred, mm.gt, (SELECT min(sqrt((v.x-c.x)*(v.x-c.x)+(v.y-c.y)*(v.y-c.y)+(v.z-c.z)*(v.z-c.z))) FROM cl c WHERE c.gt = mm.gt) AS d
+  FROM pv v JOIN mm USING (frame, pred))
+SELECT frame, pred, gt, round(quantile_cont(d, 0.5) * 100, 9) AS dist_med_cm, round(avg(d) * 100, 9) AS dist_mean_cm, round(quantile_cont(d, 0.9) * 100, 9) AS dist_p90_cm,
+  avg((d < {MAIN} - 1e-5)::INT) AS within_tau, avg((d < 1e-9)::INT) AS voxel_exact FROM ds GROUP BY ALL""")
 def match_accuracy(spark, sf):
     """Median, mean and p90 distance of matched predictions to the full cloud of their truth."""
     s, _, matches = scored(spark, sf)
@@ -149,18 +211,31 @@ def match_accuracy(spark, sf):
     )
     cm = {"dist_med_cm": "p50", "dist_mean_cm": "mean_d", "dist_p90_cm": "p90"}
     return a.join(q, ["frame", "pred"]).select(
-        "frame", "pred", "gt", *[(F.col(c) * 100).alias(n) for n, c in cm.items()], "within_tau", "voxel_exact"
+        "frame", "pred", "gt", *[F.round(F.col(c) * 100, 9).alias(n) for n, c in cm.items()], "within_tau", "voxel_exact"
     )
 
 
-@query("episode_coverage")
+@query("episode_coverage", f"""WITH {MATCH_SQL}, {_CLOUDS},
+cr AS (SELECT mm.* FROM mm JOIN pres USING (frame, gt)),
+cv AS (SELECT DISTINCT cr.gt, v.x, v.y, v.z FROM cr JOIN pv v USING (frame, pred)),
+hx AS (SELECT c.gt, EXISTS (SELECT 1 FROM cv v WHERE v.gt = c.gt AND sqrt((v.x-c.x)*(v.x-c.x)+(v.y-c.y)*(v.y-c.y)+(v.z-c.z)*(v.z-c.z)) < {MAIN} - 1e-5) AS hit FROM cl c)
+SELECT gt, avg(hit::INT) AS coverage FROM hx WHERE gt IN (SELECT gt FROM cr) GROUP BY gt""")
 def episode_coverage(spark, sf):
     s, _, matches = scored(spark, sf)
     clouds = s.truths.select("gt", "x", "y", "z").distinct()
     return m3.episode_coverage(s, matches, present_of(s), clouds)
 
 
-@query("episode_fold")
+@query("episode_fold", f"""WITH {STATUS_SQL},
+fo AS (SELECT gt, count(*) AS n_with_surface, count(*) FILTER (WHERE present) AS n_present, coalesce(max(best_iou) FILTER (WHERE present), 0) AS best_iou,
+  count(*) FILTER (WHERE status = 'ignored_match') AS n_no_credit, count(*) FILTER (WHERE status = 'tp') AS n_tp, count(*) FILTER (WHERE status = 'merged') AS n_merged,
+  count(*) FILTER (WHERE status = 'split') AS n_split, count(*) FILTER (WHERE status = 'low_iou') AS n_low_iou, count(*) FILTER (WHERE status = 'missed') AS n_missed FROM st GROUP BY gt),
+ct AS (SELECT gt, {', '.join(f"count(*) FILTER (WHERE tau_cm = {m3.tau_name(x)}) AS credit_{m3.tau_name(x)}" for x in TAUS)} FROM mt JOIN pres USING (frame, gt) GROUP BY gt),
+wc AS (SELECT gt, status, count(*) AS c FROM st WHERE present AND status <> 'tp' GROUP BY ALL),
+wy AS (SELECT gt, arg_min(status, (-c, list_position(['merged', 'split', 'low_iou', 'missed'], status))) AS reason FROM wc GROUP BY gt)
+SELECT fo.*, {', '.join(f"coalesce(credit_{m3.tau_name(x)}, 0) AS credit_{m3.tau_name(x)}" for x in TAUS)}, (coalesce(credit_{_M}, 0) > 0)::INT AS detected,
+  CASE WHEN coalesce(credit_{_M}, 0) > 0 THEN '' WHEN n_present = 0 THEN 'no_kf' ELSE coalesce(reason, 'missed') END AS miss_reason
+FROM fo LEFT JOIN ct USING (gt) LEFT JOIN wy USING (gt)""")
 def episode_fold(spark, sf):
     """Per truth over all frames: credits per tolerance, best IoU, status counts and miss reason."""
     s, pairs, matches = scored(spark, sf)
@@ -192,7 +267,11 @@ def episode_fold(spark, sf):
     )
 
 
-@query("tau_sensitivity")
+@query("tau_sensitivity", f"""WITH {MATCH_SQL}, ts AS (SELECT unnest({[m3.tau_name(x) for x in TAUS]})::INT AS tau_cm),
+al AS (SELECT (SELECT count(DISTINCT gt) FROM gv) AS n_gt, (SELECT count(*) FROM npv) AS n_obs),
+fd AS (SELECT tau_cm, count(DISTINCT gt) AS n_found FROM mt JOIN pres USING (frame, gt) GROUP BY tau_cm), ht AS (SELECT tau_cm, count(*) AS n_hit FROM mt GROUP BY tau_cm)
+SELECT tau_cm, coalesce(n_found, 0) AS n_found, n_gt, coalesce(n_hit, 0) AS n_hit, n_obs, coalesce(n_found, 0) / n_gt AS recall, coalesce(n_hit, 0) / n_obs AS obs_match_rate
+FROM ts CROSS JOIN al LEFT JOIN fd USING (tau_cm) LEFT JOIN ht USING (tau_cm)""")
 def tau_sensitivity(spark, sf):
     """Recall over truths and match rate over predictions for each tolerance."""
     s, _, matches = scored(spark, sf)
