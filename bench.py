@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from sightline.plans import QUERIES  # noqa: E402
-from sightline.session import build_session  # noqa: E402
+from sightline.session import build_session, release  # noqa: E402
 
 HEADLINE = [
     "flowtime_stats", "asof_pose", "pose_interpolation", "tracklets", "keyframes_in_window",
@@ -44,6 +44,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
     }))
+    release(spark)
     spark.stop()
 
 

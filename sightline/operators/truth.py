@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,18 +129,22 @@ def merge_targets(vox: DataFrame, within: Sequence[str], threshold: float) -> Da
     )
 
 
-def merge_instances(vox: DataFrame, within: Sequence[str], threshold: float, rounds: int = 50) -> DataFrame:
+def merge_instances(vox: DataFrame, within: Sequence[str], threshold: float, rounds: int | None = None) -> DataFrame:
     """Merge touching instances of one colour to a fixpoint; (instance, root) with root = smallest member.
 
     Every round measures all touching shares at once, merges along the best
-    targets, and starts over with the merged sets until nothing merges.
+    targets, and starts over with the merged sets until nothing merges. A
+    round leaves fewer instances, so this ends; with ``rounds`` given, more is
+    an error, never an unfinished result.
     """
     current = durable(vox.select(*within, "instance", "voxel").distinct(), "merge-voxels")
     roots = durable(current.select("instance", F.col("instance").alias("root")).distinct(), "merge-roots")
-    for _ in range(rounds):
+    for done in count():
         moves = durable(merge_targets(current, within, threshold).select("instance", "target"), "merge-moves")
         if moves.isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"instances still merge after {rounds} rounds")
         comp = connected_components(moves, "instance", "target")
         step = comp.select(F.col("v").alias("instance"), F.col("component").alias("_r"))
         current = durable(

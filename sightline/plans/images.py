@@ -29,7 +29,13 @@ def unproject(spark, sf):
     )
 
 
-@query("pixel_components")
+# Labels spread from pixels without an earlier neighbour of their colour; the earliest that arrives names the part.
+@query("pixel_components", f"""WITH RECURSIVE {t.RGBD_SQL},
+px AS (SELECT frame, colour, v, u, frame * {t.IMAGE_W * t.IMAGE_H} + v * {t.IMAGE_W} + u AS id FROM rgbd),
+ed AS (SELECT a.id AS a, b.id AS b FROM px a JOIN px b ON a.frame = b.frame AND a.colour = b.colour AND a.id <> b.id AND b.v BETWEEN a.v - 1 AND a.v + 1 AND b.u BETWEEN a.u - 1 AND a.u + 1),
+re AS (SELECT id AS root, id FROM px WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.a = px.id AND ed.b < px.id)
+  UNION SELECT re.root, ed.b FROM re JOIN ed ON ed.a = re.id)
+SELECT frame, colour, component, count(*) AS n_px FROM px JOIN (SELECT id, min(root) AS component FROM re GROUP BY id) USING (id) GROUP BY ALL""")
 def pixel_components(spark, sf):
     """Size of every 8-connected part of one colour."""
     c = im.pixel_components(t.rgbd(spark, sf), CAM)
@@ -54,7 +60,11 @@ def reprojection_containment(spark, sf):
     return im.containment(pts, masks, poses, CAM)
 
 
-@query("frame_shift")
+@query("frame_shift", f"""WITH {t.RGBD_SQL},
+de AS (SELECT frame, v, u, (u - 24.0) / 40.0 * depth + frame * 0.05 AS x, (v - 24.0) / 40.0 * depth AS y, depth AS z FROM rgbd WHERE depth > 0),
+p AS (SELECT *, frame + shift AS target FROM de, (SELECT unnest([-1, 0, 1]) AS shift) WHERE v % 2 = 0 AND u % 2 = 0)
+SELECT shift::BIGINT AS shift, count(*) AS n_points, avg((EXISTS (SELECT 1 FROM de d WHERE d.frame = p.target AND sqrt((d.x-p.x)*(d.x-p.x)+(d.y-p.y)*(d.y-p.y)+(d.z-p.z)*(d.z-p.z)) <= 0.001))::INT) AS within_share
+FROM p WHERE target IN (SELECT frame FROM de) GROUP BY shift""")
 def frame_shift(spark, sf):
     """Share of exact hits against the previous, same and next frame."""
     px = durable(t.rgbd(spark, sf), "rgbd")

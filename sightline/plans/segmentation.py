@@ -179,13 +179,32 @@ def gt_status_counts(spark, sf):
     return scored(spark, sf)[2].where("eligible").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("frame_mask_iou")
+# Pairs of a frame are visited best first, ties by prediction and truth; a pair is taken if neither side is.
+_GREEDY_SQL = f"""RECURSIVE {t.RASTER_SQL},
+n AS (SELECT frame, pred, gt, count(*) AS n FROM raster GROUP BY ALL),
+ap AS (SELECT frame, pred, sum(n) AS area_pred FROM n WHERE pred <> 0 GROUP BY ALL), ag AS (SELECT frame, gt, sum(n) AS area_gt FROM n WHERE gt <> 0 GROUP BY ALL),
+rk AS (SELECT frame, pred, gt, n / (area_pred + area_gt - n) AS iou, row_number() OVER (PARTITION BY frame ORDER BY n / (area_pred + area_gt - n) DESC, pred, gt) AS k
+  FROM n JOIN ap USING (frame, pred) JOIN ag USING (frame, gt)),
+gr AS (SELECT DISTINCT frame, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS gs, 0.0::DOUBLE AS s FROM n
+  UNION ALL
+  SELECT g.frame, r.k, CASE WHEN list_contains(g.ps, r.pred) OR list_contains(g.gs, r.gt) THEN g.ps ELSE list_append(g.ps, r.pred) END,
+    CASE WHEN list_contains(g.ps, r.pred) OR list_contains(g.gs, r.gt) THEN g.gs ELSE list_append(g.gs, r.gt) END,
+    CASE WHEN list_contains(g.ps, r.pred) OR list_contains(g.gs, r.gt) THEN g.s ELSE g.s + r.iou END
+  FROM gr g JOIN rk r ON r.frame = g.frame AND r.k = g.k + 1),
+fi AS (SELECT frame, arg_max(len(ps), k) AS n_matched, arg_max(s, k) AS s FROM gr GROUP BY frame),
+fs AS (SELECT frame, count(DISTINCT gt) FILTER (WHERE gt <> 0) AS n_gt, count(DISTINCT pred) FILTER (WHERE pred <> 0) AS n_pred FROM n GROUP BY frame),
+fr AS (SELECT frame, n_gt, n_pred, n_matched, CASE WHEN n_gt > 0 THEN s / n_gt ELSE 1 END AS mean_matched_iou FROM fs JOIN fi USING (frame))"""
+
+
+@query("frame_mask_iou", f"WITH {_GREEDY_SQL} SELECT * REPLACE (round(mean_matched_iou, 9) AS mean_matched_iou) FROM fr")
 def frame_mask_iou(spark, sf):
-    """Greedy matching; ties and order make this a procedure SQL has no form for."""
-    return mk.frame_mask_iou(t.rasters(spark, sf), ["frame"])
+    """Greedy matching of label images, frame by frame."""
+    f = mk.frame_mask_iou(t.rasters(spark, sf), ["frame"])
+    return f.withColumn("mean_matched_iou", F.round("mean_matched_iou", 9))
 
 
-@query("seg_run_score")
+@query("seg_run_score", f"""WITH {_GREEDY_SQL} SELECT round(avg(mean_matched_iou), 9) AS mask_iou_mean, count(*) AS frames_scored,
+  sum(n_matched)::BIGINT AS n_matched FROM fr""")
 def seg_run_score(spark, sf):
     """Mean of the frame scores over all scored frames."""
     f = mk.frame_mask_iou(t.rasters(spark, sf), ["frame"])

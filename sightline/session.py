@@ -64,6 +64,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{durable_root(spark)}/sightline-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def use_utc(spark: SparkSession) -> None:
     """Zone-free timestamps are read as UTC instants everywhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

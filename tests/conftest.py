@@ -6,7 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from sightline.session import build_session  # noqa: E402
+from sightline.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,4 +14,5 @@ def spark():
     s = build_session("sightline-tests", cpus=8, shuffle=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
