@@ -235,10 +235,11 @@ def frame_shift(points: DataFrame, dense: DataFrame, within: float) -> DataFrame
     shifts = F.explode(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]))
     p = points.select("frame", *XYZ, shifts.alias("shift")).withColumn("target", F.col("frame") + F.col("shift"))
     ref = dense.select(F.col("frame").alias("target"), *XYZ)
-    d = nearest(p.select("target", *XYZ), ref, ["target"], out="d")
-    j = p.join(d, ["target", *XYZ])
+    # The bound is strict, so it lies just above the limit; frames without a cloud do not count.
+    d = nearest(p.select("target", *XYZ), ref, ["target"], bound=within * (1 + 1e-6), out="d")
+    j = p.join(ref.select("target").distinct(), "target", "left_semi").join(d, ["target", *XYZ], "left")
     return j.groupBy("shift").agg(
-        F.count(F.lit(1)).alias("n_points"), F.avg((F.col("d") <= within).cast("int")).alias("within_share")
+        F.count(F.lit(1)).alias("n_points"), F.avg(F.coalesce(F.col("d") <= within, F.lit(False)).cast("int")).alias("within_share")
     )
 
 

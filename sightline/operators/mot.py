@@ -17,7 +17,7 @@ from sightline.operators.ordered import SLICE, carry, prefix_sum, sliced
 from sightline.session import durable
 
 KEEP_BONUS = 1000.0
-CHUNK_STEPS = 64
+CHUNK_STEPS = 1024
 
 
 # ------------------------------------------------------------ CLEAR matching

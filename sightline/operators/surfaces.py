@@ -36,10 +36,13 @@ def f_score(preds: DataFrame, truths: DataFrame, keys: Sequence[str], tau: float
     keys = list(keys)
     a = durable(downsample(preds, keys, tau / 2).select(*keys, *XYZ), "thin-pred")
     b = durable(downsample(truths, keys, tau / 2).select(*keys, *XYZ), "thin-gt")
-    near = (F.col("d") < tau).cast("int")
-    m = both_ways(a, b, keys).groupBy(*keys).agg(
-        F.avg(F.when(F.col("side") == "pred", near)).alias("p"), F.avg(F.when(F.col("side") == "gt", near)).alias("r")
-    )
+    def share(points: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        # Only partners within the bound are searched; points without one count in the total alone.
+        hits = nearest(points, others, keys, bound=tau, out="d", stored=True).groupBy(*keys).agg(F.count(F.lit(1)).alias("_h"))
+        total = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        return total.join(hits, keys, "left").select(*keys, (F.coalesce("_h", F.lit(0)) / F.col("_n")).alias(name))
+
+    m = share(a, b, "p").join(share(b, a, "r"), keys)
     f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
     return m.withColumn("f", f)
 
