@@ -124,6 +124,20 @@ def op10_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+OP10_SQL = f"""
+WITH v AS (
+  SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {vptree.NEIGHBOURS}
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,4 +147,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_vantage_point_trees": OP10_SQL}

@@ -130,9 +130,12 @@ def search_tree(
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of a vector with each row, summed the same way for every row."""
-    q, r = query / np.abs(query).max(), rows / np.abs(rows).max(1, keepdims=True)
-    return (r * q).sum(1) / (np.sqrt((r * r).sum(1)) * np.sqrt((q * q).sum()))
+    """Cosine of a vector with each row; sums run from the first component to the last."""
+    total = lambda x: np.add.accumulate(x, axis=-1)[..., -1]
+    squares = total(rows * rows), total(query * query)
+    if not (np.isfinite(squares[0]).all() and np.isfinite(squares[1]) and squares[0].min() > 1e-200 and squares[1] > 1e-200):
+        return cosines(query / np.abs(query).max(), rows / np.abs(rows).max(1, keepdims=True))
+    return total(rows * query) / np.sqrt(squares[0] * squares[1])
 
 
 class Shard:
