@@ -100,8 +100,12 @@ def stream_drops(spark, sf):
     return lost.join(total, "_k").drop("_k")
 
 
-@query("stream_episodes")
+@query("stream_episodes", """WITH e AS (SELECT user_id, ts, epoch_us(ts) // 86400000000 AS frame, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+n AS (SELECT *, sum((p IS NULL OR ts - p >= INTERVAL 2 DAYS)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e)
+SELECT user_id, min(frame) AS first_frame, max(frame) AS last_frame, least(max(frame) + 2, (SELECT max(frame) FROM e)) AS emit_frame, count(*) AS n_rows FROM n GROUP BY user_id, s""")
 def stream_episodes(spark, sf):
-    """Episodes closed by the watermark; the ones still open at the end are not out yet."""
-    s = event_stream(spark, sf).select("event_time", "user_id", t.day_of("ts_us").alias("frame"))
-    return runtime.drain(arrivals.session_episodes(s, ["user_id"], 1, 86400, "1 day"), "episodes")
+    """Episodes closed by the watermark, then those the end of the data closes."""
+    rows = lambda df: df.select("event_time", "user_id", t.day_of("ts_us").alias("frame"))
+    closed = runtime.drain(arrivals.session_episodes(rows(event_stream(spark, sf)), ["user_id"], 1, 86400, "1 day"), "episodes")
+    seen = t.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("event_time"), t.micros("ts").alias("ts_us"), "user_id")
+    return closed.unionByName(arrivals.flushed_episodes(rows(seen), closed, ["user_id"], 1, 86400))

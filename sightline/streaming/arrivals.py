@@ -39,15 +39,31 @@ def session_episodes(seen: DataFrame, keys: list[str], gap_frames: int, frame_se
     """Episodes closed by a gap; emitted when the watermark passes their end.
 
     The session end equals the closing frame last + gap + 1. Sessions still open
-    at the end of the data stay open, as in a live run.
+    when the stream ends are those of ``flushed_episodes``.
     """
+    return _sessions(seen.withWatermark("event_time", delay), keys, gap_frames, frame_seconds)
+
+
+def _sessions(seen: DataFrame, keys: list[str], gap_frames: int, frame_seconds: int) -> DataFrame:
     w = F.session_window("event_time", f"{(gap_frames + 1) * frame_seconds} seconds")
-    g = seen.withWatermark("event_time", delay).groupBy(*keys, w.alias("w")).agg(
+    g = seen.groupBy(*keys, w.alias("w")).agg(
         F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n_rows")
     )
     return g.select(*keys, "first_frame", "last_frame", (F.col("last_frame") + gap_frames + 1).alias("emit_frame"), "n_rows")
 
 
+def flushed_episodes(seen: DataFrame, closed: DataFrame, keys: list[str], gap_frames: int, frame_seconds: int) -> DataFrame:
+    """The episodes an ended stream left open, closed by the end of the data at the latest.
+
+    ``seen`` are the recorded rows of the stream, ``closed`` what it emitted;
+    only rows behind the last closed episode of a key are looked at.
+    """
+    done = closed.groupBy(*keys).agg(F.max("last_frame").alias("_done"))
+    rest = seen.join(done, keys, "left").where(F.col("_done").isNull() | (F.col("frame") > F.col("_done"))).drop("_done")
+    end = seen.agg(F.max("frame")).first()[0]
+    return _sessions(rest, keys, gap_frames, frame_seconds).withColumn("emit_frame", F.least("emit_frame", F.lit(end)))
+
+
 # --------------------------------------------------------- backward pose lookup
 
 _POSE_OUT = "sequence long, stamp_us long, event_id long, pose_us long, pose_value double"
