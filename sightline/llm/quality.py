@@ -4,7 +4,9 @@ Two zstandard dictionaries are built, one from windows of documents labelled
 good, one from windows of documents labelled bad. A document is compressed
 window by window with both; the difference of the compressed sizes, normalised
 by the window and by their sum, is calibrated into a probability by a logistic
-fit on other labelled rows.
+fit on other labelled rows, which also sees how far a window shrinks at all
+(text that repeats itself shrinks with either dictionary) and how short the
+text is.
 
 Labels are learned from at most ``TRAIN_ROWS`` rows, chosen by a hash of their
 ids; every whole text is scored. Nulls and empty texts have no windows and get
@@ -33,7 +35,11 @@ TRAIN_ROWS = 16_000
 #: Dictionary samples of each kind, one window each.
 SAMPLES = 8_000
 THRESHOLD = 0.3
+#: Difference per byte: mean, largest; over the sum of sizes; windows clearly better with the bad dictionary; saturated
+#: mean. Compressed share: mean, least. Shortness.
+FEATURES = ("mean", "largest", "relative", "worse", "saturated", "size", "least_size", "short")
 SEED = 5
+PENALTY = 0.1
 
 
 @dataclass
@@ -62,17 +68,21 @@ class Scorer:
             dictionary.precompute_compress(level=model.level)
             self.pair.append(zstandard.ZstdCompressor(dict_data=dictionary, **plain).compress)
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Mean and largest difference per byte, and mean difference over the sum, of all windows."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """Normalised size differences and sizes of all windows, summed up as ``FEATURES`` says."""
         parts = windows(text, self.model.window)
         if not parts:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0
         good, bad = ([len(f(p)) for p in parts] for f in self.pair)
         g, b, n = (np.array(x, float) for x in (good, bad, [len(p) for p in parts]))
         per_byte = (g - b) / n
         # A short last window says little; it counts by its length.
         share = n / n.sum()
-        return float(share @ per_byte), float((per_byte * np.minimum(1, n / self.model.window * 4)).max()), float(share @ ((g - b) / (g + b)))
+        size = np.minimum(1, g / n)
+        return tuple(map(float, (
+            share @ per_byte, (per_byte * np.minimum(1, n / self.model.window * 4)).max(), share @ ((g - b) / (g + b)),
+            share @ (per_byte > 0.02), share @ np.tanh(20 * per_byte), share @ size, size.min(), np.exp(-n.sum() / 400),
+        )))
 
     def score(self, text: str) -> float:
         w = self.model.weights
@@ -108,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
         if len(parts) < 8:
             counts = dict(rows.groupBy("label").count().collect())
             share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-            return QualityModel(b"", b"", [0.0, 0.0, 0.0, _logit(share)])
+            return QualityModel(b"", b"", [*[0.0] * len(FEATURES), _logit(share)])
         total = sum(map(len, parts))
         try:
             sides[mark] = zstandard.train_dictionary(min(DICTIONARY, max(1024, total // 8)), parts).as_bytes()
@@ -119,16 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
     def measure(batches: Iterator[list]) -> Iterator[tuple]:
         scorer = Scorer(model)
         for texts, marks in batches:
-            yield (*zip(*[scorer.features(t or "") for t in texts], strict=True), marks) if texts else ([], [], [], [])
-
-    schema = "mean double, largest double, relative double, label int"
-    found = by_rows(rows.where(half == 1).select("text", "label"), measure, schema).collect()
-    table = np.array([tuple(r) for r in found], float).reshape(-1, 4)
-    if len(set(table[:, 3])) < 2:
-        share = (table[:, 3].sum() + 1) / (len(table) + 2)
-        model.weights = [-10.0, 0.0, 0.0, _logit(share)]
+            yield [scorer.features(t or "") for t in texts], marks
+
+    found = by_rows(rows.where(half == 1).select("text", "label"), measure, "x array<double>, label int").collect()
+    x, y = np.array([r["x"] for r in found]), np.array([r["label"] for r in found], float)
+    if len(set(y)) < 2:
+        share = (y.sum() + 1) / (len(y) + 2)
+        model.weights = [-10.0, *[0.0] * (len(FEATURES) - 1), _logit(share)]
         return model
-    model.weights = logistic_fit(table[:, :3], table[:, 3]).tolist()
+    # Fitted on a common scale, so the penalty treats all alike.
+    centre, spread = x.mean(0), x.std(0) + 1e-9
+    w = logistic_fit((x - centre) / spread, y, ridge=PENALTY)
+    model.weights = [*(w[:-1] / spread), w[-1] - (w[:-1] * centre / spread).sum()]
     return model
 
 
