@@ -89,11 +89,13 @@ def _parts(rows: DataFrame, ball: bool) -> DataFrame:
     """Second key level: both parts of 16 bits of ``rest``, with their balls if asked for."""
     low = F.col("rest").bitwiseAND(F.lit(0xFFFF))
     high = F.shiftright("rest", 16)
-    keys = [(F.lit(p), _ball(v, 16) if ball else F.array(v)) for p, v in ((0, low), (1, high))]
-    return rows.select(
-        "fp", "segment", "crowd",
-        F.explode(F.concat(*[F.transform(v, lambda x, p=p: F.struct(p.alias("part"), x.alias("bits"))) for p, v in keys])).alias("k"),
-    ).select("fp", "segment", "crowd", "k.*")
+    keys = [(p, _ball(v, 16) if ball else F.array(v)) for p, v in ((0, low), (1, high))]
+
+    def named(part: int):
+        return lambda bits: F.struct(F.lit(part).alias("part"), bits.alias("bits"))
+
+    listed = F.concat(*[F.transform(values, named(part)) for part, values in keys])
+    return rows.select("fp", "segment", "crowd", F.explode(listed).alias("k")).select("fp", "segment", "crowd", "k.*")
 
 
 def near_pairs(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
