@@ -179,8 +179,9 @@ def footprint_px(z: Column, fx: float, size: float = VOXEL_M, near: float = 0.1)
     return F.pow(F.lit(size * fx) / F.greatest(z, F.lit(near)), F.lit(2.0))
 
 
-def splat_radius(z: Column, fx: float, size: float = VOXEL_M) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(12), F.ceil(F.lit(0.5 * size * fx) / z))).cast("int")
+def splat_radius(z: Column, fx: float, size: float = VOXEL_M, most: int = 12) -> Column:
+    """Pixels around a drawn point; ``most`` keeps points right before the camera from covering the image."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.lit(0.5 * size * fx) / z))).cast("int")
 
 
 # ------------------------------------------------------------------- scoring

@@ -74,7 +74,20 @@ def frame_shift(spark, sf):
     return im.frame_shift(pts, dense, 0.001)
 
 
-@query("silhouettes")
+@query("silhouettes", f"""WITH {t.RGBD_SQL},
+p AS (SELECT frame, colour AS episode, ((u - 24.0) / 40.0 * depth + frame * 0.05::DOUBLE) * 1.6::DOUBLE - frame * 0.05::DOUBLE AS cx, (v - 24.0) / 40.0 * depth AS cy, depth AS cz
+  FROM rgbd WHERE v % 2 = 0 AND u % 2 = 0 AND depth > 0),
+q AS (SELECT *, 40.0::DOUBLE * cx / cz + 24.0 AS pu, 40.0::DOUBLE * cy / cz + 24.0 AS pv, pow(0.02::DOUBLE * 40.0 / greatest(cz, 0.1), 2) AS foot, greatest(1, least(12, ceil(0.5::DOUBLE * 0.02 * 40.0 / cz)))::INT AS r FROM p),
+d AS (SELECT *, cz > 0.1 AND pu > -{t.IMAGE_W} AND pu < {2 * t.IMAGE_W} AND pv > -{t.IMAGE_H} AND pv < {2 * t.IMAGE_H} AS drawn FROM q),
+k AS (SELECT DISTINCT frame, episode, trunc(pu)::INT + {t.IMAGE_W} AS u, trunc(pv)::INT + {t.IMAGE_H} AS v, r FROM d WHERE drawn),
+rw AS (SELECT frame, episode, u, v + dv AS v, round_even(sqrt(r * r - dv * dv), 0)::INT AS half FROM (SELECT *, unnest(generate_series(-r, r)) AS dv FROM k)),
+ce AS (SELECT DISTINCT frame, episode, v, u + du AS u FROM (SELECT *, unnest(generate_series(-half, half)) AS du FROM rw)),
+ar AS (SELECT frame, episode, count(*) FILTER (WHERE u BETWEEN {t.IMAGE_W} AND {2 * t.IMAGE_W - 1} AND v BETWEEN {t.IMAGE_H} AND {2 * t.IMAGE_H - 1}) AS sil_px, count(*) AS canvas
+  FROM ce WHERE u BETWEEN 0 AND {3 * t.IMAGE_W - 1} AND v BETWEEN 0 AND {3 * t.IMAGE_H - 1} GROUP BY ALL),
+fo AS (SELECT frame, episode, sum(foot) FILTER (WHERE drawn) AS fd, coalesce(sum(foot) FILTER (WHERE NOT drawn), 0) AS fo FROM d GROUP BY ALL),
+tt AS (SELECT frame, episode, coalesce(sil_px, 0) AS sil_px, round_even(coalesce(canvas, 0) + CASE WHEN coalesce(canvas, 0) > 0 THEN canvas / greatest(coalesce(fd, 0), 1e-9) ELSE 1 END * fo, 0)::BIGINT AS sil_total_px
+  FROM fo LEFT JOIN ar USING (frame, episode))
+SELECT *, CASE WHEN sil_total_px > 0 THEN 1 - sil_px / sil_total_px ELSE 0 END AS trunc FROM tt""")
 def silhouettes(spark, sf):
     px = durable(t.rgbd(spark, sf), "rgbd")
     poses = t.camera_poses(px)
