@@ -35,6 +35,7 @@ RUNS = re.compile(r"\s+|\S+")
 #: Pairs and prefixes kept per Python worker; beyond it a table is emptied and filled anew.
 KEPT_PAIRS = 1_000_000
 KEPT_PREFIXES = 1_000_000
+SHARED_BYTES = 96
 
 
 class PrefixCounter:
@@ -63,9 +64,12 @@ class PrefixCounter:
         """Counts at every code point of a piece.
 
         What is known of a prefix, its last token and its count, is kept, so
-        words that begin alike share their openings.
+        words that begin alike share their openings. Long pieces share nothing
+        and are not kept.
         """
         data = text.encode("utf-8", "replace")
+        if len(data) > SHARED_BYTES:
+            return self._long_piece(text, data)
         states, get, fits = self.states, self.ranks.get, self.fits
         if len(states) > KEPT_PREFIXES:
             states.clear()
@@ -89,6 +93,19 @@ class PrefixCounter:
         ends = accumulate(len(c.encode("utf-8", "replace")) for c in text)
         return [states[data[:e]][1] for e in ends]
 
+    def _long_piece(self, text: str, data: bytes) -> list[int]:
+        get, fits, longest = self.ranks.get, self.fits, self.longest
+        last, count = [-1], [0]
+        for end in range(1, len(data) + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
+                token = get(data[start:end])
+                if token is not None and (not start or fits(last[start], token)):
+                    last.append(token)
+                    count.append(count[start] + 1)
+                    break
+        ends = accumulate(len(c.encode("utf-8", "replace")) for c in text)
+        return [count[e] for e in ends]
+
     def _split(self, text: str) -> list[str]:
         """Pieces of a text without white space but for a leading space."""
         if OTHER.search(text):

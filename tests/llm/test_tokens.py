@@ -44,6 +44,16 @@ def test_every_prefix_has_the_count_of_the_library(library):
             assert counts[end - 1] == len(library.encode(text[:end], add_special_tokens=False).ids), (text[:50], end)
 
 
+def test_long_pieces_take_memory_in_proportion(library):
+    counter = token_prefix.PrefixCounter(Encoder())
+    text = "语言模型" * 4000 + " " + "wordswithoutspaces" * 700
+    counts = counter.counts(text)
+    assert len(counts) == len(text) and counts[-1] == len(library.encode(text, add_special_tokens=False).ids)
+    for end in (1, 90, 91, 400, 16000, 16001, 16050, 20000):
+        assert counts[end - 1] == len(library.encode(text[:end], add_special_tokens=False).ids)
+    assert max(map(len, counter.states), default=0) <= token_prefix.SHARED_BYTES
+
+
 def test_whole_table_counts_and_budgets(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts_ = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
