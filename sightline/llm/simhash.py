@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm import near_copies
 from sightline.llm.common import by_rows, picked
 from sightline.operators.components import connected_components
 from sightline.session import durable
@@ -152,9 +153,5 @@ def near_duplicates(
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its near-duplicate group; of rows that repeat it one stays."""
-    null = F.lit(-(2**63))
-    keep = near_duplicates(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.coalesce("doc_id", null).alias("_keep")).distinct()
-    rows = df.withColumn("_keep", F.coalesce(F.col(f"`{id_col}`"), null))
-    return rows.join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).select(*[f"`{c}`" for c in df.columns])
+    """One row per group of near copies by shingle similarity (``near_copies``), not by the link rule above."""
+    return near_copies.one_per_group(df, id_col, text_col)
