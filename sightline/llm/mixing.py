@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import picked
@@ -173,6 +173,16 @@ def mix(
     ``ranges`` holds the word ranges taken with how often, ``taken`` their sum
     in words; ``content`` is a hash of the text that tells repeated ids apart.
     """
+    placed = _placed(df, id_col, text_col, source_col, weights, ceiling, block, shard_blocks, seed)
+    return placed.select("doc_id", "content", "size", "source_size", "target", "quota", "ranges", "taken")
+
+
+def _placed(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, ceiling: int = CEILING, block: int = BLOCK,
+    shard_blocks: int = SHARD_BLOCKS, seed: int = SEED,
+) -> DataFrame:
+    """The columns of ``mix`` with the source of each row and its start in the run of its source."""
     docs = picked(df, doc_id=id_col, text=text_col, source=source_col)
     slim = durable(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content")),
@@ -186,7 +196,7 @@ def mix(
     quotas = durable(_shard_quotas(apportion(sources, seats), shard_blocks), "mix-quotas")
     named = slim.join(
         quotas.select(F.col("source").alias("_s"), "rank"), F.col("source").eqNullSafe(F.col("_s"))
-    ).drop("_s", "source")
+    ).drop("_s")
     turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = sliced(named.withColumn("_turn", turn), ["rank"], ["_turn", "doc_id", "size", "content"])
     placed = prefix_sum(placed, ["rank"], ["_turn", "doc_id", "size", "content"], F.col("size"), "start", inclusive=False)
@@ -195,7 +205,24 @@ def mix(
     taken = F.aggregate(
         "ranges", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["begin"]) * r["times"]
     )
-    return placed.select("doc_id", "content", "size", "source_size", "target", "quota", "ranges", taken.alias("taken"))
+    return placed.withColumn("taken", taken)
+
+
+#: Id, source and text of a row without nulls; a flag tells a null from any value.
+KEYS = ["_id", "_source", "_nulls", "_content"]
+
+
+def _keys(doc_id: Column, source: Column, content: Column) -> list[Column]:
+    nulls = doc_id.isNull().cast("int") * 2 + source.isNull().cast("int")
+    return [
+        F.coalesce(doc_id, F.lit(0)).alias("_id"), F.coalesce(source, F.lit("")).alias("_source"),
+        nulls.alias("_nulls"), content.alias("_content"),
+    ]
+
+
+def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_nth``, the place of a row among those with its ``KEYS``."""
+    return prefix_sum(sliced(df, KEYS, order), KEYS, order, F.lit(1).cast("long"), "_nth").drop(SLICE)
 
 
 def mixed_documents(
@@ -206,15 +233,26 @@ def mixed_documents(
     A range over all words keeps the text as it is; a part of a document is
     its words joined by single spaces.
     """
-    key = F.coalesce(F.col(f"`{id_col}`"), F.lit(-(2**63)))
-    taken = mix(df, id_col, text_col, source_col, **options)
-    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")).agg(
-        F.array_sort(F.collect_list(F.struct("content", "size", "ranges"))).alias("_takes")
+    taken = _placed(df, id_col, text_col, source_col, **options).select(
+        *_keys(F.col("doc_id"), F.col("source"), F.col("content")), "start", F.struct("size", "ranges").alias("_take")
+    )
+    taken = durable(taken, "mix-takes")
+    rows = df.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *_keys(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`"))),
     )
-    nth = Window.partitionBy("_key").orderBy("_content", f"`{source_col}`")
-    rows = df.withColumn("_key", key).withColumn("_content", F.xxhash64(F.col(f"`{text_col}`")))
-    rows = rows.withColumn("_nth", F.row_number().over(nth)).join(taken, "_key")
-    rows = rows.withColumn("_take", F.element_at("_takes", F.col("_nth"))).withColumn("_r", F.explode("_take.ranges"))
+    repeated = durable(taken.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "mix-repeated")
+    if repeated.isEmpty():
+        rows = rows.join(taken, KEYS)
+    else:
+        # Rows alike in id, source and text are numbered over slices, so one of them may be a third of all.
+        many = rows.join(repeated, KEYS, "left_semi").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        many = _numbered(many.withColumn("_salt", F.rand(seed=SEED)), ["_row", "_salt"])
+        takes = _numbered(taken.join(repeated, KEYS, "left_semi"), ["start"])
+        once = rows.join(taken.join(repeated, KEYS, "left_anti"), KEYS)
+        names = [*[f"`{c}`" for c in df.columns], "_take"]
+        rows = once.select(*names).unionByName(many.join(takes, [*KEYS, "_nth"]).select(*names))
+    rows = rows.withColumn("_r", F.explode("_take.ranges"))
     rows = rows.withColumn("_r", F.explode(F.array_repeat("_r", F.col("_r.times").cast("int"))))
     text = F.col(f"`{text_col}`")
     whole = (F.col("_r.begin") == 0) & (F.col("_r.end") == F.col("_take.size"))

@@ -104,3 +104,31 @@ def test_documents_of_the_mix(docs_of):
         assert any(" ".join(WORDS.findall(r["text"])) in t for t in texts[r["doc_id"]])
     assert mixing.mixed_documents(docs_of([])).count() == 0
     assert mixing.mix(docs_of([(1, None), (2, " ")])).selectExpr("sum(taken)").first()[0] == 0
+
+
+def test_repeated_and_null_ids_each_take_their_own(docs_of, monkeypatch):
+    rows = [(None, f"null id number {i} " * 9, None, "ab"[i % 2]) for i in range(40)]
+    rows += [(7, f"seven has text {i % 3} " * 8, None, "ab"[i % 2]) for i in range(24)] + [(8, "once " * 30, None, None)]
+    df = docs_of(rows)
+    collected = []
+    listed = mixing.F.collect_list
+    monkeypatch.setattr(mixing.F, "collect_list", lambda *a: collected.append(a) or listed(*a))
+    got = mixing.mixed_documents(df).collect()
+    assert not collected  # no list of all rows of an id
+    takes = mixing._placed(df).collect()
+    words = {}
+    for r in takes:
+        key = (r["doc_id"], r["source"], r["content"])
+        words[key] = words.get(key, 0) + r["taken"]
+    found = {}
+    content = {(r["doc_id"], r["source"], r["text"]): r["c"] for r in df.withColumn("c", mixing.F.xxhash64("text")).collect()}
+    whole = {(r["doc_id"], r["source"], " ".join(WORDS.findall(r["text"]))): c for r, c in zip(df.collect(), [content[r["doc_id"], r["source"], r["text"]] for r in df.collect()], strict=True)}
+    for r in got:
+        part = " ".join(WORDS.findall(r["text"]))
+        key = next((i, s, c) for (i, s, t), c in whole.items() if i == r["doc_id"] and s == r["source"] and part in t)
+        found[key] = found.get(key, 0) + len(WORDS.findall(r["text"]))
+    assert sum(found.values()) == sum(words.values())
+    texts = {k: v for k, v in words.items() if v}
+    # A short part may lie in several texts; ids and sources are exact.
+    by = lambda d: {(i, s): sum(v for (a, b, _), v in d.items() if (a, b) == (i, s)) for i, s, _ in d}
+    assert by(found) == by(texts)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import test_pipeline
 
 from sightline.llm import near_copies, simhash
 
@@ -67,3 +68,38 @@ def test_similarity_is_reached_at_four_fifths():
     a = np.arange(9, dtype=np.uint64)
     assert near_copies.similar(a[:8], np.arange(10, dtype=np.uint64)) and near_copies.similar(a, a)
     assert not near_copies.similar(a[:7], a)
+
+
+def test_null_and_repeated_ids_keep_one_row_a_group(spark, docs_of):
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(None, "one lonely text"), (None, "another lonely text of its own"), (None, base), (3, base), (3, base + " tail")]
+    rows += [(5, "five says this"), (5, "and something else entirely"), (5, "five says this"), (None, "one lonely text")]
+    got = [(r["doc_id"], r["text"]) for r in simhash.one_per_group(docs_of(rows)).collect()]
+    assert len(got) == len(kept_by_all_pairs(rows)) == 5
+    assert {i for i, t in got if "word" in t} == {3}
+    assert {(i, t) for i, t in got if "word" not in t} == {
+        (5, "five says this"), (5, "and something else entirely"), (None, "one lonely text"), (None, "another lonely text of its own"),
+    }
+
+
+def test_pipeline_equals_the_plain_version_with_this_rule(spark, monkeypatch):
+    """The plain version of test_pipeline, with near copies by comparing all pairs of shingle sets."""
+
+    def groups(sets):
+        out = {s: s for s in sets}
+
+        def find(x):
+            while out[x] is not x:
+                x = out[x]
+            return x
+
+        listed = list(sets)
+        for i, a in enumerate(listed):
+            for b in listed[:i]:
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    out[find(a)] = find(b)
+        return {s: find(s) for s in sets}
+
+    monkeypatch.setattr(test_pipeline, "naive", lambda text: frozenset(shingles(text)))
+    monkeypatch.setattr(test_pipeline, "groups", groups)
+    test_pipeline.test_stages_do_what_a_plain_version_does(spark)
