@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import (
-    digests, language, masked_lm, mixing, packing, quality, simhash, token_prefix, toxicity, vptree,
+    alignment, digests, language, masked_lm, mixing, packing, periodic, quality, simhash, token_prefix, toxicity, vptree, warc,
 )
 from sightline.llm.common import crc_mod, read_table
 
@@ -138,13 +138,40 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {vptree.NEIGHBOURS}
 """
 
+
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(read_table(spark, sf_dir, "documents"), repeat_tails=True)
+
+
+def op13_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+OP13_SQL = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), l AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p
+), t AS (
+  SELECT *, payload_bytes >= {warc.LEAST_SHARED} AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM l
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN last END AS refers_to
+FROM t
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_simhash_near_dedup, op3_source_mixing, op4_toxicity_grammar,
         op5_quality_compression, op6_masked_pseudo_likelihood, op7_best_two_fit_packing,
         op8_prefix_token_counts, op9_language_unigrams, op10_vantage_point_trees,
+        op11_fragment_alignment, op12_periodic_runs, op13_warc_normaliser,
     )
 }
 
-ORACLE: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_vantage_point_trees": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_source_mixing": OP3_SQL, "op10_vantage_point_trees": OP10_SQL, "op13_warc_normaliser": OP13_SQL}
