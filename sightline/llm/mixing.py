@@ -237,8 +237,9 @@ def mixed_documents(
         *_keys(F.col("doc_id"), F.col("source"), F.col("content")), "start", F.struct("size", "ranges").alias("_take")
     )
     taken = durable(taken, "mix-takes")
+    # The user's columns travel as one, so none of their names can meet an inner one.
     rows = df.select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_user"),
         *_keys(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`"))),
     )
     repeated = durable(taken.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "mix-repeated")
@@ -246,16 +247,17 @@ def mixed_documents(
         rows = rows.join(taken, KEYS)
     else:
         # Rows alike in id, source and text are numbered over slices, so one of them may be a third of all.
-        many = rows.join(repeated, KEYS, "left_semi").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        many = rows.join(repeated, KEYS, "left_semi").withColumn("_row", F.xxhash64(F.to_json("_user")))
         many = _numbered(many.withColumn("_salt", F.rand(seed=SEED)), ["_row", "_salt"])
         takes = _numbered(taken.join(repeated, KEYS, "left_semi"), ["start"])
         once = rows.join(taken.join(repeated, KEYS, "left_anti"), KEYS)
-        names = [*[f"`{c}`" for c in df.columns], "_take"]
+        names = ["_user", "_take"]
         rows = once.select(*names).unionByName(many.join(takes, [*KEYS, "_nth"]).select(*names))
     rows = rows.withColumn("_r", F.explode("_take.ranges"))
     rows = rows.withColumn("_r", F.explode(F.array_repeat("_r", F.col("_r.times").cast("int"))))
-    text = F.col(f"`{text_col}`")
+    text = F.col("_user").getField(text_col)
     whole = (F.col("_r.begin") == 0) & (F.col("_r.end") == F.col("_take.size"))
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
     part = F.array_join(F.slice(words, (F.col("_r.begin") + 1).cast("int"), (F.col("_r.end") - F.col("_r.begin")).cast("int")), " ")
-    return rows.withColumn(text_col, F.when(whole, text).otherwise(part)).select(*[f"`{c}`" for c in df.columns])
+    mixed = F.when(whole, text).otherwise(part)
+    return rows.select(*[(mixed if c == text_col else F.col("_user").getField(c)).alias(c) for c in df.columns])

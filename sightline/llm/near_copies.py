@@ -1,17 +1,30 @@
 """Groups of near copies by the similarity of their shingle sets.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. Candidates share one of ``BANDS`` band values, each
-a hash of ``DEPTH`` minima (MinHash): a pair at 0.8 shares none with
-probability (1 - 0.8 ** 5) ** 40, about one in eight million, and less above.
-Every candidate link is verified on the whole sets.
-
-A band value with many texts is not turned into all its pairs: two rounds
-compare its texts with one of them, and only texts which that leaves in
-different groups are compared with each other.
+shingles is at least 0.8. Links are found in two ways, and each is verified on
+the whole sets:
+
+1. Multi-index hashing of SimHash fingerprints (``simhash.near_pairs``): every
+   pair within ``distance`` bits. At a similarity of 0.8 fingerprints differ
+   in about 15 of 100 bits, so this finds the closest copies only.
+2. An exact prefix filter for the others. With the shingles of all texts in
+   one order, the rare ones first, two texts of n and m shingles can only be
+   similar if the first n - least + 1 of one and m - least + 1 of the other
+   meet, ``least`` being 0.8 of the larger number. What a pair can still share
+   after the place of such a shingle, the ratio of the sizes, and the bits in
+   which two parity sketches differ (at most the shingles not shared) settle
+   most pairs before any set is read. No similar pair is lost.
+
+Shingles that the same texts hold at their front are one key. The texts of a
+key are not turned into all its pairs: two rounds compare them with the text
+that has the fewest shingles of its own, and only texts which that leaves in
+different groups, and which the three bounds leave possible, are compared with
+each other. Which shingles count as frequent is taken from a bounded sample;
+it decides their order, so the work done, and never which links are found.
 
 Nulls count as empty texts; texts of fewer than five words are one shingle.
 Equal texts, up to case and spaces, are one by a 64-bit hash of their words.
+Columns of any name and type go through unchanged.
 """
 
 from __future__ import annotations
@@ -20,23 +33,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import by_rows, picked
+from sightline.llm import simhash
+from sightline.llm.common import bounded_sample, by_rows, picked
 from sightline.operators.components import connected_components
 from sightline.session import durable
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
 SIMILAR = (4, 5)
-BANDS = 40
-DEPTH = 5
 SEED = 42
 STAR_ROUNDS = 2
-_RNG = np.random.default_rng(SEED)
-_TIMES = (_RNG.integers(0, 1 << 31, BANDS * DEPTH, np.int64) * 2 + 1).astype(np.uint32)[:, None]
-_PLUS = _RNG.integers(0, 1 << 32, BANDS * DEPTH, np.int64).astype(np.uint32)[:, None]
+#: Documents from which the order of frequent shingles is taken, and the number of them that makes one frequent.
+SAMPLE = 16_000
+FREQUENT = 8
+#: Bits of the parity sketch.
+SKETCH = 256
+#: Rows up to which the table of texts to be read again is sent to every executor; larger ones are shuffled.
+SENT_ROWS = 300_000
+_BITS = [f"b{i}" for i in range(SKETCH // 64)]
 
 
 def shingle_set(text: str, words: int = WORDS) -> tuple[int, np.ndarray]:
@@ -53,37 +70,91 @@ def shingle_set(text: str, words: int = WORDS) -> tuple[int, np.ndarray]:
     return whole, np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The band values of a set."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * DEPTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), 1024):
-        np.minimum(least, (short[None, at : at + 1024] * _TIMES + _PLUS).min(1), out=least)
-    rows = least.astype("<u4").reshape(BANDS, DEPTH)
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit per hash value mod ``SKETCH``, set if an odd number of shingles falls on it."""
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def places(hashes: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles as numbers in the one order of all texts: rare before frequent, then by hash."""
+    short = (hashes >> np.uint64(8)).astype(np.int64)
+    if len(frequent):
+        at = np.searchsorted(frequent, short).clip(max=len(frequent) - 1)
+        short += np.where(frequent[at] == short, levels[at], 0).astype(np.int64) << 56
+    return np.sort(short)
+
+
+def prefix_length(size: int) -> int:
+    """How many of the first shingles a text must be known by."""
+    up, down = SIMILAR
+    return size + (-size * up // down) + 1
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _marked(df: DataFrame) -> DataFrame:
-    """``df`` with two hashes of the whole row; a null is told from its neighbours by its place."""
-    cells = [c for i, name in enumerate(df.columns) for c in (F.lit(i), F.col(f"`{name}`"))]
-    return df.withColumn("_r1", F.xxhash64(F.lit(1), *cells)).withColumn("_r2", F.xxhash64(F.lit(2), *cells))
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    up, down = SIMILAR
+    if min(len(a), len(b)) * down < max(len(a), len(b)) * up:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * down >= (len(a) + len(b) - common) * up
+
 
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many sampled documents and their level; at most ``SAMPLE`` documents are looked at."""
 
-def _signatures(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[list]) -> Iterator[tuple]:
+        for (texts,) in batches:
+            for text in texts:
+                yield ((shingle_set(text or "")[1] >> np.uint64(8)).astype(np.int64),)
+
+    some = bounded_sample(rows.select("text", F.xxhash64("doc_id", "_r1").alias("_h")), "_h", SEED, SAMPLE)
+    counts = by_rows(some.select("text"), run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= FREQUENT).sort("token").toPandas()
+    level = np.minimum(1 + np.log2(found["n"].to_numpy(float)), 126).astype(np.int64) if len(found) else np.zeros(0, np.int64)
+    return found["token"].to_numpy(np.int64), level
+
+
+def _hashed(df: DataFrame) -> list[Column]:
+    """What is hashed of a row: a null is told from its neighbours by its place, maps count as their JSON."""
+    cells = []
+    for i, (name, kind) in enumerate(df.dtypes):
+        cell = F.col(f"`{name}`")
+        cells += [F.lit(i), F.to_json(F.struct(cell.alias("c"))) if "map<" in kind or kind == "variant" else cell]
+    return cells
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` as one column beside their id, text and two hashes of all they hold."""
+    cells = _hashed(df)
+    return df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.lit(1), *cells).alias("_r1"), F.xxhash64(F.lit(2), *cells).alias("_r2"),
+    )
+
+
+def _signatures(rows: DataFrame, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
     def run(batches: Iterator[list]) -> Iterator[tuple]:
         for ids, texts, r1, r2 in batches:
-            keys, found = [], []
+            keys, prints, sizes, sketches, fronts, own = [], [], [], [], [], []
             for text in texts:
                 whole, hashes = shingle_set(text or "")
+                order = places(hashes, frequent, levels)
                 keys.append(_signed(whole))
-                found.append(bands(hashes))
-            yield ids, r1, r2, keys, found
+                prints.append(_signed(simhash.majority(hashes)))
+                sizes.append(len(hashes))
+                sketches.append(parity_sketch(hashes))
+                fronts.append(order[: prefix_length(len(order))])
+                own.append(int(np.searchsorted(order, 1 << 56)))
+            bits = np.array(sketches, np.int64).reshape(-1, len(_BITS))
+            yield ids, r1, r2, keys, prints, sizes, own, fronts, *bits.T
 
-    return by_rows(rows, run, "doc_id long, _r1 long, _r2 long, key long, bands array<long>")
+    schema = "doc_id long, _r1 long, _r2 long, key long, fp long, n int, own int, front array<long>, "
+    return by_rows(rows, run, schema + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -94,13 +165,21 @@ def _sets(rows: DataFrame) -> DataFrame:
     return by_rows(rows, run, "key long, hashes binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the similarity."""
+def possible(a: str, b: str) -> Column:
+    """Whether the sizes and sketches of two texts leave them a similarity of 0.8."""
     up, down = SIMILAR
-    if min(len(a), len(b)) * down < max(len(a), len(b)) * up:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common * down >= (len(a) + len(b) - common) * up
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _BITS[1:]),
+                 F.bit_count(F.col(f"{a}.{_BITS[0]}").bitwiseXOR(F.col(f"{b}.{_BITS[0]}"))))
+    # Of n + m shingles at least (down - up) / (down + up) may lie in one text only.
+    return (n * down >= m * up) & (m * down >= n * up) & (differ * (down + up) <= (n + m) * (down - up))
+
+
+def _in_reach(a: str, b: str) -> Column:
+    """Whether two texts can be similar if this is the first shingle they share: only what follows counts."""
+    up, down = SIMILAR
+    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.p"), F.col(f"{b}.n") - F.col(f"{b}.p"))
+    return rest * (down + up) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * up
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -120,51 +199,110 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return by_rows(both, run, "a long, b long")
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(v, component) of every text that is linked to another; ``members`` are (band, key)."""
-    edges, parts, open_ = None, None, members
+def _members(texts: DataFrame) -> DataFrame:
+    """(token, key, p, n, own, bits) of every text at the front of which another one's shingle lies.
+
+    ``p`` is the number of shingles before this one. Shingles with the same
+    texts at whose front they lie keep their first.
+    """
+    fronts = texts.select("key", F.posexplode("front").alias("p", "token"))
+    shared = fronts.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.bit_xor("key").alias("_x"))
+    first = durable(
+        shared.where("many > 1").groupBy("many", "_x").agg(F.min("token").alias("token")).select("token"), "near-tokens"
+    )
+    held = durable(fronts.join(first, "token"), "near-fronts")
+    return durable(held.join(texts.select("key", "n", "own", *_BITS), "key"), "near-members")
+
+
+def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members with the component they are in, as ``c``."""
+    if parts is None:
+        return members.withColumn("c", F.col("key"))
+    named = parts.select(F.col("v").alias("key"), F.col("component").alias("_c"))
+    return members.join(named, "key", "left").withColumn("c", F.coalesce("_c", "key")).drop("_c")
+
+
+def _links(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component) of every text that is linked to another; ``edges`` are the links already known."""
+    found: list[DataFrame] = [edges]
+    parts = None
+
+    def closed() -> DataFrame:
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        return durable(connected_components(every, "a", "b"), "near-parts")
+
+    def still_open() -> DataFrame:
+        """The members of keys that lie in more than one component."""
+        placed = durable(_placed(members, parts), "near-placed")
+        apart = placed.groupBy("token").agg(F.min("c").alias("_l"), F.max("c").alias("_g")).where("_l <> _g").select("token")
+        return durable(placed.join(apart, "token"), "near-open")
+
+    if not edges.isEmpty():
+        parts = closed()
+    columns = ["key", "p", "n", "own", "c", *_BITS]
     for turn in range(STAR_ROUNDS):
-        chosen = F.min_by("key", F.xxhash64(F.lit(turn), "key"))
-        centres = open_.groupBy("band").agg(chosen.alias("a"))
-        pairs = open_.join(centres, "band").where("a <> key")
-        pairs = pairs.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        found = durable(_verified(pairs, sets), "near-links")
-        edges = found if edges is None else edges.union(found)
-        parts = durable(connected_components(edges, "a", "b"), "near-parts")
-        # Bands of two texts are settled, and so are those whose texts are all in one group.
-        placed = open_.select("band", "key").join(parts.withColumnRenamed("v", "key"), "key", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "key"))
-        left = placed.groupBy("band").agg(
-            F.count(F.lit(1)).alias("n"), F.min("component").alias("_a"), F.max("component").alias("_b")
+        open_ = still_open()
+        # The text with the fewest shingles of its own stands in the middle of its near copies.
+        rank = F.struct(F.col("own") / F.col("n") if not turn else F.xxhash64(F.lit(turn), "key").cast("double"), "key")
+        centres = open_.groupBy("token").agg(F.min_by(F.struct(*columns), rank).alias("x")).select("token", "x.*")
+        pairs = open_.alias("y").join(
+            centres.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y") & _in_reach("x", "y")
         )
-        open_ = durable(placed.join(left.where("n > 2 AND _a <> _b").select("band"), "band"), "near-open")
-        if open_.isEmpty():
-            return parts
-    one = open_.select("band", F.col("key").alias("a"), F.col("component").alias("_ca"))
-    two = open_.select("band", F.col("key").alias("b"), F.col("component").alias("_cb"))
-    rest = one.join(two, "band").where("a < b AND _ca <> _cb").select("a", "b")
-    last = durable(_verified(rest, sets), "near-links")
-    return parts if last.isEmpty() else connected_components(edges.union(last), "a", "b")
+        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        found.append(durable(_verified(pairs, sets), "near-links"))
+        if not found[-1].isEmpty():
+            parts = closed()
+    open_ = still_open()
+    rest = open_.alias("x").join(
+        open_.alias("y"),
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
+        & possible("x", "y") & _in_reach("x", "y"),
+    )
+    found.append(durable(_verified(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")), sets), "near-links"))
+    if not found[-1].isEmpty() or parts is None:
+        parts = closed()
+    return parts
+
+
+def _close_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): texts whose fingerprints lie within reach of multi-index hashing, equal ones through one of them."""
+    least = durable(texts.groupBy("fp").agg(F.min("key").alias("key")), "near-prints")
+    pairs = simhash.near_pairs(least.select("fp"))
+    first, second = (least.select(F.col("fp").alias(x), F.col("key").alias(f"_{x}")) for x in ("a", "b"))
+    across = pairs.join(first, "a").join(second, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = texts.select("fp", F.col("key").alias("b")).join(least.select("fp", F.col("key").alias("a")), "fp").where("a <> b")
+    both = across.union(same.select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _filtered(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches leave possible."""
+    slim = texts.select("key", "n", *_BITS)
+    joined = pairs.join(slim.alias("x"), F.col("a") == F.col("x.key")).join(slim.alias("y"), F.col("b") == F.col("y.key"))
+    return joined.where(possible("x", "y")).select("a", "b")
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``df`` per group of near copies: the smallest id, null ids last, then the smallest hash of the row."""
-    rows = _marked(df)
-    slim = picked(rows, doc_id=id_col, text=text_col, _r1="_r1", _r2="_r2")
-    marks = durable(_signatures(slim), "near-signatures")
+    rows = _marked(df, id_col, text_col)
+    slim = rows.select("doc_id", "text", "_r1", "_r2")
+    marks = durable(_signatures(slim, *_frequent(slim)), "near-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_r1", "_r2")
-    texts = durable(
-        marks.groupBy("key").agg(F.min(order).alias("best"), F.first("bands").alias("bands")), "near-texts"
-    )
-    held = texts.select("key", F.explode("bands").alias("band"))
-    shared = held.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    members = durable(held.join(shared, "band").select("band", "key"), "near-members")
-    wanted = members.select("key").distinct().join(texts, "key").select("key", "best._r1", "best._r2")
-    known = slim.select("_r1", "_r2", "text").join(wanted, ["_r1", "_r2"]).select("key", "text")
-    sets = durable(_sets(known).dropDuplicates(["key"]), "near-sets")
-    parts = _links(members, sets).withColumnRenamed("v", "key")
+    same = [F.first(c).alias(c) for c in ("fp", "n", "own", "front", *_BITS)]
+    texts = durable(marks.groupBy("key").agg(F.min(order).alias("best"), *same), "near-texts")
+    close = durable(_filtered(_close_pairs(texts), texts).distinct(), "near-close")
+    members = _members(texts)
+    wanted = members.select("key").union(close.select(F.explode(F.array("a", "b")))).distinct()
+    wanted = durable(wanted.join(texts, "key").select("key", "best._r1", "best._r2"), "near-wanted")
+    few = wanted.count() <= SENT_ROWS
+    known = slim.select("_r1", "_r2", "text").join(F.broadcast(wanted) if few else wanted, ["_r1", "_r2"])
+    sets = durable(_sets(known.select("key", "text")).dropDuplicates(["key"]), "near-sets")
+    edges = durable(_verified(close, sets), "near-links")
+    parts = _links(members, sets, edges).withColumnRenamed("v", "key")
     best = texts.join(parts, "key", "left").groupBy(F.coalesce("component", "key").alias("_c")).agg(F.min("best").alias("best"))
     keep = best.select("best._r1", "best._r2")
     # Rows alike in every column are one.
     kept = rows.join(keep, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"])
-    return kept.select(*[f"`{c}`" for c in df.columns])
+    return kept.select("row.*")

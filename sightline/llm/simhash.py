@@ -15,14 +15,13 @@ copies never meet each other in a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm import near_copies
 from sightline.llm.common import by_rows, picked
 from sightline.operators.components import connected_components
 from sightline.session import durable
@@ -48,6 +47,11 @@ def simhash(text: str, words: int = SHINGLE) -> int:
         starts = (ends - lengths)[: len(parts) - words + 1].tolist()
         spans = zip(starts, ends[words - 1 :].tolist(), strict=True)
         hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans]
+    return majority(hashes)
+
+
+def majority(hashes: Sequence[int]) -> int:
+    """The bits set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], "<u8")
@@ -153,5 +157,7 @@ def near_duplicates(
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per group of near copies by shingle similarity (``near_copies``), not by the link rule above."""
+    """One row per group of near copies: the pairs found here and those of a prefix filter, by shingle similarity (``near_copies``)."""
+    from sightline.llm import near_copies  # which builds on this module
+
     return near_copies.one_per_group(df, id_col, text_col)

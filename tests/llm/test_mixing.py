@@ -132,3 +132,12 @@ def test_repeated_and_null_ids_each_take_their_own(docs_of, monkeypatch):
     # A short part may lie in several texts; ids and sources are exact.
     by = lambda d: {(i, s): sum(v for (a, b, _), v in d.items() if (a, b) == (i, s)) for i, s, _ in d}
     assert by(found) == by(texts)
+
+
+def test_columns_of_any_name_and_type_go_through_the_mix(spark):
+    rows = [(i, "some words of a text " * 30, "s", 7, {"a": i}, 1) for i in (1, 2, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _take map<string,int>, _user int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["_id"], r["_take"]["a"], r["_user"]) for r in got.collect()} <= {(i, 7, i, 1) for i in (1, 2, 3)}
+    assert got.count() >= 4

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import test_pipeline
 
 from sightline.llm import near_copies, simhash
 
@@ -82,24 +81,70 @@ def test_null_and_repeated_ids_keep_one_row_a_group(spark, docs_of):
     }
 
 
-def test_pipeline_equals_the_plain_version_with_this_rule(spark, monkeypatch):
-    """The plain version of test_pipeline, with near copies by comparing all pairs of shingle sets."""
+def test_the_filters_lose_no_similar_pair():
+    rng = random.Random(8)
+    none = np.zeros(0, np.int64)
+    seen = 0
+    for _ in range(400):
+        size = rng.choice([5, 30, 200])
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], np.uint64))
+        b = a.copy()
+        for at in rng.sample(range(len(b)), rng.randint(0, max(1, size // 8))):
+            b[at] = rng.getrandbits(64)
+        b = np.unique(b[rng.randint(0, size // 10) :])
+        frequent = np.sort((a[:: rng.randint(1, 4)] >> np.uint64(8)).astype(np.int64)) if rng.random() < 0.5 else none
+        levels = np.full(len(frequent), 3, np.int64)
+        if not near_copies.similar(a, b):
+            continue
+        seen += 1
+        x, y = (near_copies.places(s, frequent, levels) for s in (a, b))
+        front = [set(s[: near_copies.prefix_length(len(s))].tolist()) for s in (x, y)]
+        shared = min(front[0] & front[1])
+        rest = min(len(x) - x.tolist().index(shared), len(y) - y.tolist().index(shared))
+        assert 9 * rest >= 4 * (len(a) + len(b))
+        bits = sum(int(p ^ q).bit_count() for p, q in zip(*(near_copies.parity_sketch(s).view(np.uint64).tolist() for s in (a, b)), strict=True))
+        assert 9 * bits <= len(a) + len(b)
+    assert seen > 100
+
+
+def variants(count):
+    """One text in many variants: most near it, some with so many changes that nothing is near them."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, count):
+        changed = list(words)
+        for at in rng.sample(range(150), rng.randint(1, 9)):
+            changed[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(changed)))
+    return rows
+
+
+def test_a_large_group_of_variants_equals_all_pairs_and_few_pairs_are_made(spark, docs_of, monkeypatch):
+    rows = variants(400)
+    pairs = []
+    plain = near_copies._verified
+
+    def counted(found, sets):
+        pairs.append(found.count())
+        return plain(found, sets)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    got = sorted(r["doc_id"] for r in near_copies.one_per_group(docs_of(rows)).collect())
+    assert got == sorted(min(g)[1] for g in kept_by_all_pairs(rows))
+    assert sum(pairs) < 20 * len(rows)  # all pairs are 79,800
 
-    def groups(sets):
-        out = {s: s for s in sets}
 
-        def find(x):
-            while out[x] is not x:
-                x = out[x]
-            return x
+def test_tables_equal_all_pairs_at_every_size(spark):
+    """The rows kept of the larger tables, as counted once by comparing every pair of shingle sets."""
+    for sf, kept in (("sf0.01", 922), ("sf0.1", 9248)):
+        assert near_copies.one_per_group(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).count() == kept
 
-        listed = list(sets)
-        for i, a in enumerate(listed):
-            for b in listed[:i]:
-                if 5 * len(a & b) >= 4 * len(a | b):
-                    out[find(a)] = find(b)
-        return {s: find(s) for s in sets}
 
-    monkeypatch.setattr(test_pipeline, "naive", lambda text: frozenset(shingles(text)))
-    monkeypatch.setattr(test_pipeline, "groups", groups)
-    test_pipeline.test_stages_do_what_a_plain_version_does(spark)
+def test_columns_of_any_name_and_type_go_through(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, 5, {"a": 1}, 7), (2, text, 6, {"a": 2}, 8), (None, None, 9, None, None), (3, "other words here", 4, {}, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _r1 long, row map<string,int>, key int")
+    got = sorted(map(tuple, near_copies.one_per_group(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=str)
+    assert near_copies.one_per_group(docs).columns == docs.columns and near_copies.one_per_group(docs.limit(0)).count() == 0

@@ -4,7 +4,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 from test_mixing import WORDS, naive_seats, naive_targets
-from test_simhash import groups, naive
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -51,18 +50,36 @@ def naive_mix(docs):
     return out
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def first_of_groups(docs):
+    """The smallest id of each group of near copies, every pair compared."""
+    sets = [(i, shingles(t)) for i, t, _ in docs]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for at, (i, a) in enumerate(sets):
+        for j, b in sets[:at]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i for i in root if find(i) == i}
+
+
 def test_stages_do_what_a_plain_version_does(spark):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     good = quality.Scorer(quality_model(spark, SF))
     rows = [r for r in rows if good.score(r[1] or "") >= 0.3]
     of = toxicity._scores(toxicity_model(spark, SF))
     rows = [r for r in rows if of([r[1]])[0] < 0.3]
-    prints = {i: naive(t) for i, t, _ in rows}
-    group = groups(set(prints.values()))
-    least = {}
-    for i, f in prints.items():
-        least[group[f]] = min(i, least.get(group[f], i))
-    rows = [r for r in rows if least[group[prints[r[0]]]] == r[0]]
+    first = first_of_groups(rows)
+    rows = [r for r in rows if r[0] in first]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
     for doc_id, text in naive_mix(rows):
