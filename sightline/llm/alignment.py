@@ -50,10 +50,10 @@ from sightline.session import durable
 LONG = 1 << 16
 RANGE = 1 << 15
 #: Bytes of text whose pairs are counted together.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 FAN_IN = 8
 #: Units kept per Python worker; beyond it the table is emptied and filled anew.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 150_000
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 ALONE = re.compile(r"(?<=\S) (?=\S)")
