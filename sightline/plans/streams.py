@@ -9,6 +9,10 @@ from sightline.sources import tables as t
 from sightline.streaming import arrivals, runtime, tracker
 
 
+#: How far events may be out of order between micro-batches; rows later than that are an error.
+DELAY = "2 days"
+
+
 def event_stream(spark, sf):
     e = runtime.table_stream(spark, sf, "events")
     return e.select(
@@ -50,11 +54,34 @@ def stream_pairs(spark, sf):
 FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF JOIN (SELECT * FROM events WHERE event_type = 'click') c
   ON e.user_id = c.user_id AND e.ts >= c.ts""")
 def stream_pose_lookup(spark, sf):
-    s = event_stream(spark, sf).where("event_type IN ('error', 'click')").select(
+    """The latest click at or before every error of a user, whatever files and batches they come in."""
+    return pose_lookup_of(event_stream(spark, sf))
+
+
+def pose_lookup_of(events):
+    held, ending = runtime.watermarked(events.where("event_type IN ('error', 'click')"), "event_time", DELAY)
+    s = held.select(
+        F.col("user_id").alias("sequence"), F.col("ts_us").alias("stamp_us"), "event_id",
+        (F.col("event_type") == "click").alias("is_pose"), "value", "event_time",
+    )
+    return runtime.drain_to_end(arrivals.pose_lookup(s), ending, "event_time", "pose-lookup")
+
+
+@query("stream_latch", """SELECT c.user_id AS sequence, epoch_us(c.ts) AS stamp_us, c.event_id, s.latched
+FROM events c JOIN (SELECT user_id, arg_min(value, (ts, event_id)) AS latched FROM events WHERE event_type = 'signup' GROUP BY user_id) s
+  ON c.user_id = s.user_id AND c.event_type = 'click'""")
+def stream_latch(spark, sf):
+    """Clicks with the value of the first signup of their user; clicks before it are held until it comes."""
+    return latch_of(event_stream(spark, sf))
+
+
+def latch_of(events):
+    held, ending = runtime.watermarked(events.where("event_type IN ('signup', 'click')"), "event_time", DELAY)
+    s = held.select(
         F.col("user_id").alias("sequence"), F.col("ts_us").alias("stamp_us"), "event_id",
-        (F.col("event_type") == "click").alias("is_pose"), "value",
+        (F.col("event_type") == "signup").alias("is_value"), "value", "event_time",
     )
-    return runtime.drain(arrivals.pose_lookup(s), "pose-lookup")
+    return runtime.drain_to_end(arrivals.first_value_latch(s), ending, "event_time", "latch")
 
 
 def detections(events):
@@ -74,19 +101,28 @@ def detections(events):
         F.sequence(start, start + size - 1).alias("cells"),
         (F.pmod(frame, F.lit(7)) / 10.0).alias("novelty"),
         F.lit(0.5).alias("valid_frac"),
+        ((frame + 1) * (6 * 3600 * 1_000_000)).alias("end_us"),
+        "event_time",
     )
 
 
+def tracked_of(events, name, only_emitted=False):
+    """Tracked detections of an event stream, or just those of its keyframes."""
+    held, ending = runtime.watermarked(events, "event_time", DELAY)
+    rows = tracker.track(detections(held))
+    return runtime.drain_to_end(tracker.emitted(rows) if only_emitted else rows, ending, "event_time", name)
+
+
 @query("stream_tracker")
 def stream_tracker(spark, sf):
     """Tracker and keyframe gate over all events."""
-    return runtime.drain(tracker.track(detections(event_stream(spark, sf))), "tracker")
+    return tracked_of(event_stream(spark, sf), "tracker")
 
 
 @query("stream_emissions")
 def stream_emissions(spark, sf):
     """Keyframe emissions per reason."""
-    rows = runtime.drain(tracker.emitted(tracker.track(detections(event_stream(spark, sf)))), "emissions")
+    rows = tracked_of(event_stream(spark, sf), "emissions", only_emitted=True)
     return rows.groupBy("keyframe").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("encode").alias("n_encoded"))
 
 

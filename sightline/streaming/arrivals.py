@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-POSE_RING = 2048
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def first_arrivals(arrivals: DataFrame, delay: str) -> DataFrame:
@@ -64,43 +60,144 @@ def flushed_episodes(seen: DataFrame, closed: DataFrame, keys: list[str], gap_fr
     return _sessions(rest, keys, gap_frames, frame_seconds).withColumn("emit_frame", F.least("emit_frame", F.lit(end)))
 
 
-# --------------------------------------------------------- backward pose lookup
+# ------------------------------------------------------- state behind the watermark
+
+def _millis(stamp_us: int) -> int:
+    """The first whole millisecond at which nothing up to the stamp can come any more."""
+    return -(-stamp_us // 1000)
+
+
+class _Waiting(StatefulProcessor):
+    """Rows of a key are held in a list and let go, in order of their stamps, once the watermark has passed them.
+
+    Whatever the files, their order and the batches they came in, ``release``
+    sees the same rows in the same order. The list holds what is younger than
+    the watermark, so its size is bounded by the delay.
+    """
+
+    held_schema: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+
+    def due(self, row: tuple) -> int:
+        """Watermark in milliseconds at which a held row may go."""
+        raise NotImplementedError
+
+    def hold(self, row: Row) -> tuple:
+        """What is kept of an incoming row."""
+        raise NotImplementedError
+
+    def release(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        some = [self.hold(r) for r in rows]
+        self.held.appendList(some)
+        self.handle.registerTimer(min(map(self.due, some)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        every = [tuple(r) for r in self.held.get()]
+        ready = [r for r in every if self.due(r) <= now]
+        later = [r for r in every if self.due(r) > now]
+        if not ready:
+            return
+        if later:
+            self.held.put(later)
+            self.handle.registerTimer(min(map(self.due, later)))
+        else:
+            self.held.clear()
+        yield from self.release(key, ready)
+
+    def close(self) -> None:
+        pass
+
+
+class _PoseLookup(_Waiting):
+    """The latest pose at or before each image; of the poses let go only the latest is kept."""
+
+    held_schema = "stamp_us long, event_id long, is_pose boolean, value double"
+
+    def init(self, handle):
+        super().init(handle)
+        self.latest = handle.getValueState("latest", "stamp_us long, value double")
+
+    def due(self, row):
+        return _millis(row[0])
+
+    def hold(self, row):
+        return row.stamp_us, row.event_id, row.is_pose, row.value
+
+    def release(self, key, rows):
+        pose = tuple(self.latest.get()) if self.latest.exists() else None
+        # Poses lead images of the same stamp.
+        for stamp, event, is_pose, value in sorted(rows, key=lambda r: (r[0], not r[2], r[1])):
+            if is_pose:
+                pose = stamp, value
+            elif pose is not None:
+                yield Row(sequence=key[0], stamp_us=stamp, event_id=event, pose_us=pose[0], pose_value=pose[1])
+        if pose is not None:
+            self.latest.update(pose)
+
 
 _POSE_OUT = "sequence long, stamp_us long, event_id long, pose_us long, pose_value double"
-_POSE_STATE = "stamps array<long>, values array<double>"
-
-
-def _pose_lookup(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest pose at or before each image; images before the first pose are skipped."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    stamps, values = (list(x) for x in state.get) if state.exists else ([], [])
-    pose = rows[rows["is_pose"]].sort_values(["stamp_us", "event_id"])
-    stamps = np.array(stamps + pose["stamp_us"].tolist(), dtype=np.int64)
-    values = np.array(values + pose["value"].tolist(), dtype=float)
-    order = np.argsort(stamps, kind="stable")
-    stamps, values = stamps[order], values[order]
-    img = rows[~rows["is_pose"]].sort_values(["stamp_us", "event_id"])
-    at = np.searchsorted(stamps, img["stamp_us"].to_numpy(), side="right") - 1
-    ok = at >= 0
-    state.update((stamps[-POSE_RING:].tolist(), values[-POSE_RING:].tolist()))
-    img = img[ok]
-    yield pd.DataFrame(
-        {
-            "sequence": np.full(len(img), key[0], dtype=np.int64),
-            "stamp_us": img["stamp_us"].to_numpy(),
-            "event_id": img["event_id"].to_numpy(),
-            "pose_us": stamps[at[ok]],
-            "pose_value": values[at[ok]],
-        }
-    )
 
 
 def pose_lookup(rows: DataFrame) -> DataFrame:
-    """Stateful as-of lookup with a bounded ring of poses per sequence.
+    """As-of lookup that waits for the watermark, so every pose that can matter has come.
 
-    rows: (sequence, stamp_us, event_id, is_pose, value). Poses of a batch are
-    taken in before its images, which stands for the lead of the pose topic.
+    rows: (sequence, stamp_us, event_id, is_pose, value) with a watermark.
+    Images before the first pose are skipped. Poses of one stamp: the one with
+    the largest event id counts.
     """
-    return rows.groupBy("sequence").applyInPandasWithState(
-        _pose_lookup, _POSE_OUT, _POSE_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return rows.groupBy("sequence").transformWithState(_PoseLookup(), _POSE_OUT, "Append", "EventTime")
+
+
+class _Latch(_Waiting):
+    """The first value of a key, by time, for all its rows; rows wait until it is known, later values are ignored."""
+
+    held_schema = "stamp_us long, event_id long, is_value boolean, value double"
+
+    def init(self, handle):
+        super().init(handle)
+        self.latched = handle.getValueState("latched", "value double")
+        self.early = handle.getListState("early", "stamp_us long, event_id long")
+
+    def due(self, row):
+        return _millis(row[0])
+
+    def hold(self, row):
+        return row.stamp_us, row.event_id, row.is_value, row.value
+
+    def release(self, key, rows):
+        known = self.latched.exists()
+        value = self.latched.get()[0] if known else None
+        waiting = []
+        for stamp, event, is_value, new in sorted(rows):
+            if is_value and not known:
+                known, value = True, new
+                self.latched.update((new,))
+                waiting = [tuple(r) for r in self.early.get()] + waiting
+                self.early.clear()
+            elif not is_value:
+                waiting.append((stamp, event))
+        if not known:
+            self.early.appendList(waiting)
+            return
+        for stamp, event in waiting:
+            yield Row(sequence=key[0], stamp_us=stamp, event_id=event, latched=value)
+
+
+_LATCH_OUT = "sequence long, stamp_us long, event_id long, latched double"
+
+
+def first_value_latch(rows: DataFrame) -> DataFrame:
+    """Rows with the first value of their sequence; those before it are held until it comes.
+
+    rows: (sequence, stamp_us, event_id, is_value, value) with a watermark. A
+    sequence without a value keeps its rows in state.
+    """
+    return rows.groupBy("sequence").transformWithState(_Latch(), _LATCH_OUT, "Append", "EventTime")

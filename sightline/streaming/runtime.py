@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.session import durable_path, use_utc
@@ -66,6 +67,55 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+#: Event time of the row that ends a stream: later than any other.
+END_OF_STREAM = "9999-01-01 00:00:00"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def watermarked(stream: DataFrame, time: str, delay: str) -> tuple[DataFrame, str]:
+    """``stream`` with a watermark, and a folder; a row written there ends the stream.
+
+    The ending row moves the watermark behind everything, so that state that
+    waits for it lets go of what it holds; it goes no further itself. The
+    condition names the event time, which keeps it behind the watermark; other
+    conditions belong on ``stream``, as they would be moved before it and take
+    the ending row away.
+    """
+    spark = stream.sparkSession
+    ending = durable_path(spark, "stream-end")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ending)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    end = spark.readStream.schema(stream.schema).parquet(ending)
+    marked = stream.unionByName(end).withWatermark(time, delay)
+    return marked.where(F.col(time) < F.lit(END_OF_STREAM).cast("timestamp")), ending
+
+
+def _run(stream: DataFrame, path: str, resume: bool) -> None:
+    """One run to the end of what is available; rows that came too late are an error, not a loss."""
+    query = record(stream, f"{path}/data", f"{path}/checkpoint", resume)
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if late:
+        raise RuntimeError(f"{late} rows came later than the delay of the watermark")
+
+
+def drain_to_end(stream: DataFrame, ending: str, time: str, name: str) -> DataFrame:
+    """Process everything available, end the stream, and return the written rows.
+
+    ``stream`` comes from ``watermarked``. The second run goes on from the
+    checkpoint of the first and finds just the row that ends the stream.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    path = durable_path(spark, name)
+    _run(stream, path, False)
+    row = spark.range(1).select(F.lit(END_OF_STREAM).cast("timestamp").alias(time))
+    row.write.mode("append").parquet(ending)
+    _run(stream, path, True)
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+
+
 def fan_out(stream: DataFrame, checkpoint: str, sinks: list[Callable[[DataFrame, int], None]]):
     """Hand every micro-batch to several sinks in order; the batch is computed once.
 

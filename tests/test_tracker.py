@@ -1,9 +1,10 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.streaming import discovery, runtime, tracker
+from sightline.plans import streams
+from sightline.sources import tables as t
+from sightline.streaming import arrivals, discovery, runtime, tracker
 
 SCHEMA = tracker.INPUT
 
@@ -69,20 +70,90 @@ def frames(n, seed=0):
     return rows
 
 
-def test_stream_state_carries_over_batches(spark, tmp_path):
-    """Three micro-batches give the same tracks as one."""
+def timed(df):
+    """One frame a minute; rows of a frame come at its start and later."""
+    at = F.col("frame") * 60_000_000 + 86_400_000_000
+    seen = F.timestamp_micros(at + F.coalesce(F.col("lane"), F.lit(0)) * 1_000_000)
+    return df.withColumns({"end_us": at + 60_000_000, "event_time": seen})
+
+
+def tracked(spark, path, schema, files=None, delay="1 hour"):
+    stream, ending = runtime.watermarked(runtime.folder_stream(spark, str(path), schema, max_files=files), "event_time", delay)
+    return runtime.drain_to_end(tracker.track(stream), ending, "event_time", "tracked")
+
+
+def plain_tracks(rows):
+    """Every sequence run frame by frame."""
+    out = []
+    for q in sorted({r[0] for r in rows}):
+        s = tracker.fresh()
+        for f in sorted({r[1] for r in rows if r[0] == q}):
+            part = sorted((r for r in rows if r[:2] == (q, f)), key=lambda r: r[2])
+            dets = [det(r[2], r[5], r[8]) | {"area": r[3], "pos": list(r[5:8]), "weight": 1 / (1 + np.exp(-(r[3] - tracker.AREA_ANCHOR) / tracker.AREA_SCALE))} for r in part]
+            got, reason, revived = tracker.step(s, dets, part[0][9:11])
+            alive = sum(k["alive"] for k in s["tracks"])
+            out += [(q, f, r["lane"], r["tid"], r["new"], reason, r["encode"], alive, revived) for r in got]
+    return sorted(out)
+
+
+def test_tracks_do_not_depend_on_files_their_order_or_batches(spark, tmp_path):
+    """A file a trigger, in any order, with frames split over files, gives the tracks of a plain loop."""
     rows = frames(30)
-    df = spark.createDataFrame(rows, SCHEMA)
-    for i in range(3):
-        df.where((F.col("frame") >= i * 10) & (F.col("frame") < i * 10 + 10)).coalesce(1).write.mode("append").parquet(
-            str(tmp_path / "in")
-        )
-    one = runtime.folder_stream(spark, str(tmp_path / "in"), df.schema)
-    many = runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
-    a = runtime.drain(tracker.track(one), "one")
-    b = runtime.drain(tracker.track(many), "many")
-    assert a.count() == len(rows)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    want = plain_tracks(rows)
+    df = timed(spark.createDataFrame(rows, SCHEMA))
+    parts = {
+        "ordered": [F.col("frame").between(10 * i, 10 * i + 9) for i in range(3)],
+        "split": [F.col("lane") == 2, F.col("lane") == 0, F.col("lane") == 1],
+        "shuffled": [F.pmod(F.xxhash64("sequence", "frame", "lane"), F.lit(4)) == i for i in (2, 0, 3, 1)],
+    }
+    for name, tests in parts.items():
+        for test in tests:
+            df.where(test).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        for files in (None, 1):
+            got = tracked(spark, tmp_path / name, df.schema, files)
+            assert sorted(map(tuple, got.collect())) == want, (name, files)
+
+
+def test_rows_later_than_the_delay_are_an_error(spark, tmp_path):
+    df = timed(spark.createDataFrame(frames(60), SCHEMA))
+    for test in ("frame >= 30", "frame < 2", "frame BETWEEN 2 AND 29"):
+        df.where(test).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(RuntimeError, match="later than the delay"):
+        tracked(spark, tmp_path / "in", df.schema, 1, "1 minute")
+
+
+def events_in_files(spark, folder, parts):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for i in range(parts):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(str(folder))
+    schema = events.schema
+    stream = runtime.folder_stream(spark, str(folder), schema, max_files=1)
+    return stream.select(
+        "event_id", F.col("ts").cast("timestamp").alias("event_time"), t.micros("ts").alias("ts_us"), "user_id", "event_type", "value"
+    )
+
+
+@pytest.mark.parametrize("name", ["pose", "latch", "tracker"])
+def test_stream_queries_give_the_same_rows_over_many_batches(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(streams, "DELAY", "60 days")
+    of = {"pose": streams.pose_lookup_of, "latch": streams.latch_of, "tracker": lambda e: streams.tracked_of(e, "t")}[name]
+    one = of(streams.event_stream(spark, "/root/testdata/sf0.001"))
+    many = of(events_in_files(spark, tmp_path / "in", 4))
+    assert one.count() > 100
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_latch_holds_rows_until_the_first_value(spark, tmp_path):
+    schema = "sequence long, stamp_us long, event_id long, is_value boolean, value double, event_time timestamp"
+    rows = [(1, 10, 1, False, None), (1, 50, 2, True, 7.0), (1, 60, 3, False, None), (1, 40, 4, True, 5.0), (2, 5, 5, False, None)]
+    second = 1_000_000
+    df = spark.createDataFrame([(q, s * second, e, v, x) for q, s, e, v, x in rows], schema.rsplit(",", 1)[0])
+    df = df.withColumn("event_time", F.timestamp_micros("stamp_us"))
+    for e in (3, 1, 2, 4, 5):
+        df.where(f"event_id = {e}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, ending = runtime.watermarked(runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1), "event_time", "1 hour")
+    got = runtime.drain_to_end(arrivals.first_value_latch(stream), ending, "event_time", "latch")
+    assert sorted(map(tuple, got.collect())) == [(1, 10 * second, 1, 5.0), (1, 60 * second, 3, 5.0)]
 
 
 def test_discovery_rules():
@@ -120,15 +191,6 @@ def test_gate_table():
     assert tracker.gate_reason(True, False, True, True, False) == "" == tracker.gate_reason(True, False, False, True, True)
 
 
-def test_split_frame_is_an_error(spark, tmp_path):
-    df = spark.createDataFrame([r for r in frames(3) if r[0] == 1], SCHEMA)
-    for part in (df.where("lane = 0"), df.where("lane > 0 OR frame = 2")):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
-    with pytest.raises(Exception, match="two micro-batches"):
-        runtime.drain(tracker.track(stream), "split")
-
-
 def test_recorder_refuses_used_folder(spark, tmp_path):
     df = spark.createDataFrame(frames(2), SCHEMA)
     df.write.parquet(str(tmp_path / "in"))
