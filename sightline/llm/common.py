@@ -21,14 +21,20 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def by_rows(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Map the rows of each partition in Arrow batches: ``fn`` gets lists of columns, yields tuples of columns."""
+def by_rows(
+    df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], schema: str, rows: int | None = None
+) -> DataFrame:
+    """Map the rows of each partition in Arrow batches: ``fn`` gets lists of columns, yields tuples of columns.
+
+    ``rows`` is the most rows that are Python objects at once.
+    """
     struct = _parse_datatype_string(schema)
     assert isinstance(struct, StructType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(struct)
-        for columns in fn([c.to_pylist() for c in b.columns] for b in batches):
+        parts = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)) if rows else batches
+        for columns in fn([c.to_pylist() for c in b.columns] for b in parts):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )

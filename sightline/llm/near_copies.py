@@ -47,12 +47,14 @@ SIMILAR = (4, 5)
 SEED = 42
 STAR_ROUNDS = 2
 #: Documents from which the order of frequent shingles is taken, and the number of them that makes one frequent.
-SAMPLE = 16_000
-FREQUENT = 8
+SAMPLE = 8_000
+FREQUENT = 6
 #: Bits of the parity sketch.
 SKETCH = 256
 #: Rows up to which the table of texts to be read again is sent to every executor; larger ones are shuffled.
 SENT_ROWS = 300_000
+#: Rows that are Python objects at once.
+ROWS = 512
 _BITS = [f"b{i}" for i in range(SKETCH // 64)]
 
 
@@ -154,15 +156,42 @@ def _signatures(rows: DataFrame, frequent: np.ndarray, levels: np.ndarray) -> Da
             yield ids, r1, r2, keys, prints, sizes, own, fronts, *bits.T
 
     schema = "doc_id long, _r1 long, _r2 long, key long, fp long, n int, own int, front array<long>, "
-    return by_rows(rows, run, schema + ", ".join(f"{b} long" for b in _BITS))
+    return by_rows(rows, run, schema + ", ".join(f"{b} long" for b in _BITS), ROWS)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[list]) -> Iterator[tuple]:
-        for keys, texts in batches:
-            yield keys, [shingle_set(t or "")[1].astype("<u8").tobytes() for t in texts]
+class _Texts:
+    """Texts by their key, whose sets are made when a pair asks for them."""
+
+    def __init__(self, texts: DataFrame, rows: DataFrame):
+        self.texts, self.rows = texts, rows
+
+    def sets(self, keys: DataFrame) -> DataFrame:
+        def run(batches: Iterator[list]) -> Iterator[tuple]:
+            for names, texts in batches:
+                yield names, [shingle_set(t or "")[1].astype("<u8").tobytes() for t in texts]
+
+        wanted = durable(self.texts.join(keys, "key", "left_semi").select("key", "best._r1", "best._r2"), "near-wanted")
+        few = wanted.count() <= SENT_ROWS
+        known = self.rows.join(F.broadcast(wanted) if few else wanted, ["_r1", "_r2"]).select("key", "text")
+        return durable(by_rows(known, run, "key long, hashes binary", ROWS).dropDuplicates(["key"]), "near-sets")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar."""
 
-    return by_rows(rows, run, "key long, hashes binary")
+        def run(batches: Iterator[list]) -> Iterator[tuple]:
+            for a, b, of_a, of_b in batches:
+                ok = [
+                    i for i, (x, y) in enumerate(zip(of_a, of_b, strict=True))
+                    if similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+                ]
+                yield [a[i] for i in ok], [b[i] for i in ok]
+
+        pairs = durable(pairs.distinct(), "near-pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("of_a"))
+        right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("of_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+        return durable(by_rows(both, run, "a long, b long", ROWS), "near-links")
 
 
 def possible(a: str, b: str) -> Column:
@@ -182,23 +211,6 @@ def _in_reach(a: str, b: str) -> Column:
     return rest * (down + up) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * up
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-
-    def run(batches: Iterator[list]) -> Iterator[tuple]:
-        for a, b, of_a, of_b in batches:
-            ok = [
-                i for i, (x, y) in enumerate(zip(of_a, of_b, strict=True))
-                if similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
-            ]
-            yield [a[i] for i in ok], [b[i] for i in ok]
-
-    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("of_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("of_b"))
-    both = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return by_rows(both, run, "a long, b long")
-
-
 def _members(texts: DataFrame) -> DataFrame:
     """(token, key, p, n, own, bits) of every text at the front of which another one's shingle lies.
 
@@ -222,47 +234,36 @@ def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return members.join(named, "key", "left").withColumn("c", F.coalesce("_c", "key")).drop("_c")
 
 
-def _links(members: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component) of every text that is linked to another; ``edges`` are the links already known."""
-    found: list[DataFrame] = [edges]
+def _links(members: DataFrame, texts: _Texts, close: DataFrame) -> DataFrame:
+    """(v, component) of every text that is linked to another; ``close`` are pairs known otherwise."""
+    found: list[DataFrame] = []
     parts = None
 
-    def closed() -> DataFrame:
-        every = found[0]
-        for more in found[1:]:
-            every = every.union(more)
-        return durable(connected_components(every, "a", "b"), "near-parts")
-
-    def still_open() -> DataFrame:
+    def placed_in_open_keys() -> DataFrame:
         """The members of keys that lie in more than one component."""
         placed = durable(_placed(members, parts), "near-placed")
         apart = placed.groupBy("token").agg(F.min("c").alias("_l"), F.max("c").alias("_g")).where("_l <> _g").select("token")
         return durable(placed.join(apart, "token"), "near-open")
 
-    if not edges.isEmpty():
-        parts = closed()
     columns = ["key", "p", "n", "own", "c", *_BITS]
-    for turn in range(STAR_ROUNDS):
-        open_ = still_open()
-        # The text with the fewest shingles of its own stands in the middle of its near copies.
-        rank = F.struct(F.col("own") / F.col("n") if not turn else F.xxhash64(F.lit(turn), "key").cast("double"), "key")
-        centres = open_.groupBy("token").agg(F.min_by(F.struct(*columns), rank).alias("x")).select("token", "x.*")
-        pairs = open_.alias("y").join(
-            centres.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y") & _in_reach("x", "y")
-        )
-        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-        found.append(durable(_verified(pairs, sets), "near-links"))
-        if not found[-1].isEmpty():
-            parts = closed()
-    open_ = still_open()
-    rest = open_.alias("x").join(
-        open_.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c"))
-        & possible("x", "y") & _in_reach("x", "y"),
-    )
-    found.append(durable(_verified(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")), sets), "near-links"))
-    if not found[-1].isEmpty() or parts is None:
-        parts = closed()
+    here = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & possible("x", "y") & _in_reach("x", "y")
+    for turn in range(STAR_ROUNDS + 1):
+        open_ = placed_in_open_keys()
+        if turn < STAR_ROUNDS:
+            # The text with the fewest shingles of its own stands in the middle of its near copies.
+            rank = F.struct(F.xxhash64(F.lit(turn), "key").cast("double") if turn else F.col("own") / F.col("n"), "key")
+            sides = open_.groupBy("token").agg(F.min_by(F.struct(*columns), rank).alias("x")).select("token", "x.*")
+            joined = open_.alias("y").join(sides.alias("x"), here)
+        else:
+            joined = open_.alias("x").join(open_.alias("y"), here & (F.col("x.key") < F.col("y.key")))
+        pairs = joined.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        found.append(texts.verified(pairs if turn else pairs.union(close)))
+        if turn and found[-1].isEmpty():
+            continue
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        parts = durable(connected_components(every, "a", "b"), "near-parts")
     return parts
 
 
@@ -293,14 +294,7 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = [F.first(c).alias(c) for c in ("fp", "n", "own", "front", *_BITS)]
     texts = durable(marks.groupBy("key").agg(F.min(order).alias("best"), *same), "near-texts")
     close = durable(_filtered(_close_pairs(texts), texts).distinct(), "near-close")
-    members = _members(texts)
-    wanted = members.select("key").union(close.select(F.explode(F.array("a", "b")))).distinct()
-    wanted = durable(wanted.join(texts, "key").select("key", "best._r1", "best._r2"), "near-wanted")
-    few = wanted.count() <= SENT_ROWS
-    known = slim.select("_r1", "_r2", "text").join(F.broadcast(wanted) if few else wanted, ["_r1", "_r2"])
-    sets = durable(_sets(known.select("key", "text")).dropDuplicates(["key"]), "near-sets")
-    edges = durable(_verified(close, sets), "near-links")
-    parts = _links(members, sets, edges).withColumnRenamed("v", "key")
+    parts = _links(_members(texts), _Texts(texts, slim), close).withColumnRenamed("v", "key")
     best = texts.join(parts, "key", "left").groupBy(F.coalesce("component", "key").alias("_c")).agg(F.min("best").alias("best"))
     keep = best.select("best._r1", "best._r2")
     # Rows alike in every column are one.

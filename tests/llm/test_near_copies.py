@@ -123,13 +123,13 @@ def variants(count):
 def test_a_large_group_of_variants_equals_all_pairs_and_few_pairs_are_made(spark, docs_of, monkeypatch):
     rows = variants(400)
     pairs = []
-    plain = near_copies._verified
+    plain = near_copies._Texts.verified
 
-    def counted(found, sets):
+    def counted(self, found):
         pairs.append(found.count())
-        return plain(found, sets)
+        return plain(self, found)
 
-    monkeypatch.setattr(near_copies, "_verified", counted)
+    monkeypatch.setattr(near_copies._Texts, "verified", counted)
     got = sorted(r["doc_id"] for r in near_copies.one_per_group(docs_of(rows)).collect())
     assert got == sorted(min(g)[1] for g in kept_by_all_pairs(rows))
     assert sum(pairs) < 20 * len(rows)  # all pairs are 79,800
