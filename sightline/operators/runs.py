@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.quantiles import exact_quantiles
+from sightline.session import durable
 
 
 def flatten(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -22,6 +24,45 @@ def run_medians(rows: DataFrame, run: str, metrics: Sequence[str]) -> DataFrame:
     return exact_quantiles(long, ["metric"], "value", {"median": 0.5}).join(n, "metric")
 
 
+def numeric_leaves(reports: DataFrame, keys: Sequence[str], report: str, most_levels: int = 64) -> DataFrame:
+    """(keys, metric, value) for every number in nested JSON reports; ``metric`` is its path, joined by dots.
+
+    Objects are opened level by level, all reports together. Truth values,
+    texts, nulls and lists are not numbers; a report that is no JSON object,
+    or null, has no leaves.
+    """
+    keys = list(keys)
+    level = reports.select(*keys, F.lit("").alias("_path"), F.try_parse_json(F.col(report)).alias("_v"))
+    found: list[DataFrame] = []
+    for _ in range(most_levels):
+        level = durable(level.withColumn("_kind", F.schema_of_variant("_v")).where("_kind LIKE 'OBJECT<%'"), "report-level")
+        if found and level.isEmpty():
+            break
+        view = f"_report_level_{uuid.uuid4().hex}"
+        level.createOrReplaceTempView(view)
+        names = ", ".join(f"`{k}`" for k in keys)
+        opened = reports.sparkSession.sql(
+            f"SELECT {names}, concat(_path, e.key) AS metric, e.value AS _v, schema_of_variant(e.value) AS _kind "
+            f"FROM {view}, LATERAL variant_explode(_v) AS e"
+        )
+        numbers = opened.where("_kind IN ('BIGINT', 'DOUBLE', 'FLOAT') OR _kind LIKE 'DECIMAL%'")
+        found.append(numbers.select(*keys, "metric", F.variant_get("_v", "$", "double").alias("value")))
+        level = opened.select(*keys, F.concat("metric", F.lit(".")).alias("_path"), "_v")
+    else:
+        raise RuntimeError(f"reports are nested deeper than {most_levels} levels")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def report_medians(reports: DataFrame, run: str, report: str) -> DataFrame:
+    """Median of every numeric leaf over the runs whose report has it."""
+    long = durable(numeric_leaves(reports, [run], report), "report-leaves")
+    n = long.groupBy("metric").agg(F.count(F.lit(1)).alias("n_runs"))
+    return exact_quantiles(long, ["metric"], "value", {"median": 0.5}).join(n, "metric")
+
+
 def compare(old: DataFrame, new: DataFrame, keys: Sequence[str], higher_better: Column) -> DataFrame:
     """Old and new value per key with the direction of the change; either side may be missing."""
     o = old.select(*keys, F.col("value").alias("old"))

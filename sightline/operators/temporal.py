@@ -195,26 +195,45 @@ def count_in_intervals(points: DataFrame, intervals: DataFrame, time: str, lo: s
     )
 
 
+def _dyadic_pieces(lo: Column, hi: Column, levels: Column) -> Column:
+    """The at most two pieces a level, (level, place), that together cover the whole numbers lo..hi once.
+
+    A piece of level k at place i covers i * 2^k up to the next multiple.
+    """
+
+    def of_level(k: Column) -> Column:
+        # Of what the levels below leave: the first piece that has no left half, the last without a right one.
+        first = -F.call_function("shiftright", -lo, k)
+        stop = F.call_function("shiftright", hi + 1, k)
+        piece = lambda at: F.struct(k.cast("int").alias("level"), at.alias("place"))
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        none = F.array().cast("array<struct<level:int,place:bigint>>")
+        left = F.when((first < stop) & odd(first), F.array(piece(first))).otherwise(none)
+        right = F.when((first < stop) & odd(stop), F.array(piece(stop - 1))).otherwise(none)
+        return F.concat(left, right)
+
+    return F.flatten(F.transform(levels, of_level))
+
+
 def interval_join(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, lo: str, hi: str, width: int, margin: int = 0
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, lo: str, hi: str, margin: int = 0
 ) -> DataFrame:
-    """Points joined to the intervals [lo - margin, hi + margin] that hold them.
+    """Points joined to the intervals [lo - margin, hi + margin] that hold them; times are whole numbers.
 
-    Intervals are spread over buckets of ``width``; the join is an equi join on
-    (keys, bucket) with the exact bounds as residual condition.
+    An interval of n times is cut into at most 2 log2(n) dyadic pieces, and a
+    point carries its piece of every level, so the join is an equi join on
+    (keys, level, place) that gives each pair once, however long lifetimes
+    are. Levels reach as far as the longest interval needs.
     """
     keys = list(keys)
-    spread = (
-        intervals.withColumn("_lo", F.col(lo) - margin)
-        .withColumn("_hi", F.col(hi) + margin)
-        .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    )
-    placed = points.withColumn("_b", F.floor(F.col(time) / width))
-    return (
-        placed.join(spread, [*keys, "_b"])
-        .where((F.col(time) >= F.col("_lo")) & (F.col(time) <= F.col("_hi")))
-        .drop("_b", "_lo", "_hi")
-    )
+    cut = intervals.withColumns({"_lo": (F.col(lo) - margin).cast("long"), "_hi": (F.col(hi) + margin).cast("long")})
+    longest = cut.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
+    levels = F.sequence(F.lit(0), F.lit(max(int(longest), 1).bit_length()))
+    pieces = cut.withColumn("_p", F.explode(_dyadic_pieces(F.col("_lo"), F.col("_hi"), levels)))
+    pieces = pieces.withColumns({"_level": F.col("_p.level"), "_place": F.col("_p.place")}).drop("_p", "_lo", "_hi")
+    placed = points.withColumn("_level", F.explode(levels))
+    placed = placed.withColumn("_place", F.call_function("shiftright", F.col(time).cast("long"), F.col("_level")))
+    return placed.join(pieces, [*keys, "_level", "_place"]).drop("_level", "_place")
 
 
 # ------------------------------------------------------------------ switches

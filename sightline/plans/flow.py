@@ -202,7 +202,7 @@ def active_tracklets(spark, sf):
     """Keyframes joined to the tracklets active there, with a margin on both ends."""
     kf = t.segments(spark, sf).where("event_type = 'purchase'").select("gt_object_id", "frame_idx").distinct()
     tr = tracklet_rows(spark, sf).select("gt_object_id", "tracklet_id", "first_frame", "last_frame")
-    j = temporal.interval_join(kf, tr, ["gt_object_id"], "frame_idx", "first_frame", "last_frame", 8, MARGIN)
+    j = temporal.interval_join(kf, tr, ["gt_object_id"], "frame_idx", "first_frame", "last_frame", MARGIN)
     return j.select("gt_object_id", "frame_idx", "tracklet_id")
 
 

@@ -93,7 +93,7 @@ def tracklet_distances(spark, sf):
     s = t.signals(spark, sf).select(
         F.col("user_id").alias("gt_object_id"), t.day_of("ts_us").alias("frame"), F.col("value").alias("dist")
     )
-    obs = temporal.interval_join(s, tracks, ["gt_object_id"], "frame", "first_frame", "last_frame", 8)
+    obs = temporal.interval_join(s, tracks, ["gt_object_id"], "frame", "first_frame", "last_frame")
     return tr.tracklet_rollup(obs, MAX_RANGE).withColumn("dist_mean_m", F.round("dist_mean_m", 9))
 
 
