@@ -13,7 +13,8 @@ the whole sets:
    meet, ``least`` being 0.8 of the larger number. What a pair can still share
    after the place of such a shingle, the ratio of the sizes, and the bits in
    which two parity sketches differ (at most the shingles not shared) settle
-   most pairs before any set is read. No similar pair is lost.
+   most pairs in the join, wider sketches nearly all others before any set is
+   read. No similar pair is lost.
 
 Shingles that the same texts hold at their front are one key. The texts of a
 key are not turned into all its pairs: two rounds compare them with the text
@@ -78,6 +79,23 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of two to four bits a shingle; a smaller one comes from it by adding its halves."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, at the size of the smaller one: at most the shingles not shared."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def places(hashes: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The shingles as numbers in the one order of all texts: rare before frequent, then by hash."""
     short = (hashes >> np.uint64(8)).astype(np.int64)
@@ -142,7 +160,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _signatures(rows: DataFrame, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
     def run(batches: Iterator[list]) -> Iterator[tuple]:
         for ids, texts, r1, r2 in batches:
-            keys, prints, sizes, sketches, fronts, own = [], [], [], [], [], []
+            keys, prints, sizes, sketches, fronts, own, wide = [], [], [], [], [], [], []
             for text in texts:
                 whole, hashes = shingle_set(text or "")
                 order = places(hashes, frequent, levels)
@@ -150,12 +168,13 @@ def _signatures(rows: DataFrame, frequent: np.ndarray, levels: np.ndarray) -> Da
                 prints.append(_signed(simhash.majority(hashes)))
                 sizes.append(len(hashes))
                 sketches.append(parity_sketch(hashes))
+                wide.append(wide_sketch(hashes))
                 fronts.append(order[: prefix_length(len(order))])
                 own.append(int(np.searchsorted(order, 1 << 56)))
             bits = np.array(sketches, np.int64).reshape(-1, len(_BITS))
-            yield ids, r1, r2, keys, prints, sizes, own, fronts, *bits.T
+            yield ids, r1, r2, keys, prints, sizes, own, fronts, wide, *bits.T
 
-    schema = "doc_id long, _r1 long, _r2 long, key long, fp long, n int, own int, front array<long>, "
+    schema = "doc_id long, _r1 long, _r2 long, key long, fp long, n int, own int, front array<long>, wide binary, "
     return by_rows(rows, run, schema + ", ".join(f"{b} long" for b in _BITS), ROWS)
 
 
@@ -175,6 +194,23 @@ class _Texts:
         known = self.rows.join(F.broadcast(wanted) if few else wanted, ["_r1", "_r2"]).select("key", "text")
         return durable(by_rows(known, run, "key long, hashes binary", ROWS).dropDuplicates(["key"]), "near-sets")
 
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their wide sketches leave possible; a sketch is a thirtieth of a set."""
+        up, down = SIMILAR
+
+        def run(batches: Iterator[list]) -> Iterator[tuple]:
+            for a, b, n, m, of_a, of_b in batches:
+                ok = [
+                    i for i, (x, y) in enumerate(zip(of_a, of_b, strict=True))
+                    if sketch_distance(x, y) * (down + up) <= (n[i] + m[i]) * (down - up)
+                ]
+                yield [a[i] for i in ok], [b[i] for i in ok]
+
+        left = self.texts.select(F.col("key").alias("a"), F.col("n"), F.col("wide").alias("of_a"))
+        right = self.texts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("wide").alias("of_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "of_a", "of_b")
+        return by_rows(both, run, "a long, b long", ROWS)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
 
@@ -186,7 +222,7 @@ class _Texts:
                 ]
                 yield [a[i] for i in ok], [b[i] for i in ok]
 
-        pairs = durable(pairs.distinct(), "near-pairs")
+        pairs = durable(self.screened(pairs.distinct()), "near-pairs")
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("of_a"))
         right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("of_b"))
@@ -291,7 +327,7 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = rows.select("doc_id", "text", "_r1", "_r2")
     marks = durable(_signatures(slim, *_frequent(slim)), "near-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_r1", "_r2")
-    same = [F.first(c).alias(c) for c in ("fp", "n", "own", "front", *_BITS)]
+    same = [F.first(c).alias(c) for c in ("fp", "n", "own", "front", "wide", *_BITS)]
     texts = durable(marks.groupBy("key").agg(F.min(order).alias("best"), *same), "near-texts")
     close = durable(_filtered(_close_pairs(texts), texts).distinct(), "near-close")
     parts = _links(_members(texts), _Texts(texts, slim), close).withColumnRenamed("v", "key")

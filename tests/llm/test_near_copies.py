@@ -104,6 +104,8 @@ def test_the_filters_lose_no_similar_pair():
         assert 9 * rest >= 4 * (len(a) + len(b))
         bits = sum(int(p ^ q).bit_count() for p, q in zip(*(near_copies.parity_sketch(s).view(np.uint64).tolist() for s in (a, b)), strict=True))
         assert 9 * bits <= len(a) + len(b)
+        apart = near_copies.sketch_distance(near_copies.wide_sketch(a), near_copies.wide_sketch(b))
+        assert apart <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
     assert seen > 100
 
 
