@@ -1,11 +1,12 @@
 """One-to-one assignment of rows to columns inside groups.
 
 Pairs that cannot be chosen are dropped first, and a pair without a rival is
-chosen outright. The largest remaining group is measured: while all groups are
-small (a frame has at most a few hundred masks and truths) each group is one
-solver call. Beyond that size groups are split into the connected components of
-their bipartite graph; the best assignment of a group is the union of the best
-assignments of its components, so the result is the same. The solver itself is
+chosen outright. The best assignment of a group is the union of the best
+assignments of the connected components of its bipartite graph, and the solver
+only ever sees one component: small groups (a frame has at most a few hundred
+masks and truths) are parted inside the solver call, larger ones by joins
+before it. Either way a component is solved alone from the same numbers, so
+the size of its group makes no difference, ties included. The solver itself is
 a small numpy routine run by grouped maps.
 """
 
@@ -95,20 +96,42 @@ def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return r, c, w, ok
 
 
+def parts(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For each pair (row, col) a number of its connected component."""
+    _, r = np.unique(rows, return_inverse=True)
+    _, c = np.unique(cols, return_inverse=True)
+    of_row = np.arange(r.max() + 1)
+    while True:
+        of_col = np.full(c.max() + 1, len(of_row))
+        np.minimum.at(of_col, c, of_row[r])
+        least = of_row.copy()
+        np.minimum.at(least, r, of_col[c])
+        # A row takes the number of the row its number stands for.
+        least = least[least]
+        if (least == of_row).all():
+            return of_row[r]
+        of_row = least
+
+
+def _solve_part(pdf: pd.DataFrame, method: str) -> pd.DataFrame:
+    r, c, w, ok = _dense(pdf)
+    if method == "greedy":
+        picks = greedy_pairs(np.where(ok, w, -np.inf), -np.inf)
+    elif method == "most_then_best":
+        size = min(w.shape)
+        picks = best_total(ok + w / (2.0 * size))
+    else:
+        picks = best_total(w)
+    picks = [(i, j) for i, j in picks if ok[i, j]]
+    i = [p[0] for p in picks]
+    j = [p[1] for p in picks]
+    return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_r": r[i], "_c": c[j], "_w": w[i, j]})
+
+
 def _solve(method: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c, w, ok = _dense(pdf)
-        if method == "greedy":
-            picks = greedy_pairs(np.where(ok, w, -np.inf), -np.inf)
-        elif method == "most_then_best":
-            size = min(w.shape)
-            picks = best_total(ok + w / (2.0 * size))
-        else:
-            picks = best_total(w)
-        picks = [(i, j) for i, j in picks if ok[i, j]]
-        i = [p[0] for p in picks]
-        j = [p[1] for p in picks]
-        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_r": r[i], "_c": c[j], "_w": w[i, j]})
+        label = parts(pdf["_r"].to_numpy(), pdf["_c"].to_numpy())
+        return pd.concat([_solve_part(part, method) for _, part in pdf.groupby(label)], ignore_index=True)
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -84,9 +85,12 @@ def cloud_score(pred: DataFrame, gt: DataFrame, objects: DataFrame, size: float,
     )
     owner = gt.select(*keys, "gt_object_id").distinct()
     pts = pred.join(owner, keys)
-    d = nearest(pts.select("gt_object_id", *vx.XYZ), objects, ["gt_object_id"], out="d")
-    out = pts.join(d, ["gt_object_id", *vx.XYZ], "left").groupBy(*keys).agg(
-        F.avg((F.col("d") > max_dist).cast("int")).alias("outlier_ratio")
+    # Only whether something lies within the distance is asked, so the search ends just behind it.
+    near = nearest(pts.select("gt_object_id", *vx.XYZ), objects, ["gt_object_id"], bound=max_dist * (1 + 1e-9), out="d")
+    there = objects.select("gt_object_id").distinct().withColumn("_there", F.lit(True))
+    far = F.when(F.col("_there"), (F.coalesce("d", F.lit(math.inf)) > max_dist).cast("int"))
+    out = pts.join(near, ["gt_object_id", *vx.XYZ], "left").join(there, "gt_object_id", "left").groupBy(*keys).agg(
+        F.avg(far).alias("outlier_ratio")
     )
     return iou.join(out, keys, "left")
 

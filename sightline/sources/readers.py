@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import flag
+from sightline.operators.runs import content_digest
+from sightline.operators.temporal import interval_join
 from sightline.schema import DDL
 
 # ---------------------------------------------------------------- text tables
@@ -81,6 +83,44 @@ def seen_segments(spark: SparkSession, path: str) -> DataFrame:
     return entity(spark, path, "segments").where("n_pixels >= 1").select("gt_object_id", "frame_idx").distinct()
 
 
+def tracklets(spark: SparkSession, path: str, ids: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Stored tracklets, only those asked for; columns left out are not read."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.col("tracklet_id").isin(ids)) if ids is not None else rows
+    return rows.select(*columns) if columns else rows
+
+
+def observed_points(observations: DataFrame, points: DataFrame) -> DataFrame:
+    """Points of each observation by its slice: (obs, kf_index, tracklet_id) with what ``points`` has at (at, ...).
+
+    ``at`` numbers the points from 0; an observation holds points_start and the points_num that follow.
+    """
+    slices = observations.where("points_num > 0").select(
+        "obs", "kf_index", "tracklet_id", F.col("points_start").alias("_a"), (F.col("points_start") + F.col("points_num") - 1).alias("_b")
+    )
+    return interval_join(points, slices, [], "at", "_a", "_b").drop("_a", "_b")
+
+
+def labels_of(spark: SparkSession, path: str, frames: DataFrame) -> DataFrame:
+    """Label pixels of the frames asked for; a frame without a stored label image is an error, not an empty one."""
+    labels = spark.read.schema(DDL["gt_labels"]).parquet(path)
+    there = labels.select("frame").distinct().withColumn("_there", F.lit(True))
+    asked = frames.select("frame").distinct().join(there, "frame", "left")
+    checked = F.when(F.col("_there"), F.col("frame")).otherwise(
+        F.raise_error(F.concat(F.lit("no label image of frame "), F.col("frame").cast("string"))).cast("int")
+    )
+    return labels.join(asked.select(checked.alias("frame")), "frame")
+
+
+def label_provenance(spark: SparkSession, path: str, meta: str) -> DataFrame:
+    """(version, recorded, digest, intact): what is said of stored labels and what they are, one row."""
+    said = spark.read.schema("version string, digest string").option("multiLine", True).json(meta)
+    labels = spark.read.schema(DDL["gt_labels"]).parquet(path).withColumn("_k", F.lit(0))
+    own = content_digest(labels, ["_k"], ["frame", "v", "u", "value"]).select("_k", F.col("digest").alias("_own"))
+    both = said.withColumn("_k", F.lit(0)).join(own, "_k", "left")
+    return both.select("version", F.col("digest").alias("recorded"), F.col("_own").alias("digest"), F.col("digest").eqNullSafe(F.col("_own")).alias("intact"))
+
+
 def optional_json(spark: SparkSession, path: str, ddl: str) -> DataFrame | None:
     """One-document JSON, None when the file does not exist."""
     jvm = spark.sparkContext._jvm

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators import runs
+from sightline.operators.ordered import prefix_sum, sliced
 
 
 def _fs(spark: SparkSession, path: str):
@@ -105,11 +106,38 @@ def with_defaults(stored: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return stored.withColumns({c: e for c, e in defaults.items() if c not in stored.columns})
 
 
-def check_capture(keyframes: DataFrame, observations: DataFrame) -> DataFrame:
-    """Integrity of a capture: announced and stored observation counts per keyframe that differ."""
-    got = observations.groupBy(F.col("kf_index").alias("kf")).agg(F.count(F.lit(1)).alias("n_stored"))
-    j = keyframes.select("kf", "n_obs").join(got, "kf", "full").na.fill(0, ["n_obs", "n_stored"])
-    return j.where("n_obs <> n_stored")
+def check_capture(keyframes: DataFrame, observations: DataFrame, frames: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """(kf, fault) of everything in a capture that does not fit together; no row means it is whole.
+
+    ``n_obs``      a keyframe announces another number of observations than are stored
+    ``obs_start``  its observations do not begin where those of the keyframes before end
+    ``points``     points of an observation do not begin where those before end, or are not all stored
+    ``stamp``      its stamp is not that of its frame in ``frames`` (frame_idx, stamp_ns)
+    """
+    got = observations.groupBy(F.col("kf_index").alias("kf")).agg(F.count(F.lit(1)).alias("_stored"))
+    both = keyframes.select("kf", "n_obs").join(got, "kf", "full").na.fill(0, ["n_obs", "_stored"])
+    faults = [both.where("n_obs <> _stored").select("kf", F.lit("n_obs").alias("fault"))]
+
+    def misplaced(rows: DataFrame, order: str, start: str, size: str, name: str) -> DataFrame:
+        summed = prefix_sum(sliced(rows, [], [order]), [], [order], F.col(size), "_start", inclusive=False)
+        return summed.where(~F.col(start).eqNullSafe(F.col("_start"))).select("kf", F.lit(name).alias("fault"))
+
+    if "obs_start" in keyframes.columns:
+        faults.append(misplaced(keyframes.select("kf", "obs_start", "n_obs"), "kf", "obs_start", "n_obs", "obs_start"))
+    if points is not None:
+        slices = observations.select(F.col("kf_index").alias("kf"), "obs", "points_start", "points_num")
+        faults.append(misplaced(slices, "obs", "points_start", "points_num", "points"))
+        end = points.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+        beyond = slices.withColumn("_k", F.lit(0)).join(end, "_k").where("points_start + points_num > _n")
+        faults.append(beyond.select("kf", F.lit("points").alias("fault")))
+    if frames is not None:
+        known = frames.select("frame_idx", F.col("stamp_ns").alias("_stamp"))
+        named = keyframes.select("kf", "frame_idx", "stamp_ns").join(known, "frame_idx", "left")
+        faults.append(named.where(~F.col("stamp_ns").eqNullSafe(F.col("_stamp"))).select("kf", F.lit("stamp").alias("fault")))
+    out = faults[0]
+    for more in faults[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def tracklet_messages(rows: DataFrame) -> DataFrame:

@@ -137,3 +137,83 @@ def test_module_report(spark):
     assert profiles.SCORERS["updater"](a).count() == 2
     empty = profiles.SCORERS["clip"](a).first()
     assert (empty.n, empty.median_s) == (0, None)
+
+
+def test_camera_and_poses(spark, tmp_path):
+    (tmp_path / "cam.yaml").write_text("K: [1, 0, 3, 0, 5, 6, 0, 0, 1]\nD: [0.1]\nwidth: 640\nheight: 480\nframe_id: left\n")
+    got = readers.camera_info(str(tmp_path / "cam.yaml"))
+    assert got == {"K": [1.0, 0, 3, 0, 5, 6, 0, 0, 1], "D": [0.1], "width": 640, "height": 480, "frame_id": "left"}
+    (tmp_path / "opencv.yaml").write_text("camera_matrix: {rows: 3, data: [2, 0, 0, 0, 2, 0, 0, 0, 1]}\nwidth: 6\nheight: 4\n")
+    assert readers.camera_info(str(tmp_path / "opencv.yaml"))["K"][0] == 2.0
+    names = [f"{f}_{c}" for f in ("base", "cam") for c in ("tx", "ty", "tz", "qx", "qy", "qz", "qw")]
+    (tmp_path / "poses.csv").write_text(",".join(["frame_idx", *names]) + "\n7," + ",".join(map(str, range(14))) + "\n")
+    path = str(tmp_path / "poses.csv")
+    assert readers.poses(spark, path, "base").first().asDict() == dict(zip(["frame_idx", *(n[5:] for n in names[:7])], [7, *map(float, range(7))], strict=True))
+    assert readers.poses(spark, path, "cam").first().tx == 7.0
+
+
+def test_stored_tracklets_are_read_in_part(spark, tmp_path):
+    schema = "tracklet_id long, gt_object_id long, color_hex string, extent_m double, points array<double>"
+    df = spark.createDataFrame([(1, 9, "#ff0000", 0.5, [1.0]), (2, 9, "#00ff00", 1.5, [2.0]), (3, 8, "#0000ff", 2.5, [])], schema)
+    sinks.write_entity(df, str(tmp_path / "t"))
+    assert sorted(r.tracklet_id for r in readers.tracklets(spark, str(tmp_path / "t"), [1, 3]).collect()) == [1, 3]
+    index = readers.tracklets(spark, str(tmp_path / "t"), None, ["tracklet_id", "color_hex", "extent_m"])
+    assert index.columns == ["tracklet_id", "color_hex", "extent_m"] and index.count() == 3
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "points" not in plan.split("ReadSchema")[1]
+    sinks.write_entity(df.withColumn("sequence", F.lit("a")), str(tmp_path / "by"), "sequence")
+    assert spark.read.parquet(str(tmp_path / "by")).where("sequence = 'a'").count() == 3
+
+
+def test_visibility_difficulty_and_labels(spark, tmp_path):
+    sinks.write_entity(spark.createDataFrame([(1, 5, 40, 30)], "ep_index int, frame int, px_full int, px_crop int"), str(tmp_path / "vis"))
+    assert readers.entity(spark, str(tmp_path / "vis"), "gt_vis").first().px_crop == 30
+    (tmp_path / "diff.csv").write_text("frame,ep_index,trunc,occ,min_dim,sil_px,vis_px,level,at_border,sil_total_px\n5,1,0.5,0.25,30,90,80,1,1,100\n")
+    r = readers.entity(spark, str(tmp_path / "diff.csv"), "difficulty").first()
+    assert (r.frame, r.ep_index, r.level, r.at_border, r.sil_total_px) == (5, 1, 1, True, 100)
+    labels = spark.createDataFrame([(5, 0, 0, 1), (5, 0, 1, 0), (6, 1, 1, 2)], "frame int, v int, u int, value int")
+    sinks.write_entity(labels, str(tmp_path / "labels"))
+    asked = spark.createDataFrame([(5,)], "frame int")
+    assert readers.labels_of(spark, str(tmp_path / "labels"), asked).count() == 2
+    with pytest.raises(Exception, match="no label image of frame 7"):
+        readers.labels_of(spark, str(tmp_path / "labels"), asked.union(spark.createDataFrame([(7,)], "frame int"))).collect()
+    digest = sinks.digest_of(labels)
+    sinks.write_document(spark.createDataFrame([("v3", "x")], "version string, digest string"), str(tmp_path / "meta"))
+    r = readers.label_provenance(spark, str(tmp_path / "labels"), str(tmp_path / "meta")).first()
+    assert (r.version, r.recorded, r.intact) == ("v3", "x", False) and digest[0] == 3
+    sinks.write_document(spark.createDataFrame([("v3", r.digest)], "version string, digest string"), str(tmp_path / "meta"))
+    assert readers.label_provenance(spark, str(tmp_path / "labels"), str(tmp_path / "meta")).first().intact
+
+
+def test_scores_of_an_old_layout_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5)], "ep_index long, iou double")
+    assert readers.require(df, ["ep_index", "iou"], "score") is df
+    with pytest.raises(ValueError, match="gt_iou.*score the run again"):
+        readers.require(df, ["ep_index", "gt_iou"], "score")
+    up = sinks.with_defaults(df, {"iou": F.lit(0.0), "level": F.lit("easy")}).first()
+    assert (up.iou, up.level) == (0.5, "easy")
+    (tmp_path / "s.json").write_text('{"sequence": "a", "n": 3}\n{"sequence": "b"}\n')
+    assert readers.summaries(spark, str(tmp_path / "s.json"), "sequence string, n long", ["sequence"]).count() == 2
+    with pytest.raises(Exception, match="without required fields"):
+        readers.summaries(spark, str(tmp_path / "s.json"), "sequence string, n long", ["sequence", "n"]).collect()
+
+
+def test_capture_is_checked_whole(spark):
+    kf = [(0, 10, 100, 2, 0), (1, 12, 120, 0, 2), (2, 14, 140, 1, 2)]
+    obs = [(0, 0, 7, 3, 0), (1, 0, 8, 0, 3), (2, 2, 7, 2, 3)]
+    kf_schema = "kf long, frame_idx long, stamp_ns long, n_obs long, obs_start long"
+    obs_schema = "obs long, kf_index long, tracklet_id long, points_num long, points_start long"
+    frames = spark.createDataFrame([(10, 100), (12, 120), (14, 140)], "frame_idx long, stamp_ns long")
+    points = spark.createDataFrame([(i, float(i)) for i in range(5)], "at long, x double")
+
+    def faults(kf, obs, points=points):
+        found = sinks.check_capture(spark.createDataFrame(kf, kf_schema), spark.createDataFrame(obs, obs_schema), frames, points)
+        return {(r.kf, r.fault) for r in found.collect()}
+
+    assert faults(kf, obs) == set()
+    assert faults([kf[0], kf[1], (2, 14, 140, 2, 2)], obs) == {(2, "n_obs")}
+    assert faults([kf[0], (1, 12, 121, 0, 1), kf[2]], obs) == {(1, "stamp"), (1, "obs_start")}
+    assert faults(kf, [obs[0], (1, 0, 8, 0, 4), obs[2]]) == {(0, "points")}
+    assert faults(kf, obs, points.where("at < 4")) == {(2, "points")}
+    got = readers.observed_points(spark.createDataFrame(obs, obs_schema), points).collect()
+    assert sorted((r.obs, r.tracklet_id, r.at, r.x) for r in got) == [(0, 7, 0, 0.0), (0, 7, 1, 1.0), (0, 7, 2, 2.0), (2, 7, 3, 3.0), (2, 7, 4, 4.0)]
