@@ -5,7 +5,7 @@ from importlib import import_module
 from sightline.plans.registry import ORACLE, QUERIES
 
 MODULES = (
-    "flow", "clouds", "segmentation", "detection", "tracking", "truthset", "scalars", "reports", "streams", "images", "rasters", "checks",
+    "flow", "clouds", "segmentation", "detection", "tracking", "truthset", "scalars", "reports", "streams", "images", "rasters", "composed", "checks",
 )
 
 for _m in MODULES:
