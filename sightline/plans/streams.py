@@ -84,6 +84,38 @@ def latch_of(events):
     return runtime.drain_to_end(arrivals.first_value_latch(s), ending, "event_time", "latch")
 
 
+SLOP_US = 6 * 3600 * 1_000_000
+
+
+# Message by message: the queues of a user are lists, the nearest waiting message is the partner.
+@query("stream_sync", f"""WITH RECURSIVE ms AS (SELECT user_id AS s, epoch_us(ts) AS t, event_id AS id, event_type = 'click' AS b,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click', event_id) AS k FROM events WHERE event_type IN ('error', 'click')),
+rc AS (SELECT DISTINCT s, 0::BIGINT AS k, []::STRUCT(t BIGINT, id BIGINT)[] AS qa, []::STRUCT(t BIGINT, id BIGINT)[] AS qb,
+    NULL::BIGINT AS a_id, NULL::BIGINT AS b_id, NULL::BIGINT AS apart_us FROM ms
+  UNION ALL
+  SELECT s, k, CASE WHEN b THEN left_ ELSE kept END, CASE WHEN b THEN kept ELSE left_ END,
+    CASE WHEN best IS NOT NULL THEN CASE WHEN b THEN best.id ELSE id END END, CASE WHEN best IS NOT NULL THEN CASE WHEN b THEN id ELSE best.id END END, best.d
+  FROM (SELECT *, CASE WHEN best IS NULL THEN list_append(own, {{'t': t, 'id': id}}) ELSE own END AS kept,
+      CASE WHEN best IS NULL THEN others ELSE list_filter(others, lambda x: x.id <> best.id) END AS left_
+    FROM (SELECT *, list_min(list_transform(list_filter(others, lambda x: abs(x.t - t) <= {SLOP_US}), lambda x: {{'d': abs(x.t - t), 't': x.t, 'id': x.id}})) AS best
+      FROM (SELECT m.s, m.k, m.t, m.id, m.b, CASE WHEN len(mine) > 1 THEN mine[len(mine):len(mine)] ELSE mine END AS own, others
+        FROM (SELECT m.s, m.k, m.t, m.id, m.b, CASE WHEN m.b THEN rc.qb ELSE rc.qa END AS mine, CASE WHEN m.b THEN rc.qa ELSE rc.qb END AS others
+          FROM rc JOIN ms m ON m.s = rc.s AND m.k = rc.k + 1) m))))
+SELECT s AS sequence, a_id, b_id, apart_us FROM rc WHERE a_id IS NOT NULL""")
+def stream_sync(spark, sf):
+    """Errors and clicks of a user within six hours paired one to one by a synchroniser with queues of two."""
+    return synchronised_of(event_stream(spark, sf))
+
+
+def synchronised_of(events):
+    held, ending = runtime.watermarked(events.where("event_type IN ('error', 'click')"), "event_time", DELAY)
+    s = held.select(
+        F.col("user_id").alias("sequence"), F.col("ts_us").alias("stamp_us"), "event_id",
+        (F.col("event_type") == "click").alias("is_second"), "event_time",
+    )
+    return runtime.drain_to_end(arrivals.synchronised(s, SLOP_US), ending, "event_time", "synchronised")
+
+
 def detections(events):
     """Detections of a stream of events: sequence = user, frame = six hours, lane = event."""
     frame = F.floor(F.col("ts_us") / (6 * 3600 * 1_000_000)).cast("long")

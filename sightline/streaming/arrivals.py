@@ -201,3 +201,54 @@ def first_value_latch(rows: DataFrame) -> DataFrame:
     sequence without a value keeps its rows in state.
     """
     return rows.groupBy("sequence").transformWithState(_Latch(), _LATCH_OUT, "Append", "EventTime")
+
+
+QUEUE = 2
+
+
+class _Synchroniser(_Waiting):
+    """Pairs of two kinds of messages, one to one, from a short queue of each; what falls out of a queue is never paired."""
+
+    held_schema = "stamp_us long, event_id long, is_second boolean"
+
+    def __init__(self, slop_us: int, size: int):
+        self.slop_us, self.size = slop_us, size
+
+    def init(self, handle):
+        super().init(handle)
+        self.queues = handle.getListState("queues", "stamp_us long, event_id long, is_second boolean")
+
+    def due(self, row):
+        return _millis(row[0])
+
+    def hold(self, row):
+        return row.stamp_us, row.event_id, row.is_second
+
+    def release(self, key, rows):
+        queued = [tuple(r) for r in self.queues.get()]
+        for stamp, event, second in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+            own = [m for m in queued if m[2] == second][1 - self.size :] + [(stamp, event, second)]
+            others = [m for m in queued if m[2] != second]
+            near = min(((abs(m[0] - stamp), *m) for m in others if abs(m[0] - stamp) <= self.slop_us), default=None)
+            if near:
+                partner = near[1:]
+                first, last = (partner, own[-1]) if second else (own[-1], partner)
+                yield Row(sequence=key[0], a_id=first[1], b_id=last[1], apart_us=near[0])
+                own, others = own[:-1], [m for m in others if m != partner]
+            queued = own + others
+        self.queues.put(queued)
+
+
+_SYNC_OUT = "sequence long, a_id long, b_id long, apart_us long"
+
+
+def synchronised(rows: DataFrame, slop_us: int, size: int = QUEUE) -> DataFrame:
+    """Messages of two kinds paired in order of their stamps, each at most once.
+
+    rows: (sequence, stamp_us, event_id, is_second) with a watermark. A message
+    enters the queue of its kind, which lets its oldest go beyond ``size``, and
+    is paired with the nearest waiting message of the other kind within the
+    slop, the earlier of two as near; both leave their queues. Of messages of
+    one stamp the first kind comes first, then the smaller id.
+    """
+    return rows.groupBy("sequence").transformWithState(_Synchroniser(slop_us, size), _SYNC_OUT, "Append", "EventTime")

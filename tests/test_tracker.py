@@ -133,13 +133,13 @@ def events_in_files(spark, folder, parts):
     )
 
 
-@pytest.mark.parametrize("name", ["pose", "latch", "tracker"])
+@pytest.mark.parametrize("name", ["pose", "latch", "tracker", "sync"])
 def test_stream_queries_give_the_same_rows_over_many_batches(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(streams, "DELAY", "60 days")
-    of = {"pose": streams.pose_lookup_of, "latch": streams.latch_of, "tracker": lambda e: streams.tracked_of(e, "t")}[name]
+    of = {"pose": streams.pose_lookup_of, "latch": streams.latch_of, "tracker": lambda e: streams.tracked_of(e, "t"), "sync": streams.synchronised_of}[name]
     one = of(streams.event_stream(spark, "/root/testdata/sf0.001"))
     many = of(events_in_files(spark, tmp_path / "in", 4))
-    assert one.count() > 100
+    assert one.count() > 20
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 
@@ -210,3 +210,16 @@ def test_fan_out_writes_every_sink(spark, tmp_path):
     sinks = [runtime.folder_sink(str(tmp_path / n)) for n in ("a", "b")]
     runtime.fan_out(s, str(tmp_path / "cp"), sinks).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "a")).count() == spark.read.parquet(str(tmp_path / "b")).count() == df.count()
+
+
+def test_synchroniser_pairs_one_to_one_from_short_queues(spark, tmp_path):
+    """A burst of one kind pushes its oldest out; ties go to the earlier message; nothing is paired twice."""
+    second = 1_000_000
+    sent = [(10, 1, False), (11, 2, False), (12, 3, False), (13, 4, True), (14, 5, True), (15, 6, True), (30, 7, True), (32, 8, True), (31, 9, False)]
+    schema = "sequence long, stamp_us long, event_id long, is_second boolean"
+    df = spark.createDataFrame([(1, s * second, e, b) for s, e, b in sent], schema).withColumn("event_time", F.timestamp_micros("stamp_us"))
+    for i in (2, 0, 1):
+        df.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, ending = runtime.watermarked(runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1), "event_time", "1 hour")
+    got = runtime.drain_to_end(arrivals.synchronised(stream, 5 * second), ending, "event_time", "sync")
+    assert sorted((r.a_id, r.b_id, r.apart_us) for r in got.collect()) == [(2, 5, 3 * second), (3, 4, second), (9, 7, second)]
