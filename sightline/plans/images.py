@@ -10,6 +10,7 @@ from sightline.operators import voxels as vx
 from sightline.plans.registry import query
 from sightline.plans.segmentation import PAIRS_SQL, scene
 from sightline.plans.streams import event_stream
+from sightline.plans.truthset import scale_sql
 from sightline.session import durable
 from sightline.sources import tables as t
 from sightline.streaming import discovery, runtime
@@ -42,7 +43,21 @@ def pixel_components(spark, sf):
     return c.groupBy("frame", "colour", "component").agg(F.count(F.lit(1)).alias("n_px"))
 
 
-@query("blobs")
+# A pixel of a part goes to the sampled pixel of the part that is nearest in the image, of equals to the smallest blob.
+@query("blobs", f"""WITH RECURSIVE {t.RGBD_SQL},
+px AS (SELECT frame, colour, v, u, depth, frame * {t.IMAGE_W * t.IMAGE_H} + v * {t.IMAGE_W} + u AS id FROM rgbd),
+ed AS (SELECT a.id AS a, b.id AS b FROM px a JOIN px b ON a.frame = b.frame AND a.colour = b.colour AND a.id <> b.id AND b.v BETWEEN a.v - 1 AND a.v + 1 AND b.u BETWEEN a.u - 1 AND a.u + 1),
+re AS (SELECT id AS root, id FROM px WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.a = px.id AND ed.b < px.id)
+  UNION SELECT re.root, ed.b FROM re JOIN ed ON ed.a = re.id),
+co AS (SELECT px.*, component FROM px JOIN (SELECT id, min(root) AS component FROM re GROUP BY id) USING (id)),
+sa AS (SELECT component, id AS point_id, v, u, depth, (u - 24.0::DOUBLE) / 40.0::DOUBLE * depth + frame * 0.05::DOUBLE AS x, (v - 24.0::DOUBLE) / 40.0::DOUBLE * depth AS y, depth AS z,
+  greatest({im.SPLIT_CELL_M}::DOUBLE, (3.0::DOUBLE * 2 / 40.0::DOUBLE) * depth) AS radius FROM co WHERE v % 2 = 0 AND u % 2 = 0 AND depth > 0),
+{scale_sql("sa", "component")},
+sb AS (SELECT sa.*, part AS blob FROM sa JOIN sc USING (point_id)),
+nb AS (SELECT co.id, arg_min(sb.blob, ((co.v - sb.v) * (co.v - sb.v) + (co.u - sb.u) * (co.u - sb.u), sb.blob)) AS blob FROM co JOIN sb USING (component) GROUP BY co.id),
+a AS (SELECT frame, colour, coalesce(nb.blob, component) AS blob, count(*) AS n_px FROM co LEFT JOIN nb USING (id) GROUP BY ALL),
+b AS (SELECT blob, count(*) AS n_points, avg(depth) AS mean_depth FROM sb GROUP BY blob)
+SELECT frame, colour, blob, n_px, coalesce(n_points, 0) AS n_points, coalesce(mean_depth, 0) AS mean_depth FROM a LEFT JOIN b USING (blob)""")
 def blobs(spark, sf):
     px = durable(t.rgbd(spark, sf), "rgbd")
     out, pts = im.extract_blobs(px, t.camera_poses(px), CAM, 2, im.SPLIT_CELL_M, 3.0)

@@ -166,7 +166,27 @@ def merge_instances(spark, sf):
     return tr.merge_instances(instance_voxels(spark, sf), ["colour"], 0.8)
 
 
-@query("multi_scale_components")
+def scale_sql(points: str, key: str) -> str:
+    """CTEs that join the points (key, point_id, x, y, z, radius) of a key whose cells touch in a grid both take part in.
+
+    Names spread from points without an earlier neighbour; the earliest that arrives names the part.
+    """
+    return f"""sp AS (SELECT {key}, min(radius) AS r0, max(radius) AS r1 FROM {points} GROUP BY ALL),
+el AS (SELECT p.*, k, r0 * pow(2.0::DOUBLE, k) AS cell FROM {points} p JOIN sp USING ({key}),
+  LATERAL (SELECT unnest(generate_series(0, greatest(0, ceil(log2(r1 / r0) - 1e-12))::BIGINT)) AS k) WHERE radius >= r0 * pow(2.0::DOUBLE, k) / 2),
+lo AS (SELECT {key}, k, min(x) AS x0, min(y) AS y0, min(z) AS z0 FROM el GROUP BY ALL),
+ix AS (SELECT {key}, k, point_id, floor((x - x0) / cell)::BIGINT AS i, floor((y - y0) / cell)::BIGINT AS j, floor((z - z0) / cell)::BIGINT AS l FROM el JOIN lo USING ({key}, k)),
+se AS (SELECT DISTINCT a.point_id AS a, b.point_id AS b FROM ix a JOIN ix b ON a.{key} = b.{key} AND a.k = b.k AND a.point_id <> b.point_id
+  AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.l - b.l) <= 1),
+sr AS (SELECT point_id AS root, point_id AS id FROM {points} p WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.a = p.point_id AND se.b < p.point_id)
+  UNION SELECT sr.root, se.b FROM sr JOIN se ON se.a = sr.id),
+sc AS (SELECT id AS point_id, min(root) AS part FROM sr GROUP BY id)"""
+
+
+@query("multi_scale_components", f"""WITH RECURSIVE {t.POINTS_SQL}, pr AS (SELECT *, 0.06::DOUBLE + abs(x) * 0.4::DOUBLE AS radius FROM pts),
+{scale_sql("pr", "cloud")},
+su AS (SELECT cloud, part AS component, count(*) AS n_points, min([x, y, z]) AS least FROM pr JOIN sc USING (point_id) GROUP BY ALL)
+SELECT cloud, component, n_points, row_number() OVER (PARTITION BY cloud ORDER BY n_points DESC, least) - 1 AS rank FROM su""")
 def multi_scale_components(spark, sf):
     """3D parts per cloud with a link radius per point."""
     p = t.points(spark, sf).withColumn("radius", F.lit(0.06) + F.abs("x") * 0.4)
