@@ -11,7 +11,7 @@ from sightline.operators import ordered
 from sightline.operators import verify as vf
 from sightline.operators import voxels as vx
 from sightline.plans.registry import query
-from sightline.plans.images import episode_clouds, sample_points
+from sightline.plans.images import _HITS, episode_clouds, sample_points
 from sightline.plans.truthset import instance_voxels
 from sightline.session import durable
 from sightline.sources import tables as t
@@ -95,7 +95,20 @@ def cloud_run_score(spark, sf):
     return s.withColumns({c: F.round(c, 9) for c in ("voxel_iou_mean", "outlier_ratio_mean")})
 
 
-@query("pixel_labels")
+@query("pixel_labels", _HITS + """,
+be AS (SELECT component, pixel, arg_min(episode, (d, episode)) AS label FROM hits GROUP BY ALL),
+vo AS (SELECT component, sum(c) AS n_votes, arg_max(label, (c, -label)) AS winner, max(c) AS n_winner
+  FROM (SELECT component, label, count(*) AS c FROM be GROUP BY ALL) GROUP BY component),
+pa AS (SELECT component, winner, CASE WHEN n_votes / n_samples < 0.5 THEN 'test' WHEN n_winner / n_votes >= 0.9 THEN 'fill' ELSE 'seed' END AS mode
+  FROM vo JOIN (SELECT component, count(*) AS n_samples FROM sm GROUP BY component) USING (component)),
+px AS (SELECT sm.*, pixel % 7 AS v, abs(x) * 20 AS range_m FROM sm),
+ow AS (SELECT pixel, arg_min(episode, (dd, episode)) AS own FROM (SELECT sm.pixel, cl.episode,
+    sqrt((sm.x-cl.x)*(sm.x-cl.x)+(sm.y-cl.y)*(sm.y-cl.y)+(sm.z-cl.z)*(sm.z-cl.z)) AS dd FROM sm JOIN cl ON sm.colour = cl.colour) WHERE dd < 0.06 GROUP BY pixel),
+se AS (SELECT h.component, h.u, px.v, arg_min(h.episode, (h.d, h.episode)) AS episode FROM hits h JOIN px USING (pixel) GROUP BY ALL),
+sd AS (SELECT px.pixel, arg_min(se.episode, ((px.u - se.u) * (px.u - se.u) + (px.v - se.v) * (px.v - se.v), se.episode)) AS seed FROM px JOIN se USING (component) GROUP BY px.pixel),
+la AS (SELECT px.component, mode, CASE WHEN mode = 'fill' THEN winner + 1 WHEN mode = 'seed' OR range_m > 5.0 THEN seed + 1 ELSE coalesce(own + 1, 0) END AS label
+  FROM px JOIN pa USING (component) LEFT JOIN sd USING (pixel) LEFT JOIN ow USING (pixel))
+SELECT component, mode, label, count(*) AS n_px FROM la GROUP BY ALL""")
 def pixel_labels(spark, sf):
     """Labels of all sampled pixels after voting, filling and per-pixel tests."""
     s = durable(sample_points(spark, sf), "samples")
