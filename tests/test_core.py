@@ -121,7 +121,7 @@ def test_episode_gap_boundary(spark):
 def test_interval_join_margin(spark):
     pts = spark.createDataFrame([(0, t) for t in range(30)], "k long, t long")
     iv = spark.createDataFrame([(0, 10, 12, "a"), (0, 25, 25, "b")], "k long, lo long, hi long, n string")
-    j = temporal.interval_join(pts, iv, ["k"], "t", "lo", "hi", 4, 1).collect()
+    j = temporal.interval_join(pts, iv, ["k"], "t", "lo", "hi", 1).collect()
     assert sorted((r.n, r.t) for r in j) == [("a", t) for t in range(9, 14)] + [("b", t) for t in (24, 25, 26)]
 
 
