@@ -13,7 +13,7 @@ from sightline.plans.streams import event_stream
 from sightline.plans.truthset import scale_sql
 from sightline.session import durable
 from sightline.sources import tables as t
-from sightline.streaming import discovery, runtime
+from sightline.streaming import discovery
 
 CAM = im.Camera(40.0, 40.0, 24.0, 24.0, t.IMAGE_W, t.IMAGE_H)
 
@@ -263,7 +263,7 @@ def stream_discovery(spark, sf):
     b = e.select(
         (F.col("user_id") % 10).alias("sequence"), F.length("event_type").cast("long").alias("colour"),
         F.floor(F.col("ts_us") / (6 * 3600 * 1_000_000)).alias("frame"), F.col("event_id").alias("blob"),
-        F.floor("value").alias("n_px"), F.lit(True).alias("has_points"), voxels.alias("voxels"),
+        F.floor("value").alias("n_px"), voxels.alias("voxels"),
     )
-    out = runtime.drain(discovery.discover(b), "discovery")
+    out = discovery.discover(b)
     return out.select("sequence", "colour", "frame", "blob", "instance", F.size("merged").alias("n_merged"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sightline.plans import streams
 from sightline.sources import tables as t
-from sightline.streaming import arrivals, discovery, runtime, tracker
+from sightline.streaming import arrivals, runtime, tracker
 
 SCHEMA = tracker.INPUT
 
@@ -156,28 +156,8 @@ def test_latch_holds_rows_until_the_first_value(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 10 * second, 1, 5.0), (1, 60 * second, 3, 5.0)]
 
 
-def test_discovery_rules():
-    c = discovery.Cells()
-    put = lambda *parts: c.place(np.array(sorted(v for p in parts for v in p), np.int64), True)
-    assert put(range(0, 40)) == (0, [])
-    assert put(range(30, 60))[0] == 0          # 10 of 30 shared, more than 15 %
-    assert put(range(1000, 1030)) == (1, [])   # new instance
-    assert put(range(5000, 5005))[0] == -1     # sliver without anchor
-    assert put({59, 700, 701, 702, 703, 704, 705, 706})[0] == 0  # sliver joins its closest
-    assert put()[0] == -1                      # only far points
-    assert put(range(20, 60), range(1000, 1030)) == (0, [1])
-
-
-def test_contacts_and_shared_cells_match_plain_counts():
+def test_shared_cells_match_plain_counts():
     rng = np.random.default_rng(1)
-    c, sets = discovery.Cells(), {}
-    for i in range(4):
-        v = np.unique(rng.integers(0, 300, 40))
-        c.add(v, i)
-        sets[i] = set(v.tolist())
-    blob = np.unique(rng.integers(0, 300, 30))
-    want = {i: n for i, s in sets.items() if (n := sum(any(int(v) + d in s for d in discovery.STEPS) for v in blob))}
-    assert c.contacts(blob) == want
     dets, tracks = ([{"cells": set(rng.integers(0, 60, 20).tolist())} for _ in range(n)] for n in (4, 3))
     got = tracker.shared_cells(dets, tracks)
     assert got.tolist() == [[len(d["cells"] & k["cells"]) for k in tracks] for d in dets]
