@@ -38,6 +38,7 @@ UNLABELLED = -1
 STEPS = (0, 1, -1, 1 << 21, -(1 << 21), 1 << 42, -(1 << 42))
 
 PATCH_CELLS = 50_000
+REPEATS = 40
 PLACED = "at long, owner long, tied array<long>"
 KEYS = ("sequence", "colour")
 ORDER = ("frame", "n_px", "blob")
@@ -71,9 +72,11 @@ def _numbered(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _patches(cells: DataFrame, rows: DataFrame) -> DataFrame:
     """(at, patch): blobs that touch, directly or through others; a lone blob is its own patch."""
-    near = _grown(cells, "_g", "at").distinct()
-    first = near.groupBy("_g", "cell").agg(F.min("at").alias("_f"))
-    edges = near.join(first, ["_g", "cell"]).where("at <> _f").select("at", "_f").distinct()
+    first = durable(cells.groupBy("_g", "cell").agg(F.min("at").alias("_f")), "instances-first")
+    own = cells.join(first, ["_g", "cell"]).select("at", "_f")
+    ahead = F.array(*[F.col("cell") + F.lit(x).cast("long") for x in STEPS if x > 0])
+    beside = first.select("_g", F.col("_f").alias("at"), F.explode(ahead).alias("cell")).join(first, ["_g", "cell"]).select("at", "_f")
+    edges = own.union(beside).where("at <> _f").distinct()
     comp = connected_components(durable(edges, "instances-edges"), "at", "_f").withColumnsRenamed({"v": "at", "component": "patch"})
     return rows.select("at").join(comp, "at", "left").select("at", F.coalesce("patch", "at").alias("patch"))
 
@@ -153,13 +156,17 @@ def _place(b: DataFrame, known: DataFrame | None, min_new: int, patch_cells: int
     """(at, owner, tied) of every blob; an owner is its founding blob, or a negative number of ``known``."""
     patch = _patches(b.select("_g", "at", F.explode("voxels").alias("cell")), b)
     b = durable(b.join(patch, "at").select("_g", "patch", "at", "size", "voxels"), "instances-patched")
-    weight = b.groupBy("patch").agg(F.sum("size").alias("_w"))
+    space = b.select("patch", F.explode("voxels").alias("cell")).distinct().groupBy("patch").agg(F.count(F.lit(1)).alias("_d"))
+    weight = b.groupBy("patch").agg(F.sum("size").alias("_w")).join(space, "patch")
     near = b.sparkSession.createDataFrame([], "patch long, cell long, owner long, first long")
     if known is not None:
         mine = b.select("_g", "patch", F.explode("voxels").alias("cell")).distinct()
         near = durable(_grown(known, "_g", "owner", "first").distinct().join(mine, ["_g", "cell"]).select("patch", "cell", "owner", "first"), "instances-known")
-        weight = weight.unionByName(near.groupBy("patch").agg(F.count(F.lit(1)).alias("_w"))).groupBy("patch").agg(F.sum("_w").alias("_w"))
-    large = durable(weight.where(F.col("_w") > patch_cells).select("patch"), "instances-large")
+        extra = near.groupBy("patch").agg(F.count(F.lit(1)).alias("_e"))
+        weight = weight.join(extra, "patch", "left").withColumn("_d", F.col("_d") + F.coalesce("_e", F.lit(0)))
+    # What a task holds follows the different cells, its time follows all cells.
+    over = (F.col("_d") > patch_cells) | (F.col("_w") > patch_cells * REPEATS)
+    large = durable(weight.where(over).select("patch"), "instances-large")
     small = b.join(large, "patch", "left_anti").groupBy("patch").cogroup(near.join(large, "patch", "left_anti").groupBy("patch"))
     placed = small.applyInPandas(_one_by_one(min_new), PLACED)
     if not large.isEmpty():
@@ -183,7 +190,8 @@ def place_blobs(
 
     ``known``   cells owned before these blobs, (sequence, colour, cell, instance)
     ``counts``  instances found before, (sequence, colour, n); numbers go on from there
-    ``patch_cells``  patches up to that many cells are solved in one task, larger ones by rounds; same answer
+    ``patch_cells``  patches of up to that many different cells, each in ``REPEATS`` blobs on average, are solved
+                 in one task, larger ones by rounds; same answer
 
     Null or empty voxels give ``UNLABELLED``, as does a blob under ``min_new``
     cells that touches nothing. Null keys are a group of their own. Repeated
