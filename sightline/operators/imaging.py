@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ MATCH_TOL_M = 0.06
 MAX_RANGE_M = 5.0
 SPLIT_CELL_M = 0.10
 
+PATCH = 128  # side of the image patches whose parts are found in one task
+
 
 @dataclass(frozen=True)
 class Camera:
@@ -76,17 +80,67 @@ def pixel_id(cam: Camera) -> Column:
     return F.col("frame") * (cam.width * cam.height) + F.col("v") * cam.width + F.col("u")
 
 
-def pixel_components(pixels: DataFrame, cam: Camera) -> DataFrame:
-    """8-connected parts of one colour per frame; the part is named by its first pixel."""
-    p = pixels.select("frame", "v", "u", "colour", pixel_id(cam).alias("pixel"))
+def _least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices the smallest vertex it is linked to, directly or through others."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for side in (before[a], before[b], a, b):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _parts_of_patch(table: pa.Table) -> pa.Table:
+    """Adds ``part``, the first pixel of the 8-connected part of one colour inside the patch."""
+    ids, at = np.unique(table["pixel"].to_numpy(), return_inverse=True)
+    v, u = (table[c].to_numpy().astype(np.int64) for c in ("v", "u"))
+    known = table["colour"].is_valid().to_numpy()
+    codes = table["colour"].combine_chunks().dictionary_encode().indices.fill_null(0).to_numpy().astype(np.int64)
+    v, u = v - v.min() + 1, u - u.min() + 1
+    wide = u.max() + 2
+    key = (codes * (v.max() + 2) + v) * wide + u
+    order = np.flatnonzero(known)
+    order = order[np.argsort(key[order], kind="stable")]
+    sorted_key = key[order]
+    a, b = [at[:0]], [at[:0]]
+    for dv, du in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        to = sorted_key + dv * wide + du
+        place = np.minimum(np.searchsorted(sorted_key, to), max(len(order) - 1, 0))
+        hit = sorted_key[place] == to
+        a.append(at[order[hit]])
+        b.append(at[order[place[hit]]])
+    root = _least_joined(len(ids), np.concatenate(a), np.concatenate(b))
+    return table.append_column("part", pa.array(ids[root[at]], pa.int64()))
+
+
+def pixel_components(pixels: DataFrame, cam: Camera, patch: int = PATCH) -> DataFrame:
+    """8-connected parts of one colour per frame; the part is named by its first pixel.
+
+    The parts inside a patch of ``patch`` x ``patch`` pixels are found by one
+    task; only pixels on the border of a patch meet those of other patches.
+    """
+    p = pixels.withColumn("pixel", pixel_id(cam).cast("long")).where("pixel IS NOT NULL")
+    of = lambda v, u: F.struct(F.floor(v / patch), F.floor(u / patch))
+    schema = p.withColumn("part", F.lit(0).cast("long")).schema
+    parts = p.groupBy("frame", of(F.col("v"), F.col("u")).alias("_patch")).applyInArrow(_parts_of_patch, schema)
+    parts = durable(parts, "pixel-parts")
+    rim = F.lit(False)
+    for c in ("v", "u"):
+        rim = rim | F.pmod(F.col(c), F.lit(patch)).isin(0, patch - 1)
+    border = parts.where(rim).select("frame", "colour", F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u"), "part")
     steps = F.array(*[F.struct(F.lit(a).alias("dv"), F.lit(b).alias("du")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = p.select("frame", "colour", F.col("pixel").alias("a"), F.explode(steps).alias("_s"), "v", "u").select(
-        "frame", "colour", "a", (F.col("v") + F.col("_s.dv")).alias("v"), (F.col("u") + F.col("_s.du")).alias("u")
+    to_v, to_u = F.col("v") + F.col("_s.dv"), F.col("u") + F.col("_s.du")
+    moved = border.withColumn("_s", F.explode(steps)).where(of(F.col("v"), F.col("u")) != of(to_v, to_u)).select(
+        "frame", "colour", to_v.alias("v"), to_u.alias("u"), F.col("part").alias("a")
     )
-    edges = moved.join(p.withColumnRenamed("pixel", "b"), ["frame", "colour", "v", "u"]).select("a", "b")
-    alone = p.select(F.col("pixel").alias("a"), F.col("pixel").alias("b"))
-    comp = connected_components(edges.union(alone), "a", "b")
-    return pixels.withColumn("v_", pixel_id(cam)).join(comp.withColumnRenamed("v", "v_"), "v_").withColumnRenamed("v_", "pixel")
+    edges = moved.join(border.withColumnRenamed("part", "b").hint("merge"), ["frame", "colour", "v", "u"]).select("a", "b")
+    comp = durable(connected_components(edges, "a", "b"), "patch-links")
+    linked = parts.join(comp.withColumnRenamed("v", "part"), "part", "left")
+    return linked.select(*pixels.columns, "pixel", F.coalesce("component", "part").alias("component"))
 
 
 def extract_blobs(pixels: DataFrame, poses: DataFrame, cam: Camera, stride: int, split_cell: float, gap_factor: float):

@@ -7,6 +7,9 @@ lies farther than the best guaranteed distance are dropped, the rest are
 replaced by their occupied children. A cell has at most 64 children, so each
 join partner is small whatever the density, and no pair of a query with all
 points of a crowded region is ever built.
+
+Cells, and copies of them, come from small files whose size says little about
+their rows, so these joins are not left to a broadcast.
 """
 
 from __future__ import annotations
@@ -138,8 +141,8 @@ def nearest(
     for depth in range(top - 1, -1, -1):
         child = _pyramid_level(boxed, grp, depth)
         parent = cands.select(*qid, *per, *[F.col(c).alias(f"p{c}") for c in CELL])
-        cands = _prune(parent.join(child, [*grp, *[f"p{c}" for c in CELL]]), qid, per, bound2)
-    final = cands.select(*qid, *per, *CELL).join(leaves, [*grp, *CELL])
+        cands = _prune(parent.join(child.hint("merge"), [*grp, *[f"p{c}" for c in CELL]]), qid, per, bound2)
+    final = cands.select(*qid, *per, *CELL).join(leaves.hint("merge"), [*grp, *CELL])
     dist = g.distance([F.col(f"q_{c}") for c in XYZ], [F.col(c) for c in XYZ])
     final = final.withColumn("_d", dist)
     if bound is not None:
@@ -164,7 +167,7 @@ def _join_top(q: DataFrame, level: DataFrame, on: Sequence[str]) -> DataFrame:
         return q.withColumn("_k", F.lit(0)).join(F.broadcast(level.withColumn("_k", F.lit(0))), "_k").drop("_k")
     salt = F.pmod(F.xxhash64(*[f"q_{c}" for c in XYZ]), F.lit(TOP_SALTS))
     copies = level.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TOP_SALTS - 1).cast("long"))))
-    return q.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
+    return q.withColumn("_salt", salt).join(copies.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: float, bound: float) -> DataFrame:
@@ -175,4 +178,4 @@ def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: fl
         spread = spread.withColumn(i, F.explode(F.array(here - 1, here, here + 1)))
         low = F.col(i) * F.lit(size)
         near = near & (F.col(f"q_{c}") > low - bound) & (F.col(f"q_{c}") < low + size + bound)
-    return spread.where(near).join(level, [*on, *CELL])
+    return spread.where(near).join(level.hint("merge"), [*on, *CELL])

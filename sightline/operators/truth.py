@@ -167,12 +167,14 @@ def scale_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     largest; a point takes part in a grid while half the cell is within its
     radius. A point is linked to the lowest point of its cell, and that point
     to the lowest points of the cells around, so edges stay linear in points.
+    Points often lie in a small file, whose size says little about their rows
+    here, so no join is left to a broadcast.
     """
     keys = list(keys)
     span = points.groupBy(*keys).agg(F.min("radius").alias("_r0"), F.max("radius").alias("_r1"))
     top = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_r1") / F.col("_r0")) - 1e-12)).cast("int")
     el = (
-        points.join(span, keys)
+        points.join(span.hint("merge"), keys)
         .withColumn("_k", F.explode(F.sequence(F.lit(0), top)))
         .withColumn("_cell", F.col("_r0") * F.pow(F.lit(2.0), F.col("_k")))
         .where(F.col("radius") >= F.col("_cell") / 2)
@@ -180,15 +182,15 @@ def scale_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     grid = [*keys, "_k"]
     lows = el.groupBy(*grid).agg(*[F.min(c).alias(f"_{c}0") for c in vx.XYZ])
     idx = {f"i{c}": F.floor((F.col(c) - F.col(f"_{c}0")) / F.col("_cell")).cast("long") for c in vx.XYZ}
-    el = el.join(lows, grid).withColumns(idx).select(*grid, "point_id", *idx)
+    el = el.join(lows.hint("merge"), grid).withColumns(idx).select(*grid, "point_id", *idx)
     reps = el.groupBy(*grid, *idx).agg(F.min("point_id").alias("rep"))
-    inside = el.join(reps, [*grid, *idx]).select(F.col("point_id").alias("a"), F.col("rep").alias("b"))
+    inside = el.join(reps.hint("merge"), [*grid, *idx]).select(F.col("point_id").alias("a"), F.col("rep").alias("b"))
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(s, "ijk")]) for s in steps])
     moved = reps.select(*grid, *idx, F.col("rep").alias("a"), F.explode(offsets).alias("_o")).select(
         *grid, "a", *[(F.col(f"i{c}") + F.col(f"_o.{n}")).alias(f"i{c}") for c, n in zip(vx.XYZ, "ijk")]
     )
-    across = moved.join(reps, [*grid, *idx]).select("a", F.col("rep").alias("b"))
+    across = moved.join(reps.hint("merge"), [*grid, *idx]).select("a", F.col("rep").alias("b"))
     return inside.union(across).distinct()
 
 
