@@ -1,15 +1,22 @@
 """Suppression of overlapping boxes and of copied masks, without limits on how many there are.
 
-Overlapping boxes meet in the cells of grids that follow their size, so a
-frame with many boxes does not compare all of them. What greedy selection
-keeps is the fixpoint of two rules on the overlap graph: a box no undecided
-better box overlaps is kept, and what a kept box overlaps is dropped.
+A frame of up to ``FRAME_BOXES`` boxes is selected from by one task. Overlapping
+boxes of a larger one meet in the cells of grids that follow their size, so it
+does not compare all of them, and what greedy selection keeps is the fixpoint of
+two rules on the overlap graph: a box no undecided better box overlaps is kept,
+and what a kept box overlaps is dropped.
+
+Boxes, cells and masks are exploded from small files, whose size says little
+about their rows, so their joins are never left to a broadcast.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +24,7 @@ from sightline.operators import truth as tr
 from sightline.session import durable
 
 BOX = ("x1", "y1", "x2", "y2")
+FRAME_BOXES = 4096
 
 
 def _area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -47,7 +55,7 @@ def overlapping_boxes(boxes: DataFrame, iou_max: float) -> DataFrame:
     at = at.withColumn("i", F.explode(reach("x1", "x2"))).withColumn("j", F.explode(reach("y1", "y2")))
     key = ["frame", "grid", "i", "j"]
     b = at.select(*key, F.col("rank").alias("worse"), F.col("box").alias("b"), F.col("level").alias("level_b"))
-    pair = at.select(*key, F.col("rank").alias("better"), F.col("box").alias("a"), "level").join(b, key)
+    pair = at.select(*key, F.col("rank").alias("better"), F.col("box").alias("a"), "level").join(b.hint("merge"), key)
     # Each pair counts in one cell only: at the larger level, where its overlap begins.
     once = (
         (F.col("grid") == F.greatest("level", "level_b"))
@@ -75,25 +83,59 @@ def dropped_by_greedy(pairs: DataFrame) -> DataFrame:
     return out if out is not None else pairs.select("frame", F.col("better").alias("rank"))
 
 
+def _kept_of_frame(iou_max: float) -> Callable[[pa.Table], pa.Table]:
+    """Greedy selection inside one frame, with the lane of each kept box; the arithmetic is that of ``box_iou``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        x1, y1, x2, y2 = (table[c].to_numpy().astype(float) for c in BOX)
+        free = np.ones(len(x1), bool)
+        # Boxes without a frame overlap nothing, as in the joins.
+        solid = (x2 > x1) & (y2 > y1) & table["frame"].is_valid().to_numpy()
+        area = np.maximum(x2 - x1, 0.0) * np.maximum(y2 - y1, 0.0)
+        for i in np.flatnonzero(solid):
+            if free[i]:
+                k = i + 1 + np.flatnonzero((free & solid)[i + 1 :])
+                wide = np.maximum(np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k]), 0.0)
+                inter = wide * np.maximum(np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k]), 0.0)
+                free[k[inter / (area[i] + area[k] - inter + 1e-9) > iou_max]] = False
+        kept = table.filter(pa.array(free))
+        lane = pa.array(np.arange(len(kept)), pa.int64())
+        return kept.append_column("lane", lane).select(["frame", "det", "lane", "conf", *BOX])
+
+    return run
+
+
 def suppress_boxes(
-    boxes: DataFrame, conf_min: float, iou_max: float, candidates: int | None = None, lanes: int | None = None
-) -> DataFrame:
+    boxes: DataFrame, conf_min: float, iou_max: float, candidates: int | None = None, lanes: int | None = None,
+    frame_boxes: int = FRAME_BOXES,
+) -> DataFrame:
     """Best boxes per frame without overlaps: (frame, det, lane, conf, x1, y1, x2, y2).
 
     ``candidates`` and ``lanes`` limit what competes and what is returned; none
-    by default. ``overflow`` counts what such limits leave out.
+    by default. ``overflow`` counts what such limits leave out. Frames of up to
+    ``frame_boxes`` competing boxes are solved in one task, larger ones by
+    rounds over all of them; same answer.
     """
     live = boxes.where(F.col("conf") > conf_min)
     best = Window.partitionBy("frame").orderBy(F.desc("conf"), "det")
     if candidates is not None:
         live = tr.top_k(live, ["frame"], "conf", "det", candidates).drop("rank")
-    ranked = durable(live.withColumn("rank", F.row_number().over(best)), "suppress-ranked")
-    lost = dropped_by_greedy(overlapping_boxes(ranked, iou_max))
-    kept = ranked.join(lost, ["frame", "rank"], "left_anti")
-    kept = kept.withColumn("lane", F.row_number().over(best).cast("long") - 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy("frame"))
+    ranked = durable(live.withColumns({"rank": F.row_number().over(best), "_n": n}), "suppress-ranked")
+    columns = ["frame", "det", "lane", "conf", *BOX]
+    lane_of = ranked.select("frame", "det", F.lit(0).cast("long").alias("lane"), "conf", *BOX)
+    few = ranked.where(F.col("_n") <= frame_boxes).select("frame", "det", "conf", "rank", *BOX)
+    kept = few.groupBy("frame").applyInArrow(_kept_of_frame(iou_max), lane_of.schema)
+    many = ranked.where(F.col("_n") > frame_boxes)
+    if not many.isEmpty():
+        lost = dropped_by_greedy(overlapping_boxes(many, iou_max))
+        left = many.join(lost, ["frame", "rank"], "left_anti")
+        left = left.withColumn("lane", F.row_number().over(best).cast("long") - 1)
+        kept = kept.unionByName(left.select(*columns))
     if lanes is not None:
         kept = kept.where(F.col("lane") < lanes)
-    return kept.select("frame", "det", "lane", "conf", *BOX)
+    return kept.select(*columns)
 
 
 def overflow(boxes: DataFrame, kept: DataFrame, conf_min: float, candidates: int, lanes: int) -> DataFrame:
@@ -120,10 +162,10 @@ def dedup_masks(lanes: DataFrame, cells: DataFrame, area_min: int, iou_max: floa
     """
     area = cells.groupBy("frame", "lane").agg(F.count(F.lit(1)).alias("area")).where(F.col("area") >= area_min)
     live = durable(lanes.join(area, ["frame", "lane"]), "masks-live")
-    mine = cells.join(live, ["frame", "lane"])
+    mine = cells.join(live.hint("merge"), ["frame", "lane"])
     other = mine.select("frame", "cell", F.col("lane").alias("_by"), F.col("conf").alias("_conf"), F.col("area").alias("_area"))
     alike = (F.col("_conf") > F.col("conf")) & (F.least("area", "_area") > F.greatest("area", "_area") * iou_max)
-    shared = mine.join(other, ["frame", "cell"]).where(alike).groupBy("frame", "lane", "area", "_by", "_area").agg(
+    shared = mine.join(other.hint("merge"), ["frame", "cell"]).where(alike).groupBy("frame", "lane", "area", "_by", "_area").agg(
         F.count(F.lit(1)).alias("_n")
     )
     union = F.greatest(F.col("area") + F.col("_area") - F.col("_n"), F.lit(1))

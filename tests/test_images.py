@@ -1,5 +1,7 @@
 """Image and ground-truth operators against plain computations on small scenes."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from sightline.operators import suppression as sp
 from sightline.operators import truth as tr
 from sightline.operators import verify as vf
 from sightline.operators import voxels as vx
+from sightline.operators.nearest import nearest
 from sightline.plans import ORACLE, QUERIES
 from sightline.session import durable
 
@@ -199,3 +202,53 @@ def test_registered_queries_agree_with_sql(spark, name):
 
 def test_every_query_has_a_name_once():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) >= 180
+
+
+def test_suppression_in_one_task_and_by_rounds(spark):
+    rng = random.Random(3)
+    rows = []
+    for f in (0, 1, None):
+        for i in range(60):
+            x, y = rng.randrange(30), rng.randrange(30)
+            rows.append((f, i, rng.randrange(1, 9) / 10, float(x), float(y), float(x + rng.randrange(0, 12)), float(y + rng.randrange(1, 12))))
+    one = sorted(map(repr, sp.suppress_boxes(box_frame(spark, rows), 0.2, 0.4).collect()))
+    assert one == sorted(map(repr, sp.suppress_boxes(box_frame(spark, rows), 0.2, 0.4, frame_boxes=10).collect()))
+    assert len(one) < len(rows)
+
+
+def test_cells_of_masks_are_not_broadcast(spark):
+    """A file of few bytes may hold many masks of many cells each."""
+    few = durable(spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.8)], "frame long, lane long, conf double"), "lanes")
+    cells = few.select("frame", "lane", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("cell"))
+    got = sp.dedup_masks(few, cells, 3, 0.5)
+    assert [r.lane for r in got.collect()] == [0]
+    for cut in got._jdf.queryExecution().sparkPlan().toString().split("BroadcastHashJoin")[1:]:
+        assert "cell" not in cut.split("\n")[0]
+
+
+def test_pixel_components_over_patches(spark):
+    """Parts that wind through patches are the same as in one piece; a null colour links nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(f, v, u, int(rng.integers(2)) if rng.random() > 0.05 else None, 1.0) for f in range(2) for v in range(16) for u in range(16)]
+    px = spark.createDataFrame(rows, "frame long, v int, u int, colour long, depth double")
+    colour = {r[:3]: r[3] for r in rows}
+    want = {}
+    for at in sorted(colour):
+        if at not in want:
+            want[at], todo = at, [at]
+            while todo:
+                f, v, u = todo.pop()
+                for n in [(f, v + i, u + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                    if n in colour and n not in want and colour[n] is not None and colour[n] == colour[at]:
+                        want[n] = at
+                        todo.append(n)
+    for patch in (4, 5, 128):
+        got = {(r.frame, r.v, r.u): r.component for r in im.pixel_components(px, CAM, patch).collect()}
+        assert got == {at: (r[0] * 16 + r[1]) * 16 + r[2] for at, r in want.items()}
+
+
+def test_copied_cells_are_not_broadcast(spark):
+    px = durable(image(spark, np.zeros((1, 16, 16), int)), "pixels")
+    seeds = px.select("frame", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0).alias("z"))
+    near = nearest(seeds, seeds, ["frame"])
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().sparkPlan().toString()
