@@ -32,18 +32,20 @@ KEYFRAME_GAP = 5
 def tiled(pixels: DataFrame, channels: Sequence[str], tile: int = TILE) -> DataFrame:
     """Tiles of a pixel table (frame, v, u, channels); a pixel given twice counts once, by its smallest channels."""
     at = (F.col("v") % tile) * tile + F.col("u") % tile
-    held = F.collect_list(F.struct(at.alias("at"), *channels)).alias("_p")
+    held = F.collect_list(F.struct(at.cast("int").alias("at"), *channels)).alias("_p")
     rows = pixels.groupBy("frame", F.floor(F.col("v") / tile).alias("ty"), F.floor(F.col("u") / tile).alias("tx")).agg(held)
+    # Every step is a column of its own: an expression named inside a lambda is evaluated once per pixel.
+    rows = rows.withColumn("_p", F.sort_array("_p"))
+    first = F.filter("_p", lambda p, i: (i == 0) | (p["at"] != F.col("_p")[F.greatest(i - 1, F.lit(0))]["at"]))
+    rows = rows.withColumn("_first", first)
     # Dense arrays: entry k is the pixel k of the tile.
+    types = {c: pixels.schema[c].dataType for c in channels}
     places = F.sequence(F.lit(0), F.lit(tile * tile - 1))
-
-    def channel(name: str) -> Column:
-        known = F.map_from_arrays(F.transform("_first", lambda p: p["at"]), F.transform("_first", lambda p: p[name]))
-        return F.transform(places, lambda k: F.try_element_at(known, k.cast("int")))
-
-    ordered = F.array_sort("_p")
-    first = F.filter(ordered, lambda p, i: (i == 0) | (p["at"] != F.element_at(ordered, F.greatest(i, F.lit(1)).cast("int"))["at"]))
-    return rows.withColumn("_first", first).select("frame", "ty", "tx", *[channel(c).alias(c) for c in channels])
+    absent = F.transform(
+        F.array_except(places, F.col("_first.at")), lambda k: F.struct(k.alias("at"), *[F.lit(None).cast(d).alias(c) for c, d in types.items()])
+    )
+    rows = rows.withColumn("_all", F.sort_array(F.concat("_first", absent)))
+    return rows.select("frame", "ty", "tx", *[F.col(f"_all.{c}").alias(c) for c in channels])
 
 
 def looked_up(points: DataFrame, tiles: DataFrame, channels: dict[str, str], frame: str = "frame", tile: int = TILE) -> DataFrame:
