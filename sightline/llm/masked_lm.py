@@ -8,8 +8,8 @@ sides, corpus counts give the id within its class. The score of a document is
 the sum of the conditional log-probabilities of its words.
 
 Counts cover all documents. Training does, too: in every round each partition
-trains a copy of the network on masked positions of its share of the
-documents, and the copies are averaged by their numbers of examples. What is
+trains a copy of the network on every position of its share of the documents,
+masked in its turn, and the copies are averaged by their numbers of examples. What is
 gathered from the corpus grows with its partitions; what the driver gets has
 the size of the model. Nulls and empty texts have no words and score 0.
 """
@@ -33,8 +33,6 @@ SHARED = 32
 WIDTH = 24
 OFFSETS = (-2, -1, 1, 2)
 ROUNDS = 2
-#: One of so many positions is masked in training.
-MASK_EVERY = 8
 BATCH = 512
 RATE = 0.08
 SEED = 6
@@ -112,6 +110,13 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + 2 + o] for o in OFFSETS], 1)
 
 
+def every_position(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and classes of all positions of a text, a block at a time."""
+    for i in range(0, len(ids), BLOCK):
+        at = np.arange(i, min(i + BLOCK, len(ids)))
+        yield contexts(ids, at), ids[at]
+
+
 def hidden(params: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     total = params["inner"] + sum(params["context"][k, around[:, k]] for k in range(len(OFFSETS)))
     return np.tanh(total)
@@ -145,7 +150,9 @@ class Trainer:
         back = (logits @ p["outer"].T) * (1 - h * h)
         context = np.zeros_like(p["context"])
         for k in range(len(OFFSETS)):
-            np.add.at(context[k], around[:, k], back)
+            hot = np.zeros((CLASSES + 1, n), np.float32)
+            hot[around[:, k], np.arange(n)] = 1
+            context[k] = hot @ back
         grads = {"context": context, "inner": back.sum(0), "outer": h.T @ logits, "bias": logits.sum(0)}
         for name, g in grads.items():
             self.square[name] += g * g
@@ -181,13 +188,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             for (texts,) in batches:
                 for text in texts:
                     ids = classes[word_ids(table, text or "")]
-                    at = np.arange(rng.integers(MASK_EVERY), len(ids), MASK_EVERY)
-                    held_around.append(contexts(ids, at))
-                    held_target.append(ids[at])
-                    held += len(at)
-                    if held >= 64 * BATCH:
-                        _learn(trainer, held_around, held_target, rng)
-                        held_around, held_target, held = [], [], 0
+                    for around, target in every_position(ids):
+                        held_around.append(around)
+                        held_target.append(target)
+                        held += len(target)
+                        if held >= 64 * BATCH:
+                            _learn(trainer, held_around, held_target, rng)
+                            held_around, held_target, held = [], [], 0
             if held:
                 _learn(trainer, held_around, held_target, rng)
             if trainer.examples:
