@@ -101,8 +101,8 @@ def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.train(docs))
+    words = masked_lm.encoded(read_table(spark, sf_dir, "documents"))
+    return masked_lm.score_words(words, masked_lm.train_words(words))
 
 
 def op7_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
