@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -62,9 +63,19 @@ def flushed_episodes(seen: DataFrame, closed: DataFrame, keys: list[str], gap_fr
 
 # ------------------------------------------------------- state behind the watermark
 
-def _millis(stamp_us: int) -> int:
-    """The first whole millisecond at which nothing up to the stamp can come any more."""
-    return -(-stamp_us // 1000)
+#: Rows in one element of the list of a key.
+HELD_ROWS = 1000
+
+
+def waiting(rows: DataFrame, stamp_us: Column, fields: tuple[str, ...], time: str = "event_time") -> DataFrame:
+    """(sequence, due, payload, ``time``) for a ``_Waiting`` state.
+
+    ``due`` is the first whole millisecond at which nothing up to the stamp can
+    come any more. The fields of a row travel and wait as one text, as a worker
+    takes rows in value by value.
+    """
+    payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return rows.select("sequence", F.ceil(stamp_us / 1000).cast("long").alias("due"), payload.alias("payload"), time)
 
 
 class _Waiting(StatefulProcessor):
@@ -72,42 +83,49 @@ class _Waiting(StatefulProcessor):
 
     Whatever the files, their order and the batches they came in, ``release``
     sees the same rows in the same order. The list holds what is younger than
-    the watermark, so its size is bounded by the delay.
+    the watermark, so its size is bounded by the delay. An element of it is a
+    text with a line a row, and few elements are read and written.
     """
 
-    held_schema: str
+    fields: tuple[str, ...]
+    #: Fields that are numbers with a fraction; text stands for those that are not finite.
+    doubles: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
-
-    def due(self, row: tuple) -> int:
-        """Watermark in milliseconds at which a held row may go."""
-        raise NotImplementedError
-
-    def hold(self, row: Row) -> tuple:
-        """What is kept of an incoming row."""
-        raise NotImplementedError
+        self.held = handle.getListState("held", "rows string")
 
     def release(self, key: tuple, rows: list[tuple]) -> Iterator[Row]:
         raise NotImplementedError
 
+    def parsed(self, payload: str) -> tuple:
+        row = json.loads(payload)
+        for name in self.doubles:
+            if isinstance(row[name], str):
+                row[name] = float(row[name])
+        return tuple(map(row.__getitem__, self.fields))
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        some = [self.hold(r) for r in rows]
-        self.held.appendList(some)
-        self.handle.registerTimer(min(map(self.due, some)))
+        some = [(r[1], r[2]) for r in rows]
+        self.held.appendList(_elements(some))
+        self.handle.registerTimer(min(some)[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        every = [tuple(r) for r in self.held.get()]
-        ready = [r for r in every if self.due(r) <= now]
-        later = [r for r in every if self.due(r) > now]
+        ready, later = [], []
+        for (element,) in self.held.get():
+            for line in element.split("\n"):
+                due, _, payload = line.partition(" ")
+                if int(due) <= now:
+                    ready.append(self.parsed(payload))
+                else:
+                    later.append((int(due), payload))
         if not ready:
             return
         if later:
-            self.held.put(later)
-            self.handle.registerTimer(min(map(self.due, later)))
+            self.held.put(_elements(later))
+            self.handle.registerTimer(min(later)[0])
         else:
             self.held.clear()
         yield from self.release(key, ready)
@@ -116,21 +134,26 @@ class _Waiting(StatefulProcessor):
         pass
 
 
+def _elements(rows: list[tuple[int, str]]) -> list[tuple[str]]:
+    lines = [f"{due} {payload}" for due, payload in rows]
+    return [("\n".join(lines[i : i + HELD_ROWS]),) for i in range(0, len(lines), HELD_ROWS)]
+
+
+_POSE = Row("sequence", "stamp_us", "event_id", "pose_us", "pose_value")
+_LATCHED = Row("sequence", "stamp_us", "event_id", "latched")
+_PAIRED = Row("sequence", "a_id", "b_id", "apart_us")
+
+
 class _PoseLookup(_Waiting):
     """The latest pose at or before each image; of the poses let go only the latest is kept."""
 
-    held_schema = "stamp_us long, event_id long, is_pose boolean, value double"
+    fields = ("stamp_us", "event_id", "is_pose", "value")
+    doubles = ("value",)
 
     def init(self, handle):
         super().init(handle)
         self.latest = handle.getValueState("latest", "stamp_us long, value double")
 
-    def due(self, row):
-        return _millis(row[0])
-
-    def hold(self, row):
-        return row.stamp_us, row.event_id, row.is_pose, row.value
-
     def release(self, key, rows):
         pose = tuple(self.latest.get()) if self.latest.exists() else None
         # Poses lead images of the same stamp.
@@ -138,7 +161,7 @@ class _PoseLookup(_Waiting):
             if is_pose:
                 pose = stamp, value
             elif pose is not None:
-                yield Row(sequence=key[0], stamp_us=stamp, event_id=event, pose_us=pose[0], pose_value=pose[1])
+                yield _POSE(key[0], stamp, event, *pose)
         if pose is not None:
             self.latest.update(pose)
 
@@ -153,25 +176,21 @@ def pose_lookup(rows: DataFrame) -> DataFrame:
     Images before the first pose are skipped. Poses of one stamp: the one with
     the largest event id counts.
     """
-    return rows.groupBy("sequence").transformWithState(_PoseLookup(), _POSE_OUT, "Append", "EventTime")
+    held = waiting(rows, F.col("stamp_us"), _PoseLookup.fields)
+    return held.groupBy("sequence").transformWithState(_PoseLookup(), _POSE_OUT, "Append", "EventTime")
 
 
 class _Latch(_Waiting):
     """The first value of a key, by time, for all its rows; rows wait until it is known, later values are ignored."""
 
-    held_schema = "stamp_us long, event_id long, is_value boolean, value double"
+    fields = ("stamp_us", "event_id", "is_value", "value")
+    doubles = ("value",)
 
     def init(self, handle):
         super().init(handle)
         self.latched = handle.getValueState("latched", "value double")
         self.early = handle.getListState("early", "stamp_us long, event_id long")
 
-    def due(self, row):
-        return _millis(row[0])
-
-    def hold(self, row):
-        return row.stamp_us, row.event_id, row.is_value, row.value
-
     def release(self, key, rows):
         known = self.latched.exists()
         value = self.latched.get()[0] if known else None
@@ -188,7 +207,7 @@ class _Latch(_Waiting):
             self.early.appendList(waiting)
             return
         for stamp, event in waiting:
-            yield Row(sequence=key[0], stamp_us=stamp, event_id=event, latched=value)
+            yield _LATCHED(key[0], stamp, event, value)
 
 
 _LATCH_OUT = "sequence long, stamp_us long, event_id long, latched double"
@@ -200,7 +219,8 @@ def first_value_latch(rows: DataFrame) -> DataFrame:
     rows: (sequence, stamp_us, event_id, is_value, value) with a watermark. A
     sequence without a value keeps its rows in state.
     """
-    return rows.groupBy("sequence").transformWithState(_Latch(), _LATCH_OUT, "Append", "EventTime")
+    held = waiting(rows, F.col("stamp_us"), _Latch.fields)
+    return held.groupBy("sequence").transformWithState(_Latch(), _LATCH_OUT, "Append", "EventTime")
 
 
 QUEUE = 2
@@ -209,7 +229,7 @@ QUEUE = 2
 class _Synchroniser(_Waiting):
     """Pairs of two kinds of messages, one to one, from a short queue of each; what falls out of a queue is never paired."""
 
-    held_schema = "stamp_us long, event_id long, is_second boolean"
+    fields = ("stamp_us", "event_id", "is_second")
 
     def __init__(self, slop_us: int, size: int):
         self.slop_us, self.size = slop_us, size
@@ -218,12 +238,6 @@ class _Synchroniser(_Waiting):
         super().init(handle)
         self.queues = handle.getListState("queues", "stamp_us long, event_id long, is_second boolean")
 
-    def due(self, row):
-        return _millis(row[0])
-
-    def hold(self, row):
-        return row.stamp_us, row.event_id, row.is_second
-
     def release(self, key, rows):
         queued = [tuple(r) for r in self.queues.get()]
         for stamp, event, second in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
@@ -233,7 +247,7 @@ class _Synchroniser(_Waiting):
             if near:
                 partner = near[1:]
                 first, last = (partner, own[-1]) if second else (own[-1], partner)
-                yield Row(sequence=key[0], a_id=first[1], b_id=last[1], apart_us=near[0])
+                yield _PAIRED(key[0], first[1], last[1], near[0])
                 own, others = own[:-1], [m for m in others if m != partner]
             queued = own + others
         self.queues.put(queued)
@@ -251,4 +265,5 @@ def synchronised(rows: DataFrame, slop_us: int, size: int = QUEUE) -> DataFrame:
     slop, the earlier of two as near; both leave their queues. Of messages of
     one stamp the first kind comes first, then the smaller id.
     """
-    return rows.groupBy("sequence").transformWithState(_Synchroniser(slop_us, size), _SYNC_OUT, "Append", "EventTime")
+    held = waiting(rows, F.col("stamp_us"), _Synchroniser.fields)
+    return held.groupBy("sequence").transformWithState(_Synchroniser(slop_us, size), _SYNC_OUT, "Append", "EventTime")

@@ -1,7 +1,10 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators.assignment import greedy_pairs
 from sightline.plans import streams
 from sightline.sources import tables as t
 from sightline.streaming import arrivals, runtime, tracker
@@ -203,3 +206,34 @@ def test_synchroniser_pairs_one_to_one_from_short_queues(spark, tmp_path):
     stream, ending = runtime.watermarked(runtime.folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1), "event_time", "1 hour")
     got = runtime.drain_to_end(arrivals.synchronised(stream, 5 * second), ending, "event_time", "sync")
     assert sorted((r.a_id, r.b_id, r.apart_us) for r in got.collect()) == [(2, 5, 3 * second), (3, 4, second), (9, 7, second)]
+
+
+def test_few_pairs_score_like_many():
+    """One by one or as arrays, a pair has the same score and the same partner."""
+    rng = np.random.default_rng(4)
+
+    def some(n):
+        return [
+            {"cells": set(rng.integers(0, 40, rng.integers(1, 30)).tolist()), "area": int(rng.integers(1, 600)), "weight": float(rng.random()),
+             "pos": [float(rng.integers(0, 8)) / 10, 0.0, float("nan") if rng.random() < 0.1 else 1.0], "placed": bool(rng.random() < 0.7)}
+            for _ in range(n)
+        ]
+
+    for _ in range(60):
+        dets, tracks = some(int(rng.integers(1, 6))), some(int(rng.integers(0, 8)))
+        want = tracker.pair_scores(dets, tracks)
+        assert [[tracker.pair_score(d, k) for k in tracks] for d in dets] == want.tolist()
+        assert tracker.matched(dets, tracks) == (dict(greedy_pairs(want, -0.5)) if want.size else {})
+
+
+def test_held_rows_come_back_as_they_went(spark):
+    """A held row is a line of text: nulls, line ends and numbers that are not finite survive; many rows are few elements."""
+    row = (1, 2_000_001, None, True, float("nan"), datetime(2024, 1, 1))
+    df = spark.createDataFrame([row, (1, 3, 7, False, -0.1, datetime(2024, 1, 1)), (1, 4, 8, False, float("-inf"), datetime(2024, 1, 1))],
+                               "sequence long, stamp_us long, event_id long, is_pose boolean, value double, event_time timestamp")
+    got = arrivals.waiting(df, F.col("stamp_us"), arrivals._PoseLookup.fields).collect()
+    assert [r.due for r in got] == [2001, 1, 1]
+    parsed = [arrivals._PoseLookup().parsed(r.payload) for r in got]
+    assert parsed[0][:3] == (2_000_001, None, True) and np.isnan(parsed[0][3])
+    assert parsed[1:] == [(3, 7, False, -0.1), (4, 8, False, float("-inf"))]
+    assert len(arrivals._elements([(i, "{}") for i in range(2 * arrivals.HELD_ROWS + 1)])) == 3
