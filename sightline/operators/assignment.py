@@ -6,7 +6,8 @@ assignments of the connected components of its bipartite graph, and the solver
 only ever sees one component: small groups (a frame has at most a few hundred
 masks and truths) are parted inside the solver call, larger ones by joins
 before it. Either way a component is solved alone from the same numbers, so
-the size of its group makes no difference, ties included. The solver itself is
+the size of its group makes no difference, ties included, nor do the groups that
+share its call. The solver itself is
 a small numpy routine run by grouped maps.
 """
 
@@ -24,6 +25,8 @@ from sightline.session import durable
 
 
 GROUP_PAIRS = 100_000
+#: Pairs of small groups that one call solves, on average.
+CALL_PAIRS = 2_000
 
 
 # ------------------------------------------------------------------- solvers
@@ -86,16 +89,6 @@ def greedy_pairs(weight: np.ndarray, floor: float) -> list[tuple[int, int]]:
     return out
 
 
-def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    r, ri = np.unique(pdf["_r"].to_numpy(), return_inverse=True)
-    c, ci = np.unique(pdf["_c"].to_numpy(), return_inverse=True)
-    w = np.zeros((len(r), len(c)))
-    ok = np.zeros(w.shape, bool)
-    w[ri, ci] = pdf["_w"].to_numpy(float)
-    ok[ri, ci] = True
-    return r, c, w, ok
-
-
 def parts(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """For each pair (row, col) a number of its connected component."""
     _, r = np.unique(rows, return_inverse=True)
@@ -113,25 +106,38 @@ def parts(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         of_row = least
 
 
-def _solve_part(pdf: pd.DataFrame, method: str) -> pd.DataFrame:
-    r, c, w, ok = _dense(pdf)
+def _solve_part(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, method: str) -> list[int]:
+    """The chosen ones of the pairs of one component."""
+    r, ri = np.unique(rows, return_inverse=True)
+    c, ci = np.unique(cols, return_inverse=True)
+    w = np.zeros((len(r), len(c)))
+    at = np.full(w.shape, -1)
+    w[ri, ci] = weights
+    at[ri, ci] = np.arange(len(weights))
+    ok = at >= 0
     if method == "greedy":
         picks = greedy_pairs(np.where(ok, w, -np.inf), -np.inf)
     elif method == "most_then_best":
-        size = min(w.shape)
-        picks = best_total(ok + w / (2.0 * size))
+        picks = best_total(ok + w / (2.0 * min(w.shape)))
     else:
         picks = best_total(w)
-    picks = [(i, j) for i, j in picks if ok[i, j]]
-    i = [p[0] for p in picks]
-    j = [p[1] for p in picks]
-    return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_r": r[i], "_c": c[j], "_w": w[i, j]})
+    return [int(at[i, j]) for i, j in picks if ok[i, j]]
 
 
 def _solve(method: str):
+    """Solver of all components of some groups."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = parts(pdf["_r"].to_numpy(), pdf["_c"].to_numpy())
-        return pd.concat([_solve_part(part, method) for _, part in pdf.groupby(label)], ignore_index=True)
+        group = pd.factorize(pdf["_g"])[0]
+        r, c, w = (pdf[x].to_numpy() for x in ("_r", "_c", "_w"))
+        # Ids count within their group.
+        label = parts(*(pd.MultiIndex.from_arrays([group, x]).factorize()[0] for x in (r, c)))
+        order = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.diff(label[order], prepend=-1))
+        chosen = []
+        for part in np.split(order, starts[1:]):
+            chosen += part[_solve_part(r[part], c[part], w[part], method)].tolist()
+        return pdf[["_g", "_r", "_c", "_w"]].iloc[chosen]
 
     return run
 
@@ -174,7 +180,7 @@ def assign(
     deg = cand.join(row_deg, ["_g", "_r"]).join(col_deg, ["_g", "_c"])
     lone = deg.where("_rd = 1 AND _cd = 1").select("_g", "_r", "_c", "_w")
     rest = durable(deg.where("_rd > 1 OR _cd > 1").select("_g", "_r", "_c", "_w"), "assign-rest")
-    largest = rest.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    largest, total = rest.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
     chosen = lone
     if largest is not None:
         if largest <= group_pairs:
@@ -184,7 +190,11 @@ def assign(
             vc = F.concat_ws("|", F.lit("c"), F.col("_c"), F.col("_g"))
             comp = connected_components(rest.select(vr.alias("a"), vc.alias("b")), "a", "b")
             part = rest.withColumn("v", vr).join(comp, "v").drop("v")
-        solved = part.groupBy("component").applyInPandas(_solve(method), "_g string, _r long, _c long, _w double")
+        # Groups are solved many at a call; their number is asked for, as few bytes would be put in few tasks.
+        calls = -(-total // CALL_PAIRS)
+        tasks = min(calls, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        call = F.pmod(F.xxhash64("component"), F.lit(calls))
+        solved = part.withColumn("call", call).repartition(tasks, "call").groupBy("call").applyInPandas(_solve(method), "_g string, _r long, _c long, _w double")
         chosen = lone.union(solved)
     names = cand.select("_g", *keys).distinct() if keys else cand.select("_g").distinct()
     chosen = durable(chosen, "assigned")

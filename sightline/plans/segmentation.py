@@ -68,9 +68,10 @@ def scene(spark, sf):
     return hits, labels, pairs
 
 
-def scored(spark, sf):
+def scored(spark, sf, thetas=(THETA,)):
+    """Pairs, matches at the given thresholds, and the outcomes at ``THETA``, one of them."""
     hits, labels, pairs = scene(spark, sf)
-    matches = durable(mk.match_thetas(pairs, rules.THETAS), "mask-matches")
+    matches = durable(mk.match_thetas(pairs, thetas), "mask-matches")
     gts = mk.gt_rows(hits, labels, pairs, matches, THETA, AREA_MIN)
     preds = mk.pred_rows(hits, pairs, matches, THETA, AREA_MIN)
     return pairs, matches, gts, preds
@@ -170,7 +171,7 @@ def panoptic_by_group(spark, sf):
 al AS (SELECT count(*) AS n_gt FROM gts WHERE eligible)
 SELECT theta, coalesce(n, 0) AS n_hit, n_gt, coalesce(n, 0) / greatest(n_gt, 1) AS recall FROM th CROSS JOIN al LEFT JOIN th_hit USING (theta)""")
 def recall_by_theta(spark, sf):
-    _, matches, gts, _ = scored(spark, sf)
+    _, matches, gts, _ = scored(spark, sf, rules.THETAS)
     return mk.recall_at(gts, matches, rules.THETAS)
 
 

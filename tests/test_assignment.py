@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.operators import assignment
 from sightline.operators.assignment import assign, best_total, greedy_pairs
 from sightline.operators.components import connected_components
 
@@ -64,3 +66,20 @@ def test_components_path_star_and_loop(spark):
     assert all(got[i] == 0 for i in range(41))
     assert all(got[k] == 100 for k in range(100, 180))
     assert got[500] == 500
+
+
+def test_groups_that_share_a_call_are_solved_alone():
+    """Ids repeat from group to group; each group keeps the choice it has by itself."""
+    rng = np.random.default_rng(8)
+    rows = [
+        (f"g{g}", r, c, float(rng.integers(1, 5)) / 4)
+        for g in range(40) for r in range(5) for c in range(5) if rng.random() < 0.5
+    ]
+    pdf = pd.DataFrame(rows, columns=["_g", "_r", "_c", "_w"]).sample(frac=1, random_state=1)
+    for method in ("best_total", "most_then_best", "greedy"):
+        solve = assignment._solve(method)
+        alone = pd.concat([solve(part) for _, part in pdf.groupby("_g")])
+        together = solve(pdf)
+        keys = ["_g", "_r", "_c"]
+        assert together.sort_values(keys).values.tolist() == alone.sort_values(keys).values.tolist()
+        assert not together.duplicated(["_g", "_r"]).any() and not together.duplicated(["_g", "_c"]).any()
