@@ -271,13 +271,15 @@ def containment(points: DataFrame, masks: DataFrame, poses: DataFrame, cam: Came
     points (frame, segment, x, y, z), masks (frame, segment, v, u).
     """
     p = reproject(points, poses, cam, "round")
-    near = F.array(*[F.struct(F.lit(a).alias("dv"), F.lit(b).alias("du")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    grown = masks.withColumn("_s", F.explode(near)).select(
-        "frame", "segment", (F.col("v") + F.col("_s.dv")).cast("long").alias("pv"),
-        (F.col("u") + F.col("_s.du")).cast("long").alias("pu"), F.lit(True).alias("_hit"),
-    ).distinct()
-    j = p.join(grown, ["frame", "segment", "pv", "pu"], "left")
-    ok = F.col("on_image") & F.coalesce("_hit", F.lit(False))
+    # A row of a mask is one array; it counts for the rows above and below it as well.
+    rows = masks.groupBy("frame", "segment", "v").agg(F.collect_set(F.col("u").cast("long")).alias("_us"))
+    lines = F.explode(F.array(*[(F.col("v") + k).cast("long") for k in (-1, 0, 1)]))
+    grown = rows.select("frame", "segment", lines.alias("pv"), "_us").groupBy("frame", "segment", "pv").agg(
+        F.array_distinct(F.flatten(F.collect_list("_us"))).alias("_us")
+    )
+    j = p.join(grown, ["frame", "segment", "pv"], "left")
+    beside = F.array(*[(F.col("pu") + k).cast("long") for k in (-1, 0, 1)])
+    ok = F.col("on_image") & F.coalesce(F.arrays_overlap("_us", beside), F.lit(False))
     return j.groupBy("frame").agg(F.count(F.lit(1)).alias("n_points"), F.avg(ok.cast("int")).alias("inside"))
 
 

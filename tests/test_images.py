@@ -252,3 +252,29 @@ def test_copied_cells_are_not_broadcast(spark):
     seeds = px.select("frame", F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0).alias("z"))
     near = nearest(seeds, seeds, ["frame"])
     assert "BroadcastHashJoin" not in near._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_containment_is_that_of_every_pixel_around(spark):
+    """Points against all mask pixels one by one; the mask is joined by rows, not as nine copies of its pixels."""
+    rng = np.random.default_rng(5)
+    masks = sorted({(int(f), int(s), int(v), int(u)) for f, s, v, u in rng.integers(0, (3, 2, 16, 16), (160, 4))})
+    points = [
+        (int(f), int(s), float(x), float(y), 1.0 if rng.random() < 0.9 else -1.0)
+        for f, s, x, y in zip(rng.integers(0, 3, 200), rng.integers(0, 3, 200), *rng.uniform(-0.5, 0.5, (2, 200)))
+    ]
+    poses = spark.createDataFrame([(f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for f in range(3)],
+                                  "frame long, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
+    p = spark.createDataFrame(points, "frame long, segment long, x double, y double, z double")
+    m = spark.createDataFrame(masks, "frame long, segment long, v int, u int")
+    seen = im.reproject(p, poses, CAM, "round").collect()
+    want = {}
+    for r in seen:
+        near = any((r.frame, r.segment, r.pv + a, r.pu + b) in set(masks) for a in (-1, 0, 1) for b in (-1, 0, 1)) if r.on_image else False
+        want.setdefault(r.frame, []).append(near)
+    out = im.containment(p, m, poses, CAM)
+    got = {r.frame: (r.n_points, round(r.inside, 9)) for r in out.collect()}
+    assert got == {f: (len(w), round(sum(w) / len(w), 9)) for f, w in want.items()}
+    assert 0 < sum(sum(w) for w in want.values()) < len(points)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "Generate" in line)
+    assert any("Aggregate" in line for line in lines[at + 1 :])
