@@ -167,7 +167,10 @@ def _place(b: DataFrame, known: DataFrame | None, min_new: int, patch_cells: int
     # What a task holds follows the different cells, its time follows all cells.
     over = (F.col("_d") > patch_cells) | (F.col("_w") > patch_cells * REPEATS)
     large = durable(weight.where(over).select("patch"), "instances-large")
-    small = b.join(large, "patch", "left_anti").groupBy("patch").cogroup(near.join(large, "patch", "left_anti").groupBy("patch"))
+    # The number of tasks is asked for, as few bytes that take long would be put in one.
+    tasks = int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [x.join(large, "patch", "left_anti").repartition(tasks, "patch").groupBy("patch") for x in (b, near)]
+    small = sides[0].cogroup(sides[1])
     placed = small.applyInPandas(_one_by_one(min_new), PLACED)
     if not large.isEmpty():
         big = b.join(large, "patch", "left_semi")
