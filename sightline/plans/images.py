@@ -198,8 +198,13 @@ def object_verdicts(spark, sf):
 
 def boxes(spark, sf):
     li = t.table(spark, sf, "lineitem")
-    x, y = F.col("l_partkey") % 60, F.col("l_suppkey") % 60
-    return li.groupBy(F.floor(F.col("l_orderkey") / 64).alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det")).agg(
+    # Rows go to their frame once; what is grouped within a frame after that stays there.
+    rows = li.select(
+        F.floor(F.col("l_orderkey") / 64).alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det"),
+        "l_quantity", (F.col("l_partkey") % 60).alias("x"), (F.col("l_suppkey") % 60).alias("y"),
+    ).repartition("frame")
+    x, y = F.col("x"), F.col("y")
+    return rows.groupBy("frame", "det").agg(
         F.max(F.col("l_quantity") / 50).alias("conf"), F.min(x).cast("double").alias("x1"), F.min(y).cast("double").alias("y1"),
         F.max(x + 20).cast("double").alias("x2"), F.max(y + 20).cast("double").alias("y2"),
     )
@@ -245,7 +250,7 @@ SELECT frame, lane, conf, area FROM ar a WHERE NOT EXISTS (SELECT 1 FROM io JOIN
   WHERE io.frame = a.frame AND io.lane = a.lane AND io.n / greatest(a.area + b.area - io.n, 1) > 0.3)""")
 def deduplicated_masks(spark, sf):
     """Masks of the kept boxes with copies of more confident ones removed."""
-    lanes = durable(sp.suppress_boxes(boxes(spark, sf), 0.2, 0.5), "lanes")
+    lanes = sp.suppress_boxes(boxes(spark, sf), 0.2, 0.5)
     rows = F.sequence(F.floor(F.col("y1") / 4), F.floor(F.col("y2") / 4))
     cols = F.sequence(F.floor(F.col("x1") / 4), F.floor(F.col("x2") / 4))
     cells = lanes.select("frame", "lane", F.explode(rows).alias("r"), cols.alias("_c")).select(

@@ -56,11 +56,20 @@ def durable_path(spark: SparkSession, name: str) -> str:
     return f"{durable_root(spark)}/sightline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove the shuffle files of a plan when it has run, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table; shuffle files of the write go with it."""
     spark = df.sparkSession
     path = durable_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -278,3 +278,103 @@ def test_containment_is_that_of_every_pixel_around(spark):
     lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(i for i, line in enumerate(lines) if "Generate" in line)
     assert any("Aggregate" in line for line in lines[at + 1 :])
+
+
+def masks(spark, seed=7):
+    """Lanes and cells of overlapping masks with gaps, a null cell, a null and a missing confidence, and keys without a partner."""
+    rng = np.random.default_rng(seed)
+    lanes, cells = [], []
+    for f in (0, 1, 2, None):
+        for lane in range(14):
+            conf = (None, float("nan"), *[round(float(rng.random()), 1) for _ in range(12)])[lane]
+            lanes.append((f, lane, conf))
+            base = int(rng.integers(0, 30)) if lane % 3 else lanes[-1][1] * 5
+            cells += [(f, lane, -40 + base + 3 * int(f == 2) * k + k) for k in range(int(rng.integers(2, 40))) if rng.random() < 0.9]
+            if lane % 3 == 1:  # nearly a copy of the mask before
+                cells += [(f, lane, c) for ff, l, c in list(cells) if ff == f and l == lane - 1 and (f, lane, c) not in cells]
+    cells += [(0, 2, None), (0, 99, 5), (None, 3, 1), (1, None, 4)]
+    lanes += [(1, 50, 0.99), (1, None, 0.5)]
+    return (
+        spark.createDataFrame(lanes, "frame long, lane long, conf double"),
+        spark.createDataFrame(cells, "frame long, lane long, cell long").repartition(3),
+        lanes, cells,
+    )
+
+
+def test_masks_by_frame_and_by_joins(spark):
+    """Frames in one task, by joins, some of both, and a plain comparison of all pairs give the same masks."""
+    lanes, cells, lane_rows, cell_rows = masks(spark)
+    conf = {(f, l): c for f, l, c in lane_rows if f is not None and l is not None}
+    area = {k: sum(r[:2] == k for r in cell_rows) for k in conf}
+    of = {k: {r[2] for r in cell_rows if r[:2] == k and r[2] is not None} for k in conf}
+    live = [k for k in conf if area[k] >= 4]
+
+    def better(a, b):
+        if conf[a] is None or conf[b] is None:
+            return False
+        return conf[a] > conf[b] or (conf[a] != conf[a] and conf[b] == conf[b])
+
+    gone = {
+        k for k in live for o in live
+        if o[0] == k[0] and better(o, k) and (n := len(of[k] & of[o])) / max(area[k] + area[o] - n, 1) > 0.3
+    }
+    want = sorted((*k, area[k]) for k in live if k not in gone)
+    assert gone and want
+    for limits in ({}, {"frame_cells": 10}, {"frame_masks": 14}):
+        got = sp.dedup_masks(lanes, cells, 4, 0.3, **limits).collect()
+        assert sorted((r.frame, r.lane, r.area) for r in got) == want, limits
+        assert all(repr(r.conf) == repr(conf[r.frame, r.lane]) for r in got)
+
+
+def test_cells_of_masks_share_counts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    mask, cell = rng.integers(0, 6, 400), rng.integers(-50, 50, 400) * 10**9
+    want = np.array([[sum((cell[mask == i][:, None] == cell[mask == j]).ravel()) for j in range(6)] for i in range(6)])
+    for block in (1 << 22, 60):
+        monkeypatch.setattr(sp, "BLOCK", block)
+        assert (sp._shared(mask, cell, 6) == want).all() and (sp._shared(mask, cell // 10**9, 6) == want).all()
+
+
+def exchanges(df):
+    return [x.split("\n")[0] for x in df._jdf.queryExecution().executedPlan().toString().split("Exchange ")[1:]]
+
+
+def test_cells_of_masks_are_not_shuffled_one_by_one(spark):
+    lanes, cells, _, _ = masks(spark)
+    out = sp.dedup_masks(lanes, cells.coalesce(1), 4, 0.3)
+    assert [x for x in exchanges(out) if "hashpartitioning" in x] and not any("cell" in x for x in exchanges(out))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """A table that is written leaves no shuffle files behind, whatever the driver's garbage collector does."""
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    df = spark.range(5000).repartition(5, "id").groupBy((F.col("id") % 100).alias("k")).count()
+    before = held()
+    out = durable(df, "counts")
+    for _ in range(20):  # files are removed in the background
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 100
+
+
+def test_boxes_and_groups_of_frames(spark):
+    """Frames that reach over batches are solved whole, in rank order."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for f in range(40):
+        for i in range(int(rng.integers(1, 60))):
+            x, y = rng.integers(0, 40, 2)
+            rows.append((f, i, float(rng.integers(1, 9) / 10), float(x), float(y), float(x + 20), float(y + 20)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {}
+        for r in sp.suppress_boxes(box_frame(spark, rows), 0.2, 0.3).orderBy("frame", "lane").collect():
+            got.setdefault(r.frame, []).append(r.det)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {f: k for f in range(40) if (k := greedy([r for r in rows if r[0] == f], 0.2, 0.3))}
+    assert got == want
