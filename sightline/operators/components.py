@@ -6,15 +6,62 @@ vertices, which at least halves them. Only the contracted edges and the
 round's pointers are written; labels are resolved once at the end by following
 the pointers of all rounds. A vertex with very many edges only ever meets a
 map-side combined minimum and a join against one row per vertex.
+
+Where the edges of a part lie close to each other, a task first replaces each
+stretch of its edges by a star per part it finds in them, which links the same
+vertices with fewer edges (``contract``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sightline.session import durable
 
+#: Edges that a task contracts at once.
+STRETCH = 1 << 20
+
+
+def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices the smallest vertex it is linked to, directly or through others."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for side in (before[a], before[b], a, b):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from the smallest vertex of each part of a stretch to its other vertices."""
+
+    def contracted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = least_joined(len(ids), at[: len(a)], at[len(a) :])
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[leaf]]), pa.array(ids[leaf])], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= STRETCH:
+            yield contracted(held)
+            held, n = [], 0
+    if n:
+        yield contracted(held)
+
 
 def _shorten(parent: DataFrame) -> DataFrame:
     """One pointer jump: parent of the parent."""
@@ -22,11 +69,14 @@ def _shorten(parent: DataFrame) -> DataFrame:
     return parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, contract: bool = False) -> DataFrame:
     """(v, component) for every vertex that has an edge; component = smallest vertex."""
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     alone = ends.where("a = b").select(F.col("a").alias("v"))
-    work = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    work = ends.where("a <> b")
+    if contract and all(isinstance(f.dataType, LongType) for f in work.schema):
+        work = work.mapInArrow(_stars, "a long, b long")
+    work = work.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     work = durable(work, "cc-edges")
     rounds: list[DataFrame] = []
     while not work.isEmpty():

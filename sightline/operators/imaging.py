@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
 from sightline.operators import truth as tr
-from sightline.operators.components import connected_components
+from sightline.operators.components import connected_components, least_joined
 from sightline.operators.matching3d import mode_reason
 from sightline.operators.nearest import nearest
 from sightline.operators.voxels import XYZ
@@ -80,20 +80,6 @@ def pixel_id(cam: Camera) -> Column:
     return F.col("frame") * (cam.width * cam.height) + F.col("v") * cam.width + F.col("u")
 
 
-def _least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``n`` vertices the smallest vertex it is linked to, directly or through others."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        for side in (before[a], before[b], a, b):
-            np.minimum.at(root, side, low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (root == before).all():
-            return root
-
-
 def _parts_of_patch(table: pa.Table) -> pa.Table:
     """Adds ``part``, the first pixel of the 8-connected part of one colour inside the patch."""
     ids, at = np.unique(table["pixel"].to_numpy(), return_inverse=True)
@@ -113,7 +99,7 @@ def _parts_of_patch(table: pa.Table) -> pa.Table:
         hit = sorted_key[place] == to
         a.append(at[order[hit]])
         b.append(at[order[place[hit]]])
-    root = _least_joined(len(ids), np.concatenate(a), np.concatenate(b))
+    root = least_joined(len(ids), np.concatenate(a), np.concatenate(b))
     return table.append_column("part", pa.array(ids[root[at]], pa.int64()))
 
 
@@ -155,13 +141,15 @@ def extract_blobs(pixels: DataFrame, poses: DataFrame, cam: Camera, stride: int,
     pts = to_world(unproject(comp, cam, stride), poses).withColumn("point_id", F.col("pixel"))
     radius = F.greatest(F.lit(split_cell), F.lit(gap_factor * stride / cam.fx) * F.col("depth"))
     pts = durable(pts.withColumn("radius", radius), "blob-points")
-    sub = connected_components(durable(tr.scale_edges(pts, ["component"]), "blob-edges"), "a", "b")
+    sub = connected_components(durable(tr.scale_edges(pts, ["component"]), "blob-edges"), "a", "b", contract=True)
     pts = durable(pts.join(sub.select(F.col("v").alias("point_id"), F.col("component").alias("blob")), "point_id"), "blob-points")
     flat = [F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0).alias("z")]
     seeds = pts.select("component", *flat, "blob")
-    near = nearest(comp.select("component", *flat), seeds, ["component"], payload=["blob"], leaf=2.0)
-    near = near.select("component", F.col("x").cast("int").alias("u"), F.col("y").cast("int").alias("v"), "blob")
-    px = comp.join(near, ["component", "u", "v"], "left").withColumn("blob", F.coalesce("blob", "component"))
+    # Pixels are handed through with their blob; column and row are their place.
+    rest = [c for c in comp.columns if c not in ("component", "u", "v")]
+    near = nearest(comp.select("component", *flat, *rest), seeds, ["component"], payload=["blob"], leaf=2.0, carry=rest)
+    place = {c: F.col(x).cast(comp.schema[c].dataType) for c, x in (("u", "x"), ("v", "y"))}
+    px = near.withColumns(place).withColumn("blob", F.coalesce("blob", "component")).select(*comp.columns, "blob")
     return px, pts
 
 

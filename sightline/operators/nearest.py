@@ -10,17 +10,24 @@ points of a crowded region is ever built.
 
 Cells, and copies of them, come from small files whose size says little about
 their rows, so these joins are not left to a broadcast.
+
+Where the rows of queries are handed through, groups of few pairs are compared
+in one task and only larger ones descend.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
+from sightline.operators.grouped import Groups, changes
 from sightline.operators.voxels import XYZ
 from sightline.session import durable
 
@@ -28,6 +35,10 @@ STEP_BITS = 2
 LEAF_TARGET = 16
 TOP_SALTS = 16
 CELL = ("ix", "iy", "iz")
+#: Pairs and rows of a group that one task compares, and pairs it holds at once.
+GROUP_PAIRS = 1 << 24
+GROUP_ROWS = 1 << 18
+HELD_PAIRS = 1 << 20
 
 
 def _with_cells(points: DataFrame, leaf: float) -> DataFrame:
@@ -106,6 +117,8 @@ def nearest(
     payload: Sequence[str] = (),
     out: str = "dist",
     stored: bool = False,
+    carry: Sequence[str] | None = None,
+    group_pairs: int = GROUP_PAIRS,
 ) -> DataFrame:
     """Distance from each distinct query point to the nearest reference point.
 
@@ -114,8 +127,15 @@ def nearest(
     ``bound``   strict upper limit; queries with nothing nearer are not returned
     ``payload`` reference columns of the nearest point; ties take the smallest values
     ``stored``  both inputs are cheap scans of written tables; they are not written again
+    ``carry``   further query columns: every query row is returned with them, with nulls where its
+                group has no reference; both inputs are cheap scans then, without bound or ``per``.
+                Groups of up to ``group_pairs`` pairs are compared in one task, same answer
     """
     on, per, payload = list(on), list(per), list(payload)
+    if carry is not None:
+        if bound is not None or per or not on:
+            raise ValueError("rows are carried without bound and per, and in groups")
+        return _carried(queries, refs, on, leaf, payload, out, list(carry), group_pairs)
     keep = (lambda df, name: df) if stored else durable
     q = keep(queries.select(*on, *[F.col(c).cast("double").alias(f"q_{c}") for c in XYZ]).distinct(), "nn-queries")
     pts = refs.select(*on, *per, *payload, *[F.col(c).cast("double").alias(c) for c in XYZ])
@@ -179,3 +199,82 @@ def _join_neighbours(q: DataFrame, level: DataFrame, on: Sequence[str], size: fl
         low = F.col(i) * F.lit(size)
         near = near & (F.col(f"q_{c}") > low - bound) & (F.col(f"q_{c}") < low + size + bound)
     return spread.where(near).join(level.hint("merge"), [*on, *CELL])
+
+
+# ------------------------------------------------------------- rows of queries
+
+def _carried(
+    queries: DataFrame, refs: DataFrame, on: list[str], leaf: float | None, payload: list[str], out: str, carry: list[str], group_pairs: int
+) -> DataFrame:
+    """Query rows (on, x, y, z, carry) with distance and payload of the nearest reference of their group."""
+    where = [F.col(c).cast("double").alias(c) for c in XYZ]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*on, *XYZ]])
+    q = queries.select(*on, *where, *carry)
+    r = refs.select(*on, *where, *payload).where(whole)
+    columns = [*on, *XYZ, *carry, out, *payload]
+    n = lambda df, name: df.where(whole).groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    sizes = n(q, "_q").join(n(r, "_r").hint("merge"), on, "full").na.fill(0, ["_q", "_r"])
+    too_many = (F.col("_q") * F.col("_r") > group_pairs) | (F.col("_q") + F.col("_r") > GROUP_ROWS)
+    large = durable(sizes.where(too_many).select(*on), "nn-large")
+    some = not large.isEmpty()
+    side = lambda df, how: df.join(large.hint("merge"), on, how) if some else df
+    none = [F.lit(None).cast("double").alias(out), *[F.lit(None).cast(r.schema[c].dataType).alias(c) for c in payload]]
+    rows = side(q.where(whole), "left_anti").withColumn("_ref", F.lit(False))
+    rows = rows.unionByName(side(r, "left_anti").withColumn("_ref", F.lit(True)), allowMissingColumns=True)
+    # References of a group come after its queries, smallest payload first.
+    rows = rows.repartition(*on).sortWithinPartitions(*on, "_ref", *payload)
+    schema = rows.withColumn(out, none[0]).select(*columns).schema
+    got = rows.mapInArrow(_nearest_rows(on, payload, out, columns), schema)
+    if some:
+        big = side(q.where(whole), "left_semi")
+        near = nearest(big, side(r, "left_semi"), on, leaf, payload=payload, out=out)
+        got = got.unionByName(big.join(near.hint("merge"), [*on, *XYZ], "left").select(*columns))
+    return got.unionByName(q.where(~whole).select("*", *none).select(*columns))
+
+
+def _nearest_rows(
+    on: list[str], payload: list[str], out: str, columns: list[str]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares all queries of a group with all its references; of equal distances the first one counts."""
+
+    def solved(table: pa.Table) -> pa.Table:
+        is_ref = table["_ref"].to_numpy()
+        xyz = [table[c].to_numpy() for c in XYZ]
+        starts = np.flatnonzero(changes(table, on))
+        ends = np.append(starts[1:], len(table))
+        n_refs = np.add.reduceat(is_ref.astype(np.int64), starts)
+        best, dist = np.full(len(table), -1), np.full(len(table), np.nan)
+        for a, b, k in zip(starts, ends, n_refs):
+            m = b - k
+            if not k or a == m:
+                continue
+            step = max(HELD_PAIRS // int(k), 1)
+            for s in range(a, m, step):
+                e = min(s + step, m)
+                total = 0.0
+                for x in xyz:
+                    gap = x[s:e, None] - x[None, m:b]
+                    total = total + gap * gap
+                d = np.sqrt(total)
+                d[np.isnan(d)] = np.inf
+                at = d.argmin(axis=1)
+                best[s:e] = m + at
+                dist[s:e] = d[np.arange(e - s), at]
+        ask = np.flatnonzero(~is_ref)
+        found = best[ask] >= 0
+        asked = table.take(pa.array(ask)).drop_columns(payload)
+        asked = asked.append_column(out, pa.array(dist[ask], mask=~found))
+        given = pa.array(best[ask], mask=~found)
+        for c in payload:
+            asked = asked.append_column(c, table[c].take(given))
+        return asked.select(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups(on)
+        for batch in batches:
+            for whole in groups.push(pa.Table.from_batches([batch])):
+                yield from solved(whole).to_batches()
+        for whole in groups.rest():
+            yield from solved(whole).to_batches()
+
+    return run

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators import rules
 from sightline.operators import voxels as vx
 from sightline.operators.components import connected_components
+from sightline.operators.grouped import Groups, changes
 from sightline.operators.ordered import global_row_number
 from sightline.session import durable
 
+#: Points of a key that one task links.
+KEY_POINTS = 1 << 18
+#: The neighbours of a grid cell, one of each two that are opposite.
+AHEAD = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+
 
 # ------------------------------------------------------------------- objects
 
@@ -160,17 +168,111 @@ def merge_instances(vox: DataFrame, within: Sequence[str], threshold: float, rou
     return roots
 
 
-def scale_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+def scale_edges(points: DataFrame, keys: Sequence[str], key_points: int = KEY_POINTS) -> DataFrame:
     """Edges that link points (keys, point_id, x, y, z, radius) at doubling grid sizes.
 
     Grid sizes of a key start at its smallest radius and double up to its
     largest; a point takes part in a grid while half the cell is within its
     radius. A point is linked to the lowest point of its cell, and that point
     to the lowest points of the cells around, so edges stay linear in points.
-    Points often lie in a small file, whose size says little about their rows
-    here, so no join is left to a broadcast.
+    Keys of up to ``key_points`` points are linked in one task, larger ones by
+    joins; same edges. An edge is there once if ids are of one key only.
     """
     keys = list(keys)
+    points = points.select(*keys, "point_id", *vx.XYZ, "radius")
+    for c in points.columns:
+        points = points.where(F.col(c).isNotNull())
+    if dict(points.dtypes)["point_id"] != "bigint":
+        return _scale_edges_by_joins(points, keys)
+    sized = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = durable(sized.where(F.col("_n") > key_points).select(*keys), "scale-large")
+    some = not large.isEmpty()
+    few = points.join(large.hint("merge"), keys, "left_anti") if some else points
+    few = few.withColumns({c: F.col(c).cast("double") for c in (*vx.XYZ, "radius")}).repartition(*keys).sortWithinPartitions(*keys)
+    out = few.mapInArrow(_scale_links(keys), "a long, b long")
+    if some:
+        out = out.union(_scale_edges_by_joins(points.join(large.hint("merge"), keys, "left_semi"), keys))
+    return out
+
+
+def _scale_links(keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges of whole keys, from points ordered by key; the arithmetic is that of the joins."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        starts = np.flatnonzero(changes(table, keys))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(table))))
+        ident = table["point_id"].to_numpy()
+        xyz = [table[c].to_numpy() for c in vx.XYZ]
+        radius = table["radius"].to_numpy()
+        small = np.minimum.reduceat(radius, starts)
+        if (small <= 0).any():
+            raise ValueError("a radius must be positive")
+        top = np.maximum(np.ceil(np.log(np.maximum.reduceat(radius, starts) / small) / np.log(2.0) - 1e-12), 0)
+        found = []
+        for level in range(int(top.max()) + 1):
+            cell = (small * 2.0**level)[group]
+            at = np.flatnonzero((level <= top[group]) & (radius >= cell / 2))
+            if not len(at):
+                continue
+            g, first = np.unique(group[at], return_inverse=True)[1], np.flatnonzero(np.diff(group[at], prepend=-1))
+            index = [np.floor((x[at] - np.fmin.reduceat(x[at], first)[g]) / cell[at]) for x in xyz]
+            # What is no number is in the first cell, as in the joins.
+            index = [np.where(np.isnan(i), 0, np.clip(i, -(2.0**61), 2.0**61)).astype(np.int64) for i in index]
+            found += _cell_links(ident[at], g, index)
+        a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        # Ids of several keys are apart, so an edge is there twice only if two grids have it.
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups(keys)
+        for batch in batches:
+            for whole in groups.push(pa.Table.from_batches([batch])):
+                yield links(whole)
+        for whole in groups.rest():
+            yield links(whole)
+
+    return run
+
+
+def _cell_links(ident: np.ndarray, group: np.ndarray, index: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges from points to the lowest point of their cell, and from there to those of the cells around."""
+    # Cells count from 1, so that one step back is a number as well.
+    wide = [int(i.max()) + 3 for i in index]
+    total = int(group.max()) + 1
+    for w in wide:
+        total *= w
+    if total < 1 << 62:
+        number = lambda g, i: ((g * wide[0] + i[0] + 1) * wide[1] + i[1] + 1) * wide[2] + i[2] + 1
+        cells, first, of = np.unique(number(group, index), return_index=True, return_inverse=True)
+    else:
+        rows, first, of = np.unique(np.column_stack([group, *index]), axis=0, return_index=True, return_inverse=True)
+        of = of.ravel()
+    rep = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(rep, of, ident)
+    out = [(ident, rep[of])]
+    g, at = group[first], [i[first] for i in index]
+    for step in AHEAD:
+        moved = [i + k for i, k in zip(at, step)]
+        if total < 1 << 62:
+            to = number(g, moved)
+            place = np.minimum(np.searchsorted(cells, to), len(cells) - 1)
+            hit = cells[place] == to
+        else:
+            both = np.unique(np.vstack([rows, np.column_stack([g, *moved])]), axis=0, return_inverse=True)[1].ravel()
+            where = np.full(int(both.max()) + 1, -1)
+            where[both[: len(rows)]] = np.arange(len(rows))
+            place = where[both[len(rows) :]]
+            hit = place >= 0
+        out.append((rep[hit], rep[place[hit]]))
+    return out
+
+
+def _scale_edges_by_joins(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points often lie in a small file, whose size says little about their rows here, so no join is left to a broadcast."""
     span = points.groupBy(*keys).agg(F.min("radius").alias("_r0"), F.max("radius").alias("_r1"))
     top = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_r1") / F.col("_r0")) - 1e-12)).cast("int")
     el = (
@@ -185,8 +287,7 @@ def scale_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     el = el.join(lows.hint("merge"), grid).withColumns(idx).select(*grid, "point_id", *idx)
     reps = el.groupBy(*grid, *idx).agg(F.min("point_id").alias("rep"))
     inside = el.join(reps.hint("merge"), [*grid, *idx]).select(F.col("point_id").alias("a"), F.col("rep").alias("b"))
-    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
-    offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(s, "ijk")]) for s in steps])
+    offsets = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(s, "ijk")]) for s in AHEAD])
     moved = reps.select(*grid, *idx, F.col("rep").alias("a"), F.explode(offsets).alias("_o")).select(
         *grid, "a", *[(F.col(f"i{c}") + F.col(f"_o.{n}")).alias(f"i{c}") for c, n in zip(vx.XYZ, "ijk")]
     )

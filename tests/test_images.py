@@ -378,3 +378,70 @@ def test_boxes_and_groups_of_frames(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {f: k for f in range(40) if (k := greedy([r for r in rows if r[0] == f], 0.2, 0.3))}
     assert got == want
+
+
+def blob_scene(spark, n_frames=2):
+    rng = np.random.default_rng(11)
+    img = rng.integers(0, 3, (n_frames, 16, 16))
+    depth = rng.choice([0.0, 1.0, 1.1, 3.0], (n_frames, 16, 16))
+    return image(spark, img, depth), still(spark, n_frames)
+
+
+def test_blobs_are_shuffled_by_part_not_by_cell(spark):
+    """Pixels meet the samples of their part in one shuffle; no row for a pixel and a cell is ever dealt."""
+    px, pts = im.extract_blobs(*blob_scene(spark), CAM, 2, 0.1, 1.5)
+    plan = exchanges(px)
+    assert any("component" in x for x in plan) and not any(c in x for x in plan for c in ("ix#", "q_x", "_salt"))
+    assert not [x for x in exchanges(tr.scale_edges(pts, ["component"])) if "_k#" in x or "ix#" in x]
+
+
+def test_scale_edges_by_key_and_by_joins(spark):
+    """Keys in one task, by joins, and some of both give the same edges."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(12):
+        for _ in range(int(rng.integers(1, 40))):
+            rows.append((k, len(rows), *(float(x) for x in rng.uniform(-1, 1, 3)), float(rng.choice([0.05, 0.1, 0.11, 0.4, 1.7]))))
+    rows += [(5, 10_000, None, 0.0, 0.0, 0.1), (None, 10_001, 0.0, 0.0, 0.0, 0.1), (20, 10_002, 0.0, 0.0, 0.0, 1e-6), (20, 10_003, 1e6, 1e6, 1e6, 1e-6)]
+    pts = spark.createDataFrame(rows, "k long, point_id long, x double, y double, z double, radius double").repartition(3)
+    want = sorted(tr._scale_edges_by_joins(pts, ["k"]).collect())
+    assert (10_003, 10_003) in want
+    for most in (1 << 18, 20, 0):
+        assert sorted(tr.scale_edges(pts, ["k"], most).collect()) == want
+
+
+def test_nearest_with_rows(spark):
+    """Every query row comes back; groups in one task and by descent agree, ties take the smallest payload."""
+    rng = np.random.default_rng(6)
+    asks = [(int(g), *(float(x) for x in rng.integers(0, 9, 2)), 0.0, i) for i, g in enumerate(rng.integers(0, 6, 300))]
+    asks += [(None, 1.0, 1.0, 0.0, 900), (1, None, 1.0, 0.0, 901), (77, 1.0, 1.0, 0.0, 902)]
+    seeds = [(int(g), *(float(x) for x in rng.integers(0, 9, 2)), 0.0, int(b)) for g, b in zip(rng.integers(0, 5, 60), rng.permutation(60))]
+    seeds += [(None, 1.0, 1.0, 0.0, 0), (88, 1.0, 1.0, 0.0, 0)]
+    q = spark.createDataFrame(asks, "g long, x double, y double, z double, i long").repartition(3)
+    r = spark.createDataFrame(seeds, "g long, x double, y double, z double, b long").repartition(2)
+    want = {}
+    for g, x, y, _, i in asks:
+        near = [(((x - s[1]) ** 2 + (y - s[2]) ** 2) ** 0.5, s[4]) for s in seeds if None not in (g, x) and s[0] == g]
+        want[i] = min(near) if near else (None, None)
+    for pairs in (1 << 24, 700, 0):
+        got = {x.i: (x.dist, x.b) for x in nearest(q, r, ["g"], payload=["b"], leaf=2.0, carry=["i"], group_pairs=pairs).collect()}
+        assert got == want, pairs
+
+
+def test_stretches_of_edges_become_stars(spark, monkeypatch):
+    """Parts are those of all edges, however few of them a task contracts at once; a part seen whole takes one round."""
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(500, 500)]
+    ids = np.array(sorted({x for p in pairs for x in p}))
+    root = cc.least_joined(len(ids), *(np.searchsorted(ids, [p[k] for p in pairs]) for k in (0, 1)))
+    want = dict(zip(ids.tolist(), ids[root].tolist()))
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    made = []
+    monkeypatch.setattr(cc, "durable", lambda df, name: made.append(name) or durable(df, name))
+    for stretch, tasks in ((1 << 20, 1), (10, 1), (1 << 20, 7)):
+        monkeypatch.setattr(cc, "STRETCH", stretch)
+        made.clear()
+        rows = cc.connected_components(edges.repartition(tasks), "a", "b", contract=True).collect()
+        assert {r.v: r.component for r in rows} == want and len(rows) == len(want)
+        if (stretch, tasks) == (1 << 20, 1):
+            assert made.count("cc-parents") == 1
